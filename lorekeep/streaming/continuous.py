@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime
 
@@ -22,6 +23,15 @@ def raw_stream(warehouse: Warehouse, path: str, file_format: str = "parquet", fi
     return reader.load(path)
 
 
+def default_checkpoint(warehouse: Warehouse, run_prefix: str) -> str:
+    """A folder of this warehouse's stream in the shared one the session names."""
+    shared = warehouse.spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        raise ValueError("give a checkpoint folder or set spark.checkpoint.dir")
+    name = hashlib.sha256(warehouse.root.encode()).hexdigest()[:16]
+    return f"{shared.rstrip('/')}/lorekeep/{run_prefix}{name}"
+
+
 def continuous_snapshot(
     warehouse: Warehouse,
     raw: DataFrame,
@@ -36,11 +46,7 @@ def continuous_snapshot(
     a start time that it keeps, so nothing is applied twice. The checkpoint lies in the shared
     folder the session names unless another is given.
     """
-    if checkpoint is None:
-        shared = warehouse.spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            raise ValueError("give a checkpoint folder or set spark.checkpoint.dir")
-        checkpoint = f"{shared.rstrip('/')}/lorekeep/{run_prefix}"
+    checkpoint = checkpoint or default_checkpoint(warehouse, run_prefix)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         run_snapshot(warehouse, batch, f"{run_prefix}{batch_id:09d}", clock(), clock(), options)
