@@ -179,9 +179,8 @@ def lookup_id(item_ref: Column) -> Column:
     ).otherwise(item_ref)
 
 
-def target_class(reference: Column) -> Column:
-    """What a reference resolves to: ``item``, ``layer`` (one layer) or ``collection``."""
-    ref = parse_layer_ref(reference)
+def target_class(ref: Column) -> Column:
+    """What a parsed reference resolves to: ``item``, ``layer`` (one layer) or ``collection``."""
     one_layer = ref["url"].rlike("(^|/)[0-9]+/*$")
     return (
         F.when(ref["kind"] == "item_id", F.lit("item"))

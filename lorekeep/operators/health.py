@@ -58,11 +58,12 @@ def probe_items(
 ) -> DataFrame:
     """Probe every item that has a URL: item_id, checked_url and the raw outcome.
 
-    Item ids spread the requests evenly, however many items share a host; ``partitions`` bounds
-    how many tasks probe at once. Write the result before using it twice.
+    Item ids spread the requests evenly, however many items share a host. Waiting for replies is
+    the work here, not data, so the number of ``partitions`` is fixed beforehand (two per core when
+    not given) and not fitted to the small size of the rows. Write the result before using it twice.
     """
     todo = items.filter(has_url()).select("item_id", F.col("url").alias("checked_url"))
-    todo = todo.repartition(partitions, "item_id") if partitions else todo.repartition("item_id")
+    todo = todo.repartition(partitions or 2 * items.sparkSession.sparkContext.defaultParallelism, "item_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:

@@ -26,6 +26,7 @@ PREVIEW_LIMIT = 300
 # Previews beyond this are exported as feature rows, not as one document per layer.
 MAX_DOCUMENT_FEATURES = 1000
 
+# Fixed value: the error of a layer whose coordinates are not longitude and latitude.
 PROJECTED = (
     "Service ignored requests for Lat/Lon (EPSG:4326) and returned projected coordinates. "
     "Map preview requires Lat/Lon."
@@ -81,19 +82,22 @@ def resolve_targets(requests: DataFrame, items: DataFrame) -> DataFrame:
     parsed = parsed.select(
         *[c for c in requests.columns if c != "layer_index"],
         F.col("ref.kind").alias("kind"),
-        target_class(F.col("reference")).alias("target_class"),
+        target_class(F.col("ref")).alias("target_class"),
         lookup_id(F.col("ref.item_id")).alias("wanted_id"),
         F.regexp_replace(url, "/[0-9]+$", "").alias("service_url"),
         F.coalesce("layer_index", F.nullif(in_url, F.lit("")).try_cast("int"), "ref.layer_index").alias("layer_index"),
     )
-    known = items.select(F.col("item_id").alias("resolved_id"), F.regexp_replace("url", "/+$", "").alias("item_url"))
-    by_id = parsed.filter(F.col("kind") == "item_id").join(
-        known, F.col("wanted_id") == F.col("resolved_id"), "left"
+    keyed = parsed.withColumn("key", F.when(F.col("kind") == "item_id", F.col("wanted_id")).otherwise(F.col("service_url")))
+    # Items answer to their id and to their URL: one lookup serves both kinds of reference.
+    names = F.array(
+        F.struct(F.lit("item_id").alias("kind"), F.col("item_id").alias("key")),
+        F.struct(F.lit("service_url").alias("kind"), F.regexp_replace("url", "/+$", "").alias("key")),
     )
-    by_url = parsed.filter(F.col("kind") == "service_url").join(
-        known, F.col("service_url") == F.col("item_url"), "left"
+    known = items.select(F.col("item_id").alias("resolved_id"), F.inline(names)).filter(F.col("key").isNotNull())
+    return keyed.join(known, ["kind", "key"], "left").select(
+        *[c for c in requests.columns if c != "layer_index"],
+        "kind", "target_class", "service_url", "layer_index", "resolved_id",
     )
-    return by_id.unionByName(by_url).drop("wanted_id", "item_url")
 
 
 def requested_counts(counts: DataFrame, targets: DataFrame) -> DataFrame:

@@ -71,6 +71,16 @@ def parse_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     return raw.withColumn("item", F.try_parse_json(column))
 
 
+def _accepted(raw: DataFrame, column: str, carry: tuple[str, ...]) -> DataFrame:
+    """``item`` of the rows that have an id.
+
+    A filter on the id would be pushed below the parsing and so parse every text a second time;
+    exploding a null drops the row just as well, and stays where it is.
+    """
+    item = F.when(_text_field("id").isNotNull(), F.array("item"))
+    return parse_items(raw, column).select(*carry, F.explode(item).alias("item"))
+
+
 def normalize_items(
     raw: DataFrame, run_id: str, as_of: datetime | str, column: str = "raw", carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -80,7 +90,7 @@ def normalize_items(
     """
     views = _field("numViews")
     parsed = (
-        parse_items(raw, column)
+        _accepted(raw, column, carry)
         .select(
             *carry,
             _text_field("id").alias("item_id"),
@@ -101,7 +111,6 @@ def normalize_items(
             .alias("num_views"),
             canonical_digest(*[_json_or_null(f) for f in HASHED_FIELDS]).alias("content_hash"),
         )
-        .filter(F.col("item_id").isNotNull())
     )
     full = parsed.withColumns(
         {
@@ -125,11 +134,8 @@ def rejected_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     reason = F.when(F.col("item").isNull(), F.lit("not JSON")).when(
         _text_field("id").isNull(), F.lit("no item id")
     )
-    return (
-        parse_items(raw, column)
-        .withColumn("reason", reason)
-        .filter(F.col("reason").isNotNull())
-        .drop("item")
+    return parse_items(raw, column).select(
+        *raw.columns, F.explode(F.array_compact(F.array(reason))).alias("reason")
     )
 
 

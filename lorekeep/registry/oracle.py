@@ -423,6 +423,20 @@ FROM items i LEFT JOIN (SELECT * FROM scores WHERE run_id = '{RUN}') s ON s.item
 LEFT JOIN lineitem ON CAST(l_orderkey AS VARCHAR) = i.item_id""",
         _ITEMS, _SCORES,
     ),
+    "remediation_pack": _with(
+        "\nUNION ALL\n".join(
+            f"""SELECT '{c}' AS category, item_id, title, item_type, owner,
+       CAST(least(greatest(100 - coalesce(quality_score, 50) + {w}, 0), 100) AS INTEGER) AS priority,
+       '{a}' AS recommended_action, url, quality_score, modified_at FROM base WHERE {f}"""
+            for c, w, a, f in (
+                ("missing_tags", 10, "ADD_TAGS", _NO_TAGS),
+                ("missing_description", 15, "ADD_DESCRIPTION", "has_description = FALSE"),
+                ("stale_items", 10, "REVIEW_STALE", _STALE),
+                ("broken_services", 30, "FIX_SERVICE_URL", "health_ok = FALSE"),
+            )
+        ),
+        _ITEMS, _HEALTH, _SCORES, _BASE,
+    ),
     "owner_remediation": _with(
         f"""SELECT i.owner, count(*) AS total_items, count(*) FILTER ({_NO_TAGS}) AS missing_tags_count,
        count(*) FILTER (has_description = FALSE) AS missing_description_count,
@@ -477,6 +491,31 @@ FROM (SELECT * FROM runs ORDER BY started_at DESC, run_id LIMIT 1) r""",
 FROM raw WHERE id IS NOT NULL""",
         _RAW,
     ),
+    "normalized_scan": _with(
+        """SELECT id AS item_id, coalesce(nullif(title, ''), 'Untitled') AS title, coalesce(nullif(owner, ''), 'Unknown') AS owner,
+       CASE d % 3 WHEN 0 THEN NULL WHEN 1 THEN d * 3 ELSE 0 END AS num_views
+FROM raw WHERE id IS NOT NULL AND type IS NOT NULL""",
+        _RAW,
+    ),
+    "normalized_scores": _with(
+        f"""SELECT id AS item_id,
+       CAST(20 * described::INT + 15 * (tags_count >= 3)::INT + 15 * has_extent::INT + 5 * (thumbnail IS NOT NULL)::INT
+            + 5 * (length(coalesce(snippet, '')) BETWEEN 20 AND 200)::INT
+            + 5 * (length(coalesce(nullif(title, ''), 'Untitled')) BETWEEN 10 AND 120)::INT
+            + 20 * (make_timestamp(modified * 1000) > {_AS_OF} - INTERVAL 181 DAY)::INT + 10 * (url IS NOT NULL)::INT
+            AS INTEGER) AS score,
+       '[' || concat_ws(',', CASE WHEN NOT described THEN '"description"' END, CASE WHEN tags_count = 0 THEN '"tags"' END,
+         CASE WHEN thumbnail IS NULL THEN '"thumbnail"' END) || ']' AS missing_json
+FROM (SELECT *, coalesce(description, '') <> '' AS described FROM raw) WHERE id IS NOT NULL""",
+        _RAW,
+    ),
+    "item_type_flags": """SELECT CASE WHEN doc_id % 3 = 0 THEN 'Feature Layer' ELSE 'Web Map' END AS item_type,
+       count(*) FILTER (doc_id % 3 = 0) AS previewable, count(*) FILTER (doc_id % 3 = 0) AS countable, count(*) AS with_url
+FROM documents GROUP BY ALL""",
+    "batch_last_wins": """SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE CAST(l_orderkey % 1000 AS VARCHAR) END AS item_id,
+       l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC,
+  l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1""",
     "rejected_items": "SELECT doc_id AS seq, 'no item id' AS reason FROM documents WHERE doc_id % 97 = 0",
     "upsert_current": _with(
         """SELECT item_id, run_id, content, observed_at FROM (
@@ -495,6 +534,7 @@ FROM raw WHERE id IS NOT NULL""",
 FROM saved""",
         _WATCH, _replay("log", "saved"),
     ),
+    "watchlist_apply_log": _with("SELECT * FROM saved", _WATCH, _replay("log", "saved")),
     "watchlist_upsert": _with(
         """SELECT coalesce(n.item_id, o.item_id) AS item_id, coalesce(n.item_url, o.item_url) AS item_url,
        coalesce(n.title, o.title) AS title, coalesce(n.item_type, o.item_type) AS item_type,
@@ -518,6 +558,10 @@ FROM saved o FULL OUTER JOIN again n ON n.item_id = o.item_id""",
 FROM scored WHERE type = 'Feature Layer' ORDER BY hit_no LIMIT 50""",
         _DOC_ITEMS,
     ),
+    "search_unranked": _with(
+        """SELECT hit_no, title, quality_score FROM scored WHERE type = 'Feature Layer' ORDER BY hit_no LIMIT 5""",
+        _DOC_ITEMS,
+    ),
     "search_scores": _with("SELECT id, title, quality_score FROM scored", _DOC_ITEMS),
     "layer_row_counts": _with("SELECT * FROM counts", _COUNTS),
     "layer_row_total": _with(

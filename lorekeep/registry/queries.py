@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import predicates
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import current, health, history, issues, layers, normalize, remediation, scores, search
@@ -190,6 +191,11 @@ def owner_remediation(spark, d):
     return issues.owner_remediation(fx.catalog_items(spark, d), _health(spark, d), RUN, AS_OF)
 
 
+@query
+def remediation_pack(spark, d):
+    return remediation.remediation_actions(_base(spark, d), AS_OF)
+
+
 # --- runs and status ---------------------------------------------------------------------------
 
 
@@ -243,6 +249,41 @@ def rejected_items(spark, d):
     return normalize.rejected_items(fx.raw_items(spark, d)).select("seq", "reason")
 
 
+@query
+def normalized_scan(spark, d):
+    items = normalize.normalize_items(fx.raw_items(spark, d), RUN, AS_OF)
+    chosen = normalize.scan_items(items, None, ["Feature Service"])
+    return chosen.select("item_id", "title", "owner", "num_views")
+
+
+@query
+def normalized_scores(spark, d):
+    items = normalize.normalize_items(fx.raw_items(spark, d), RUN, AS_OF)
+    return scores.score_items(items, RUN, AS_OF).select("item_id", "score", "missing_json")
+
+
+@query
+def item_type_flags(spark, d):
+    items = fx.document_items(spark, d).withColumnRenamed("type", "item_type")
+    return items.groupBy("item_type").agg(
+        F.count_if(predicates.previewable()).alias("previewable"),
+        F.count_if(predicates.countable()).alias("countable"),
+        F.count_if(predicates.has_url()).alias("with_url"),
+    )
+
+
+@query
+def batch_last_wins(spark, d):
+    """A batch of order lines in which one item has a third of the rows."""
+    k = F.col("l_orderkey")
+    batch = table(spark, d, "lineitem").select(
+        F.when(k % 3 == 0, F.lit("hot")).otherwise((k % 1000).cast("string")).alias("item_id"),
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag",
+    )
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return current.last_in_batch(batch, *order)
+
+
 @query
 def upsert_current(spark, d):
     seen = fx.observations(spark, d)
@@ -311,6 +352,15 @@ def watchlist_export(spark, d):
     return watchlist.listing(watchlist.replay(fx.watch_log(spark, d)))
 
 
+@query
+def watchlist_apply_log(spark, d):
+    """Replaying the log in two parts gives the same list as at once."""
+    log = fx.watch_log(spark, d)
+    half = V.ntz("2024-01-15 00:00:00")
+    saved = watchlist.replay(log.filter(F.col("added_at") < half))
+    return watchlist.apply_log(saved, log.filter(F.col("added_at") >= half))
+
+
 @query
 def watchlist_upsert(spark, d):
     """The list after half of the log, then every later buyer saved again."""
@@ -342,6 +392,12 @@ def search_rank(spark, d):
     return ranked.select("hit_no", "id", "title", "type", "owner", "url", "quality_score", "is_saved")
 
 
+@query
+def search_unranked(spark, d):
+    hits = search.search_items(fx.document_items(spark, d), SEARCH_TERM)
+    return search.rank_hits(hits, by_quality=False).select("hit_no", "title", "quality_score")
+
+
 @query
 def search_scores(spark, d):
     hits = search.search_items(fx.document_items(spark, d), SEARCH_TERM, None, max_items=None)
@@ -500,14 +556,16 @@ def html_to_text(spark, d):
 
 @query
 def layer_ref_parse(spark, d):
-    ref = X.parse_layer_ref(F.col("reference"))
-    return fx.layer_references(spark, d).select(
+    parsed = fx.layer_references(spark, d).select(
+        "ref_no", X.parse_layer_ref(F.col("reference")).alias("ref")
+    )
+    return parsed.select(
         "ref_no",
-        ref["kind"].alias("kind"),
-        ref["url"].alias("url"),
-        X.lookup_id(ref["item_id"]).alias("item_id"),
-        ref["layer_index"].alias("layer_index"),
-        X.target_class(F.col("reference")).alias("target_class"),
+        "ref.kind",
+        "ref.url",
+        X.lookup_id(F.col("ref.item_id")).alias("item_id"),
+        "ref.layer_index",
+        X.target_class(F.col("ref")).alias("target_class"),
     )
 
 

@@ -63,8 +63,8 @@ REFERENCES = {
 
 def test_layer_references(spark):
     df = spark.createDataFrame(list(enumerate(REFERENCES)), "i INT, v STRING")
-    ref = X.parse_layer_ref(F.col("v"))
-    rows = df.select("i", ref.alias("r"), X.target_class(F.col("v")).alias("c")).orderBy("i").collect()
+    parsed = df.select("i", X.parse_layer_ref(F.col("v")).alias("r"))
+    rows = parsed.select("i", "r", X.target_class(F.col("r")).alias("c")).orderBy("i").collect()
     assert [(r.r.kind, r.r.url, r.r.item_id, r.r.layer_index, r.c) for r in rows] == list(REFERENCES.values())
 
 
