@@ -144,7 +144,7 @@ def extents(features: DataFrame) -> DataFrame:
 
 def bounds_check(features: DataFrame, sample: int = BOUNDS_SAMPLE) -> DataFrame:
     """Per layer: does one of its first features start outside longitude and latitude."""
-    head = first_rows(features.select(*LAYER, "feature_id", "geometry"), LAYER, sample, F.asc("feature_id"))
+    head = first_rows(features.select(*LAYER, "feature_id", "geometry"), LAYER, sample, ["feature_id"])
     return (
         with_positions(head)
         .groupBy(*LAYER)
@@ -154,7 +154,7 @@ def bounds_check(features: DataFrame, sample: int = BOUNDS_SAMPLE) -> DataFrame:
 
 def diagnose(features: DataFrame, sample: int = DIAGNOSE_SAMPLE) -> DataFrame:
     """Coordinate range of each layer's first features; the verdict looks at the minima only."""
-    head = first_rows(features.select(*LAYER, "feature_id", "geometry"), LAYER, sample, F.asc("feature_id"))
+    head = first_rows(features.select(*LAYER, "feature_id", "geometry"), LAYER, sample, ["feature_id"])
     verdict = F.col("xmin").between(-180, 180) & F.col("ymin").between(-90, 90)
     return extents(head).withColumn("is_lat_lon", F.coalesce(verdict, F.lit(False)))
 
@@ -165,7 +165,7 @@ def preview_features(
     """The first features of every layer (not table), or of one ``(item_id, layer_index)``."""
     chosen = features.filter(F.expr(where)).filter(F.col("layer_kind") == "layer")
     if layer is None:
-        return first_rows(chosen, LAYER, limit, F.asc("feature_id"))
+        return first_rows(chosen, LAYER, limit, ["feature_id"])
     one = chosen.filter((F.col("item_id") == layer[0]) & (F.col("layer_index") == layer[1]))
     return one.orderBy("feature_id").limit(limit)
 
@@ -191,7 +191,7 @@ def feature_collections(geojson: DataFrame, limit: int = PREVIEW_LIMIT) -> DataF
     """
     if limit > MAX_DOCUMENT_FEATURES:
         raise ValueError(f"a preview document holds at most {MAX_DOCUMENT_FEATURES} features")
-    head = first_rows(geojson, LAYER, limit, F.asc("feature_id"))
+    head = first_rows(geojson, LAYER, limit, ["feature_id"])
     listed = F.array_sort(F.collect_list(F.struct("feature_id", "feature")))
     body = F.array_join(F.transform("listed", lambda f: f["feature"]), ",")
     return (
@@ -230,7 +230,7 @@ def preview_status(
         chosen.join(asked, ["item_id", "layer_index"], "left_semi").select(*LAYER, "feature_id", "geometry"),
         LAYER,
         limit,
-        F.asc("feature_id"),
+        ["feature_id"],
         rank_column="place",
     )
     off = (F.col("place") <= BOUNDS_SAMPLE) & G.not_lon_lat(F.col("positions"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import WATCHLIST_ITEMS
@@ -15,34 +16,44 @@ EXPORT_NAMES = {
 _LATEST = ("item_url", "title", "item_type", "owner", "added_at")
 
 
-def replay(log: DataFrame, salts: int = 16) -> DataFrame:
+# Actions of one item that are handled together; a longer log of an item is cut into such pieces.
+PIECE = 1_000_000
+
+
+def replay(log: DataFrame, piece: int = PIECE) -> DataFrame:
     """Saved items after all actions of ``log`` (seq, action, watchlist columns).
 
     Saving again overwrites everything but ``source_query`` (first one kept) and ``notes`` (kept
-    when not given); removing forgets the item. All parts are aggregates that each task begins on
-    its own. The saves of one item are further spread over ``salts`` tasks, so that an item with
-    very many actions is no burden: only its last removal is copied to each.
+    when not given); removing forgets the item, so only the saves after its last removal count.
+
+    ``seq`` numbers the actions, so an item has at most ``piece`` of them in one range of that
+    length, however much of the log is its own. Each range is reduced to one row per item, what
+    the saves after the range's last removal amount to. Ranges before the item's last removal
+    then drop out as a whole, and the others are combined.
     """
-    removed = (
-        log.filter(F.col("action") == "remove")
-        .groupBy("item_id")
-        .agg(F.max("seq").alias("removed_seq"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    in_piece = W.partitionBy("item_id", "piece")
+    removal = F.when(F.col("action") == "remove", F.col("seq"))
+    marked = log.withColumn("piece", F.floor(F.col("seq") / piece)).withColumn(
+        "removed_seq", F.max(removal).over(in_piece)
     )
-    saves = log.filter(F.col("action") == "save").withColumn("salt", F.pmod("seq", F.lit(salts)).cast("int"))
-    live = saves.join(removed, ["item_id", "salt"], "left").filter(
-        F.col("removed_seq").isNull() | (F.col("seq") > F.col("removed_seq"))
-    )
-    notes_seq = F.when(F.col("notes").isNotNull(), F.col("seq"))
-    partial = live.groupBy("item_id", "salt").agg(
-        F.max_by(F.struct(*_LATEST), "seq").alias("latest"),
-        F.max("seq").alias("latest_seq"),
-        F.min_by("source_query", "seq").alias("source_query"),
-        F.min("seq").alias("first_seq"),
+    live = (F.col("action") == "save") & (F.col("removed_seq").isNull() | (F.col("seq") > F.col("removed_seq")))
+    live_seq = F.when(live, F.col("seq"))
+    notes_seq = F.when(live & F.col("notes").isNotNull(), F.col("seq"))
+    pieces = marked.groupBy("item_id", "piece").agg(
+        F.max("removed_seq").alias("removed_seq"),
+        F.max_by(F.struct(*_LATEST), live_seq).alias("latest"),
+        F.max(live_seq).alias("latest_seq"),
+        F.min_by("source_query", live_seq).alias("source_query"),
+        F.min(live_seq).alias("first_seq"),
         F.max_by("notes", notes_seq).alias("notes"),
         F.max(notes_seq).alias("notes_seq"),
     )
-    whole = partial.groupBy("item_id").agg(
+    last_removal = F.max("removed_seq").over(W.partitionBy("item_id"))
+    current = pieces.withColumn("last_removal", last_removal).filter(
+        F.col("first_seq").isNotNull()
+        & (F.col("last_removal").isNull() | (F.col("first_seq") > F.col("last_removal")))
+    )
+    whole = current.groupBy("item_id").agg(
         F.max_by("latest", "latest_seq").alias("latest"),
         F.min_by("source_query", "first_seq").alias("source_query"),
         F.max_by("notes", "notes_seq").alias("notes"),
@@ -50,14 +61,14 @@ def replay(log: DataFrame, salts: int = 16) -> DataFrame:
     return whole.select("item_id", "latest.*", "source_query", "notes").select(*WATCHLIST_ITEMS.names)
 
 
-def apply_log(watchlist: DataFrame, log: DataFrame, salts: int = 16) -> DataFrame:
+def apply_log(watchlist: DataFrame, log: DataFrame) -> DataFrame:
     """Saved items after further actions: what is saved already counts as saved before them.
 
     ``seq`` of the log starts at 0.
     """
     before = watchlist.withColumns({"seq": F.lit(-1).cast("bigint"), "action": F.lit("save")})
     columns = ["seq", "action", *WATCHLIST_ITEMS.names]
-    return replay(before.select(*columns).unionByName(log.select(*columns)), salts)
+    return replay(before.select(*columns).unionByName(log.select(*columns)))
 
 
 def upsert(watchlist: DataFrame, saved: DataFrame) -> DataFrame:

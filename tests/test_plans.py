@@ -98,13 +98,20 @@ def test_remediation_base_shuffles_items_once(spark, sf_dir):
 def test_first_rows_are_cut_before_the_shuffle(spark):
     key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k")
     df = spark.range(1000).select(key, "id")
-    text = plan(first_rows(df, ["k"], 5, F.asc("id")))
+    text = plan(first_rows(df, ["k"], 5, ["id"]))
     limits = [line for line in text.splitlines() if "WindowGroupLimit" in line]
     assert "Final" in limits[0] and "Partial" in limits[-1]
     below = text.index(limits[-1])
     assert text.index("Exchange hashpartitioning") < below  # plans read from the top: cut, then shuffle
-    hot = first_rows(df, ["k"], 3, F.asc("id")).filter("k = 'hot'").orderBy("id").collect()
+    hot = first_rows(df, ["k"], 3, ["id"]).filter("k = 'hot'").orderBy("id").collect()
     assert [r.id for r in hot] == [0, 3, 6]
+    many = spark.range(9000).select(key, "id")
+    kept = first_rows(many, ["k"], 2000, ["id"], rank_column="place").filter("k = 'hot'")
+    assert kept.agg(F.count("*"), F.max("id"), F.max("place")).first()[:] == (2000, 5997, 2000)
+
+
+def test_styles_do_not_shuffle_the_features(spark, sf_dir):
+    assert exchanges(QUERIES["class_style_lookup"](spark, sf_dir)) == 1  # of the styles, per class
 
 
 def test_bounds_check_and_preview_use_the_group_limit(spark):
@@ -145,16 +152,18 @@ def test_fanout_join_splits_a_hot_right_key(spark):
             spark.conf.unset(k)
 
 
-def test_watchlist_salt_spreads_a_hot_item(spark):
+def test_hot_watchlist_item_is_spread_over_pieces(spark):
     log = spark.range(0, 4000, 1, 4).select(
         F.col("id").alias("seq"), F.when(F.col("id") == 100, F.lit("remove")).otherwise(F.lit("save")).alias("action"),
-        F.when(F.col("id") < 9999, F.lit("hot")).otherwise(F.lit("cold")).alias("item_id"), *[F.lit("x").alias(c) for c in ("item_url", "title", "item_type", "owner")],
+        F.when(F.col("id") < 9999, F.lit("hot")).otherwise(F.lit("cold")).alias("item_id"),
+        *[F.lit("x").alias(c) for c in ("item_url", "title", "item_type", "owner")],
         F.concat(F.lit("q"), F.col("id").cast("string")).alias("source_query"), F.lit(None).cast("timestamp_ntz").alias("added_at"),
         F.lit(None).cast("string").alias("notes"),
     )
-    df = W.replay(log)
+    df = W.replay(log, piece=50)
     assert df.first().source_query == "q101"
-    assert re.search(r"hashpartitioning\(item_id#\d+, salt#\d+", plan(df))
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan(df).split("== Initial Plan ==")[-1])
+    assert [k.count(",") + 1 for k in keys] == [1, 2]  # pieces of items first (lowest), then items
 
 
 def test_change_report_with_limit_does_not_shuffle_the_history(spark, tmp_path):

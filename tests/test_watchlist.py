@@ -45,7 +45,9 @@ def by_id(df):
 def test_replay_equals_one_by_one(spark):
     for seed in (1, 2):
         rows = random_log(seed)
-        assert by_id(W.replay(spark.createDataFrame(rows, LOG))) == expected(rows)
+        log = spark.createDataFrame(rows, LOG)
+        for piece in (W.PIECE, 1, 7, 50):  # the cut must not show
+            assert by_id(W.replay(log, piece)) == expected(rows)
 
 
 def test_apply_log_continues_a_list(spark):
