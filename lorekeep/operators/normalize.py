@@ -32,9 +32,14 @@ def _kind(name: str) -> Column:
     return F.schema_of_variant(_field(name))
 
 
-def _json_or_null(name: str) -> Column:
+def _hashed(name: str) -> Column:
+    """Text of a field with its kind: quoted if it is a string, JSON if not, null without a value.
+
+    The digest puts lengths before its fields, so the quotes only tell ``"5"`` from ``5``.
+    """
     field = _field(name)
-    return F.when(~F.is_variant_null(field), F.to_json(field))
+    quoted = F.concat(F.lit('"'), _text_field(name), F.lit('"'))
+    return F.when(_kind(name) == "STRING", quoted).when(~F.is_variant_null(field), F.to_json(field))
 
 
 def _tags() -> Column:
@@ -109,7 +114,7 @@ def normalize_items(
             F.when(views.isNull(), F.lit(0))
             .otherwise(F.try_variant_get("item", "$.numViews", "bigint"))
             .alias("num_views"),
-            canonical_digest(*[_json_or_null(f) for f in HASHED_FIELDS]).alias("content_hash"),
+            canonical_digest(*[_hashed(f) for f in HASHED_FIELDS]).alias("content_hash"),
         )
     )
     full = parsed.withColumns(

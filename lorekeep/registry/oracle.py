@@ -262,7 +262,7 @@ FROM history h WHERE first_seen_run_id = '{run}' ORDER BY item_id {limit}""",
 
 
 def _digest(*fields: str) -> str:
-    parts = ", ".join(f"coalesce(length({f}) || ':' || {f}, '~')" for f in fields)
+    parts = ", ".join(f"coalesce(length({f}) || ':' || ({f}), '~')" for f in fields)
     return f"sha256(concat_ws(';', {parts}))"
 
 
@@ -290,10 +290,13 @@ raw AS (
               ELSE '[[-' || (doc_id % 180 + 1) || ',-2],[' || (doc_id % 180) || '.5,4]]' END AS raw_extent
   FROM documents)"""
 
+def _quoted(column: str) -> str:
+    return f"'\"' || {column} || '\"'"
+
+
 _RAW_HASH = _digest(
-    "to_json(id)::VARCHAR", "to_json(title)::VARCHAR", "to_json(type)::VARCHAR", "to_json(owner)::VARCHAR",
-    "to_json(url)::VARCHAR", "'\"public\"'", "raw_tags", "to_json(snippet)::VARCHAR",
-    "to_json(description)::VARCHAR", "to_json(thumbnail)::VARCHAR", "raw_extent", "modified::VARCHAR",
+    *[_quoted(c) for c in ("id", "title", "type", "owner", "url", "'public'")], "raw_tags",
+    *[_quoted(c) for c in ("snippet", "description", "thumbnail")], "raw_extent", "modified::VARCHAR",
 )
 
 _REFERENCES = """
