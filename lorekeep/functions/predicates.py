@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import ntz
+from .values import ntz_sql
 
 # Item types that can be drawn, and those whose rows can be counted.
 PREVIEWABLE_TYPES = ("Feature Service", "Feature Layer", "Map Service")
@@ -19,13 +19,11 @@ COUNTABLE_TYPES = ("Feature Service", "Feature Layer")
 
 
 def missing_tags(null_means_missing: bool = True) -> Column:
-    count = F.col("tags_count")
-    return F.coalesce(count, F.lit(0)) == 0 if null_means_missing else count == 0
+    return F.expr("coalesce(tags_count, 0) = 0" if null_means_missing else "tags_count = 0")
 
 
 def _absent(flag: str, null_means_missing: bool) -> Column:
-    col = F.col(flag)
-    return ~F.coalesce(col, F.lit(False)) if null_means_missing else ~col
+    return F.expr(f"NOT coalesce({flag}, false)" if null_means_missing else f"NOT {flag}")
 
 
 def missing_description(null_means_missing: bool = True) -> Column:
@@ -36,9 +34,9 @@ def missing_extent(null_means_missing: bool = True) -> Column:
     return _absent("has_extent", null_means_missing)
 
 
-def stale(as_of: datetime | str | Column, years: int = 2) -> Column:
+def stale(as_of: datetime | str, years: int = 2) -> Column:
     """Modified before ``as_of`` minus calendar years, time of day kept; unknown is not stale."""
-    return F.col("modified_at") < ntz(as_of) - F.make_ym_interval(F.lit(years), F.lit(0))
+    return F.expr(f"modified_at < {ntz_sql(as_of)} - INTERVAL '{years}' YEAR")
 
 
 def broken(flag: str = "ok") -> Column:

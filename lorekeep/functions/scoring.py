@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import clamp, ntz
+from .values import clamp, ntz_sql
 
 # Points per catalog rule, in breakdown order (sum of all: 95).
 POINTS = {
@@ -32,51 +32,41 @@ PRIORITY_WEIGHT = {
 UNSCORED = 50
 
 
-def rule_flags(as_of: datetime | str | Column) -> dict[str, Column]:
-    """Which catalog rules an item satisfies; nulls fail a rule, future dates are fresh.
+def _rules(as_of: datetime | str) -> dict[str, str]:
+    """The condition of each catalog rule; nulls fail a rule, future dates are fresh.
 
     Age counts whole days, so the last fresh moment is just under ``FRESH_DAYS + 1`` days ago.
     """
-    day_limit = ntz(as_of) - F.make_dt_interval(F.lit(FRESH_DAYS + 1))
-    flags = {
-        "has_description": F.col("has_description"),
-        "tags_count": F.col("tags_count") >= 3,
-        "has_extent": F.col("has_extent"),
-        "has_thumbnail": F.col("has_thumbnail"),
-        "snippet_len": F.col("snippet_len").between(20, 200),
-        "title_len": F.length("title").between(10, 120),
-        "freshness": F.col("modified_at") > day_limit,
-        "url": F.col("url") != "",
+    return {
+        "has_description": "has_description",
+        "tags_count": "tags_count >= 3",
+        "has_extent": "has_extent",
+        "has_thumbnail": "has_thumbnail",
+        "snippet_len": "snippet_len BETWEEN 20 AND 200",
+        "title_len": "length(title) BETWEEN 10 AND 120",
+        "freshness": f"modified_at > {ntz_sql(as_of)} - INTERVAL '{FRESH_DAYS + 1}' DAY",
+        "url": "url <> ''",
     }
-    return {name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}
 
 
-def catalog_score(as_of: datetime | str | Column) -> Column:
-    total = F.lit(0)
-    for name, flag in rule_flags(as_of).items():
-        total = total + F.when(flag, F.lit(POINTS[name])).otherwise(F.lit(0))
-    return clamp(total)
+def catalog_score(as_of: datetime | str) -> Column:
+    points = [f"CASE WHEN {rule} THEN {POINTS[name]} ELSE 0 END" for name, rule in _rules(as_of).items()]
+    return clamp(F.expr(" + ".join(points)))
 
 
-def score_breakdown(as_of: datetime | str | Column) -> Column:
+def score_breakdown(as_of: datetime | str) -> Column:
     """JSON object of the rules that gave points."""
-    pairs = []
-    for name, flag in rule_flags(as_of).items():
-        pairs += [F.lit(name), F.when(flag, F.lit(POINTS[name]))]
-    return F.to_json(F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()))
+    pairs = [f"'{name}', CASE WHEN {rule} THEN {POINTS[name]} END" for name, rule in _rules(as_of).items()]
+    return F.expr(f"to_json(map_filter(map({', '.join(pairs)}), (rule, points) -> points IS NOT NULL))")
 
 
 def missing_fields() -> Column:
     """JSON array of what is absent. A missing extent is scored but never listed."""
-    absent = lambda flag: ~F.coalesce(F.col(flag), F.lit(False))
-    return F.to_json(
-        F.array_compact(
-            F.array(
-                F.when(absent("has_description"), F.lit("description")),
-                F.when(F.coalesce(F.col("tags_count"), F.lit(0)) == 0, F.lit("tags")),
-                F.when(absent("has_thumbnail"), F.lit("thumbnail")),
-            )
-        )
+    return F.expr(
+        """to_json(array_compact(array(
+             CASE WHEN NOT coalesce(has_description, false) THEN 'description' END,
+             CASE WHEN coalesce(tags_count, 0) = 0 THEN 'tags' END,
+             CASE WHEN NOT coalesce(has_thumbnail, false) THEN 'thumbnail' END)))"""
     )
 
 

@@ -15,16 +15,15 @@ DEFAULT_OPACITY = 0.4
 _MIN_MS, _MAX_MS = -62135596800000, 253402300799999
 
 
-def ntz(value: datetime | str | Column) -> Column:
-    """Zone-less timestamp literal (``F.lit(datetime)`` would be zone-dependent)."""
-    if isinstance(value, Column):
-        return value.cast("timestamp_ntz")
-    return F.lit(str(value)).cast("timestamp_ntz")
+def ntz_sql(value: datetime | str) -> str:
+    """SQL literal of a zone-less timestamp."""
+    moment = value if isinstance(value, datetime) else datetime.fromisoformat(value)
+    return f"TIMESTAMP_NTZ '{moment.isoformat(sep=' ')}'"
 
 
-def or_default(value: Column, default: str) -> Column:
-    """``default`` where the value is null or empty."""
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
+def ntz(value: datetime | str | Column) -> Column:
+    """Zone-less timestamp (``F.lit(datetime)`` would depend on the session's zone)."""
+    return value.cast("timestamp_ntz") if isinstance(value, Column) else F.expr(ntz_sql(value))
 
 
 def epoch_ms_to_ntz(ms: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ def apply_batch(
     history: DataFrame,
     batch: DataFrame,
     run_id: str,
-    started_at: datetime | str | Column,
+    started_at: datetime | str,
     attributes: Sequence[str] = HISTORY_ATTRIBUTES,
 ) -> DataFrame:
     """History after one run saw ``batch`` (one row per item).
@@ -30,39 +30,36 @@ def apply_batch(
     """
     columns = ["item_id", "content_hash", "valid_from", "valid_to", "is_current", *attributes,
                "first_seen_run_id", "last_seen_run_id"]
-    start, run = ntz(started_at), F.lit(run_id)
-    # The nullability of a batch row differs from that of a history row; one schema serves both.
-    shape = history.select(*columns).schema
+    # A batch row may be nullable where a history row is not; one schema serves both.
+    types = {f.name: f.dataType.simpleString() for f in history.select(*columns).schema.fields}
 
-    def version(source: str, **changed: Column) -> Column:
-        fields = [
-            changed.get(f.name, F.col(f"{source}.{f.name}")).cast(f.dataType).alias(f.name)
-            for f in shape.fields
-        ]
-        return F.struct(*fields)
+    def version(source: str, **changed: str) -> str:
+        """SQL of a history row made from a version (old) or a batch row (new) and some changes."""
+        fields = [f"'{c}', CAST({changed.get(c, f'{source}.`{c}`')} AS {types[c]})" for c in columns]
+        return f"named_struct({', '.join(fields)})"
 
     old = history.select("item_id", "is_current", F.struct(*columns).alias("old"))
     seen = batch.select(
         "item_id",
         F.lit(True).alias("is_current"),
         F.struct("item_id", "content_hash", *attributes).alias("new"),
+        F.lit(run_id).alias("run"),
+        ntz(started_at).alias("start"),
     )
     opened = version(
         "new",
-        valid_from=start,
-        valid_to=F.lit(None),
-        is_current=F.lit(True),
-        first_seen_run_id=run,
-        last_seen_run_id=run,
+        valid_from="start",
+        valid_to="NULL",
+        is_current="true",
+        first_seen_run_id="run",
+        last_seen_run_id="run",
     )
-    closed = version("old", valid_to=start, is_current=F.lit(False))
-    touched = version("old", last_seen_run_id=run)
-    changed = F.col("old.content_hash") != F.col("new.content_hash")
-    rows = (
-        F.when(F.col("new").isNull(), F.array(version("old")))
-        .when(F.col("old").isNull(), F.array(opened))
-        .when(changed, F.array(closed, opened))
-        .otherwise(F.array(touched))
+    closed = version("old", valid_to="start", is_current="false")
+    rows = F.expr(
+        f"""CASE WHEN new IS NULL THEN array({version("old")})
+                 WHEN old IS NULL THEN array({opened})
+                 WHEN old.content_hash <> new.content_hash THEN array({closed}, {opened})
+                 ELSE array({version("old", last_seen_run_id="run")}) END"""
     )
     return (
         old.join(seen, ["item_id", "is_current"], "full_outer")

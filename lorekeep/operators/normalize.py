@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import canonical_digest, epoch_ms_to_ntz, ntz, or_default, split_tags
+from ..functions.values import canonical_digest, epoch_ms_to_ntz, ntz, split_tags
 from ..schemas import ITEMS_CURRENT
 
 # The raw fields whose change makes a new version. Views and creation do not.
@@ -19,56 +19,53 @@ HASHED_FIELDS = (
 _NUMBER_TYPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
-def _field(name: str) -> Column:
-    """Member of the parsed item: null when absent, a variant null when given as null."""
-    return F.try_variant_get("item", f"$.{name}", "variant")
+# SQL text of parts of ``item``, the parsed variant.
 
 
-def _text_field(name: str) -> Column:
-    return F.try_variant_get("item", f"$.{name}", "string")
+def _value(path: str, kind: str = "variant") -> str:
+    """A member, null when absent; as a variant, one given as null is a variant null."""
+    return f"try_variant_get(item, '$.{path}', '{kind}')"
 
 
-def _kind(name: str) -> Column:
-    return F.schema_of_variant(_field(name))
+def _text(name: str, default: str | None = None) -> str:
+    text = _value(name, "string")
+    return text if default is None else f"coalesce(nullif({text}, ''), '{default}')"
 
 
-def _hashed(name: str) -> Column:
+def _kind(name: str) -> str:
+    return f"schema_of_variant({_value(name)})"
+
+
+def _hashed(name: str) -> str:
     """Text of a field with its kind: quoted if it is a string, JSON if not, null without a value.
 
     The digest puts lengths before its fields, so the quotes only tell ``"5"`` from ``5``.
     """
-    field = _field(name)
-    quoted = F.concat(F.lit('"'), _text_field(name), F.lit('"'))
-    return F.when(_kind(name) == "STRING", quoted).when(~F.is_variant_null(field), F.to_json(field))
-
-
-def _tags() -> Column:
-    kind = _kind("tags")
-    return F.coalesce(
-        F.when(kind.startswith("ARRAY"), F.try_variant_get("item", "$.tags", "array<string>")).when(
-            kind == "STRING", split_tags(_text_field("tags"))
-        ),
-        F.array().cast("array<string>"),
-    )
+    return f"""CASE WHEN {_kind(name)} = 'STRING' THEN concat('"', {_text(name)}, '"')
+                    WHEN NOT is_variant_null({_value(name)}) THEN to_json({_value(name)}) END"""
 
 
 def _moment(name: str) -> Column:
-    number = F.when(_kind(name).rlike(_NUMBER_TYPES), F.try_variant_get("item", f"$.{name}", "double"))
-    return epoch_ms_to_ntz(number)
+    number = f"CASE WHEN {_kind(name)} RLIKE '{_NUMBER_TYPES}' THEN {_value(name, 'double')} END"
+    return epoch_ms_to_ntz(F.expr(number))
 
 
-def _corner(i: int, j: int) -> Column:
-    return F.try_variant_get("item", f"$.extent[{i}][{j}]", "double")
+def _tags() -> Column:
+    kind = F.expr(_kind("tags"))
+    listed = F.when(kind.startswith("ARRAY"), F.expr(_value("tags", "array<string>")))
+    split = listed.when(kind == "STRING", split_tags(F.expr(_text("tags"))))
+    return F.coalesce(split, F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
 def _extent() -> Column:
     """All four corners, or none when one is missing or not a number."""
-    two = F.size(F.try_variant_get("item", "$.extent", "array<variant>")) == 2
-    corners = {"xmin": (0, 0), "ymin": (0, 1), "xmax": (1, 0), "ymax": (1, 1)}
-    whole = two
-    for i, j in corners.values():
-        whole = whole & _corner(i, j).isNotNull()
-    return F.when(whole, F.struct(*[_corner(i, j).alias(n) for n, (i, j) in corners.items()]))
+    corners = {"xmin": "[0][0]", "ymin": "[0][1]", "xmax": "[1][0]", "ymax": "[1][1]"}
+    values = {name: _value(f"extent{at}", "double") for name, at in corners.items()}
+    whole = " AND ".join(f"{v} IS NOT NULL" for v in values.values())
+    box = ", ".join(f"'{name}', {v}" for name, v in values.items())
+    return F.expr(
+        f"CASE WHEN size({_value('extent', 'array<variant>')}) = 2 AND {whole} THEN named_struct({box}) END"
+    )
 
 
 def parse_items(raw: DataFrame, column: str = "raw") -> DataFrame:
@@ -82,7 +79,7 @@ def _accepted(raw: DataFrame, column: str, carry: tuple[str, ...]) -> DataFrame:
     A filter on the id would be pushed below the parsing and so parse every text a second time;
     exploding a null drops the row just as well, and stays where it is.
     """
-    item = F.when(_text_field("id").isNotNull(), F.array("item"))
+    item = F.expr(f"CASE WHEN {_text('id')} IS NOT NULL THEN array(item) END")
     return parse_items(raw, column).select(*carry, F.explode(item).alias("item"))
 
 
@@ -93,51 +90,48 @@ def normalize_items(
 
     Rows without an id or that are not JSON are left to :func:`rejected_items`.
     """
-    views = _field("numViews")
-    parsed = (
-        _accepted(raw, column, carry)
-        .select(
-            *carry,
-            _text_field("id").alias("item_id"),
-            or_default(_text_field("title"), "Untitled").alias("title"),
-            or_default(_text_field("type"), "Unknown").alias("item_type"),
-            or_default(_text_field("owner"), "Unknown").alias("owner"),
-            _text_field("url").alias("url"),
-            _text_field("access").alias("access"),
-            _moment("created").alias("created_at"),
-            _moment("modified").alias("modified_at"),
-            _tags().alias("tags"),
-            or_default(_text_field("snippet"), "").alias("snippet"),
-            or_default(_text_field("description"), "").alias("description"),
-            _text_field("thumbnail").alias("thumbnail"),
-            _extent().alias("extent"),
-            F.when(views.isNull(), F.lit(0))
-            .otherwise(F.try_variant_get("item", "$.numViews", "bigint"))
-            .alias("num_views"),
-            canonical_digest(*[_hashed(f) for f in HASHED_FIELDS]).alias("content_hash"),
-        )
+    texts = {
+        "item_id": _text("id"),
+        "title": _text("title", "Untitled"),
+        "item_type": _text("type", "Unknown"),
+        "owner": _text("owner", "Unknown"),
+        "url": _text("url"),
+        "access": _text("access"),
+        "snippet": _text("snippet", ""),
+        "description": _text("description", ""),
+        "thumbnail": _text("thumbnail"),
+        # Absent views are none, a null stays unknown.
+        "num_views": f"CASE WHEN {_value('numViews')} IS NULL THEN 0 ELSE {_value('numViews', 'bigint')} END",
+    }
+    fields = _accepted(raw, column, carry).select(
+        *carry,
+        *[F.expr(f"{text} AS {name}") for name, text in texts.items()],
+        _moment("created").alias("created_at"),
+        _moment("modified").alias("modified_at"),
+        _tags().alias("tags"),
+        _extent().alias("extent"),
+        canonical_digest(*[F.expr(_hashed(f)) for f in HASHED_FIELDS]).alias("content_hash"),
     )
-    full = parsed.withColumns(
-        {
-            "tags_json": F.to_json("tags"),
-            "tags_count": F.size("tags"),
-            "snippet_len": F.length("snippet"),
-            "description_len": F.length("description"),
-            "has_thumbnail": F.coalesce(F.col("thumbnail") != "", F.lit(False)),
-            "has_description": F.col("description") != "",
-            "has_extent": F.col("extent").isNotNull(),
-            **{f"extent_{c}": F.col(f"extent.{c}") for c in ("xmin", "ymin", "xmax", "ymax")},
-            "last_seen_run_id": F.lit(run_id),
-            "last_seen_at": ntz(as_of),
-        }
+    derived = {
+        "tags_json": "to_json(tags)",
+        "tags_count": "size(tags)",
+        "snippet_len": "length(snippet)",
+        "description_len": "length(description)",
+        "has_thumbnail": "coalesce(thumbnail <> '', false)",
+        "has_description": "description <> ''",
+        "has_extent": "extent IS NOT NULL",
+        **{f"extent_{corner}": f"extent.{corner}" for corner in ("xmin", "ymin", "xmax", "ymax")},
+    }
+    full = fields.selectExpr("*", *[f"{text} AS {name}" for name, text in derived.items()]).withColumns(
+        {"last_seen_run_id": F.lit(run_id), "last_seen_at": ntz(as_of)}
     )
     return full.select(*ITEMS_CURRENT.names, *carry)
 
 
 def rejected_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Raw rows that cannot enter the catalog, with the reason."""
-    reason = F.when(F.col("item").isNull(), F.lit("not JSON")).when(
-        _text_field("id").isNull(), F.lit("no item id")
+    reason = F.expr(
+        f"CASE WHEN item IS NULL THEN 'not JSON' WHEN {_text('id')} IS NULL THEN 'no item id' END"
     )
     return parse_items(raw, column).select(
         *raw.columns, F.explode(F.array_compact(F.array(reason))).alias("reason")

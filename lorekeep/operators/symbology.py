@@ -58,17 +58,18 @@ def class_styles(renderers: DataFrame) -> DataFrame:
     )
 
 
-def _attribute_text(features: DataFrame, field: Column) -> Column:
-    """Text of the attribute a field names: "None" for a null, empty for an unknown attribute."""
-    text = F.lit("")
+def _attributes(features: DataFrame) -> Column:
+    """Map of the attributes a class key can be made of, as text; a null reads "None"."""
+    pairs = []
     for name, kind in features.dtypes:
-        value = F.col(name).cast("string")
-        if kind == "boolean":
-            value = F.initcap(value)
-        elif kind.startswith(("array", "map", "struct", "variant", "binary")):
+        if kind.startswith(("array", "map", "struct", "variant", "binary")) or name == "geometry":
             continue
-        text = F.when(field == name, F.coalesce(value, F.lit("None"))).otherwise(text)
-    return text
+        quoted = "`" + name.replace("`", "``") + "`"
+        text = f"CAST({quoted} AS STRING)"
+        text = f"initcap({text})" if kind == "boolean" else text
+        label = name.replace("\\", "\\\\").replace("'", "\\'")
+        pairs.append(f"'{label}', coalesce({text}, 'None')")
+    return F.expr(f"map({', '.join(pairs)})")
 
 
 def style_features(
@@ -82,18 +83,18 @@ def style_features(
     """
     parsed = parse_renderers(renderers)
     layer = parsed.select(*_KEY, F.struct(*[c for c in parsed.columns if c not in _KEY]).alias("_layer"))
-    keys = [
-        F.when(F.col(f"_layer.{f}").isNotNull(), _attribute_text(features, F.col(f"_layer.{f}")))
-        for f in ("field1", "field2", "field3")
+    # An unknown attribute reads as empty.
+    named = lambda i: f"coalesce(try_element_at(_attributes, _layer.field{i}), '')"
+    more = [
+        f"CASE WHEN _layer.field{i} IS NULL THEN '' ELSE concat(_layer.delimiter, {named(i)}) END" for i in (2, 3)
     ]
-    more = [F.coalesce(F.concat("_layer.delimiter", k), F.lit("")) for k in keys[1:]]
-    class_key = F.when(
-        F.col("_layer.renderer_type") == "uniqueValue",
-        F.concat(F.coalesce(keys[0], F.lit("")), *more),
+    class_key = F.expr(
+        f"CASE WHEN _layer.renderer_type = 'uniqueValue' THEN concat({named(1)}, {', '.join(more)}) END"
     )
     classes = class_styles(renderers).withColumnsRenamed({"class_key": "_key", "class_style": "_class"})
     styled = (
-        features.join(layer, _KEY, "left")
+        features.withColumn("_attributes", _attributes(features))
+        .join(layer, _KEY, "left")
         .withColumn("_key", class_key)
         .join(classes, [*_KEY, "_key"], "left")
     )

@@ -18,63 +18,46 @@ def _text(col: Column) -> Column:
     return col.cast("string")
 
 
-def _every(key: Column, n: int) -> Column:
-    return key % n == 0
-
-
-def _unless(flag: Column, value: Column) -> Column:
-    return F.when(~flag, value)
-
-
-def _service_url(key: Column) -> Column:
-    return F.concat(F.lit("https://svc"), _text(key % 5), F.lit(".example.org/"), _text(key))
+def _service_url(key: str) -> str:
+    return f"concat('https://svc', {key} % 5, '.example.org/', {key})"
 
 
 def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One catalog item per order."""
-    k = F.col("o_orderkey")
-    title = F.concat("o_orderpriority", F.lit(" "), "o_orderstatus", F.lit(" #"), _text(k))
-    return table(spark, sf_dir, "orders").select(
-        _text(k).alias("item_id"),
-        F.when(_every(k, 13), F.lit("Untitled")).otherwise(title).alias("title"),
-        F.col("o_orderpriority").alias("item_type"),
-        F.concat(F.lit("owner_"), _text(F.col("o_custkey") % 97)).alias("owner"),
-        _unless(_every(k, 11), _service_url(k)).alias("url"),
-        _unless(_every(k, 17), F.col("o_orderdate")).alias("modified_at"),
-        _unless(_every(k, 19), (k % 6).cast("int")).alias("tags_count"),
-        F.when(_every(k, 19), F.lit(None))
-        .when(_every(k, 6), F.lit("[]"))
-        .otherwise(F.lit('["land"]'))
-        .alias("tags_json"),
-        _unless(_every(k, 23), k % 4 != 0).alias("has_description"),
-        (k % 3 != 0).alias("has_extent"),
-        (k % 2 == 0).alias("has_thumbnail"),
-        (k % 260).cast("int").alias("snippet_len"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS item_id",
+        """CASE WHEN o_orderkey % 13 = 0 THEN 'Untitled'
+                ELSE concat(o_orderpriority, ' ', o_orderstatus, ' #', o_orderkey) END AS title""",
+        "o_orderpriority AS item_type",
+        "concat('owner_', o_custkey % 97) AS owner",
+        f"CASE WHEN o_orderkey % 11 <> 0 THEN {_service_url('o_orderkey')} END AS url",
+        "CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS modified_at",
+        "CASE WHEN o_orderkey % 19 <> 0 THEN CAST(o_orderkey % 6 AS INT) END AS tags_count",
+        """CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN '[]'
+                ELSE '["land"]' END AS tags_json""",
+        "CASE WHEN o_orderkey % 23 <> 0 THEN o_orderkey % 4 <> 0 END AS has_description",
+        "o_orderkey % 3 <> 0 AS has_extent",
+        "o_orderkey % 2 = 0 AS has_thumbnail",
+        "CAST(o_orderkey % 260 AS INT) AS snippet_len",
     )
 
 
 def probe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What probing an item's URL gave, unclassified: one row per item with a URL and a line."""
-    k = F.col("l_orderkey")
     seen = (
         table(spark, sf_dir, "lineitem")
-        .filter(k % 11 != 0)
-        .groupBy(k)
-        .agg(
-            F.max("l_quantity").alias("q"),
-            F.max("l_extendedprice").alias("p"),
-            F.max("l_shipdate").alias("checked_at"),
-        )
+        .filter("l_orderkey % 11 <> 0")
+        .groupBy(F.col("l_orderkey").alias("k"))
+        .agg(F.expr("max(l_quantity) AS q"), F.expr("max(l_extendedprice) AS p"), F.expr("max(l_shipdate) AS checked_at"))
     )
-    q = F.col("q")
-    return seen.select(
-        F.when(_every(k, 9), F.lit(EARLIER_RUN)).otherwise(F.lit(RUN)).alias("run_id"),
-        _text(k).alias("item_id"),
-        _service_url(k).alias("checked_url"),
-        F.when(q >= 49, F.lit(None)).when(q >= 45, 503).when(q >= 40, 404).otherwise(200)
-        .cast("int").alias("status_code"),
-        F.when(q < 49, F.col("p") / 100000).alias("elapsed_seconds"),
-        F.when(q >= 49, F.lit("connection failed")).alias("transport_error"),
+    return seen.selectExpr(
+        f"CASE WHEN k % 9 = 0 THEN '{EARLIER_RUN}' ELSE '{RUN}' END AS run_id",
+        "CAST(k AS STRING) AS item_id",
+        f"{_service_url('k')} AS checked_url",
+        """CASE WHEN q >= 49 THEN CAST(NULL AS INT) WHEN q >= 45 THEN 503 WHEN q >= 40 THEN 404
+                ELSE 200 END AS status_code""",
+        "CASE WHEN q < 49 THEN p / 100000 END AS elapsed_seconds",
+        "CASE WHEN q >= 49 THEN 'connection failed' END AS transport_error",
         "checked_at",
     )
 
@@ -108,44 +91,34 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point features (and table rows without a place) in the layers of a service."""
-    k = F.col("c_custkey")
-    placed = k % 29 != 0
-    x = F.when(placed, ((k * 37) % 360 - 180).cast("double"))
-    y = F.when(placed, ((k * 53) % 180 - 90).cast("double"))
-    return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("svc_"), _text(F.col("c_nationkey"))).alias("item_id"),
-        (k % 3).cast("int").alias("layer_index"),
-        F.when(k % 3 == 2, F.lit("table")).otherwise(F.lit("layer")).alias("layer_kind"),
-        k.alias("feature_id"),
-        F.col("c_mktsegment").alias("class_value"),
-        F.col("c_acctbal").alias("measure"),
-        x.alias("x"),
-        y.alias("y"),
-        point_geometry(x, y).alias("geometry"),
+    return (
+        table(spark, sf_dir, "customer")
+        .selectExpr(
+            "concat('svc_', c_nationkey) AS item_id",
+            "CAST(c_custkey % 3 AS INT) AS layer_index",
+            "CASE WHEN c_custkey % 3 = 2 THEN 'table' ELSE 'layer' END AS layer_kind",
+            "c_custkey AS feature_id",
+            "c_mktsegment AS class_value",
+            "c_acctbal AS measure",
+            "CASE WHEN c_custkey % 29 <> 0 THEN CAST((c_custkey * 37) % 360 - 180 AS DOUBLE) END AS x",
+            "CASE WHEN c_custkey % 29 <> 0 THEN CAST((c_custkey * 53) % 180 - 90 AS DOUBLE) END AS y",
+        )
+        .withColumn("geometry", point_geometry(F.col("x"), F.col("y")))
     )
 
 
 def service_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layers or tables per service; some services cannot be reached."""
-    n = F.col("n_nationkey")
-    index = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("layer_index")
-    item_type = (
-        F.when(n % 5 == 4, F.lit("Web Map"))
-        .when(n % 2 == 0, F.lit("Feature Service"))
-        .otherwise(F.lit("Map Service"))
-    )
-    return (
-        table(spark, sf_dir, "nation")
-        .select(n, F.col("n_name"), index)
-        .select(
-            F.concat(F.lit("svc_"), _text(n)).alias("item_id"),
-            item_type.alias("item_type"),
-            F.when(F.col("layer_index") == 2, F.lit("table")).otherwise(F.lit("layer")).alias("layer_kind"),
-            "layer_index",
-            F.concat("n_name", F.lit(" / "), _text(F.col("layer_index"))).alias("layer_name"),
-            F.when(F.col("layer_index") == 2, F.lit("None")).otherwise(F.lit("Point")).alias("geometry_type"),
-            F.when((n % 7 == 3) & (F.col("layer_index") == 1), F.lit("timeout")).alias("error"),
-        )
+    indexed = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name", "explode(array(0, 1, 2)) AS layer_index")
+    return indexed.selectExpr(
+        "concat('svc_', n_nationkey) AS item_id",
+        """CASE WHEN n_nationkey % 5 = 4 THEN 'Web Map' WHEN n_nationkey % 2 = 0 THEN 'Feature Service'
+                ELSE 'Map Service' END AS item_type""",
+        "CASE WHEN layer_index = 2 THEN 'table' ELSE 'layer' END AS layer_kind",
+        "layer_index",
+        "concat(n_name, ' / ', layer_index) AS layer_name",
+        "CASE WHEN layer_index = 2 THEN 'None' ELSE 'Point' END AS geometry_type",
+        "CASE WHEN n_nationkey % 7 = 3 AND layer_index = 1 THEN 'timeout' END AS error",
     )
 
 
@@ -157,52 +130,42 @@ def layer_renderers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The unique-value renderer leaves one segment out and repeats another with a new colour.
     """
-    n = F.col("n_nationkey")
 
-    def symbol(red: Column, alpha: Column | None) -> Column:
-        rgba = [red, F.lit(20), F.lit(40)] + ([] if alpha is None else [alpha])
-        return F.struct(
-            F.array(*rgba).alias("color"),
-            F.struct(F.array(F.lit(0), red, F.lit(9), F.lit(51)).alias("color"), F.lit(2).alias("width")).alias("outline"),
+    def symbol(red: str, alpha: str = "") -> str:
+        text = (
+            f'{{"color":[%d,20,40{alpha}],"outline":{{"color":[0,%d,9,51],"width":2}}}}'
         )
-
-    infos = [
-        F.struct(F.lit(segment).alias("value"), symbol((n * 7 + 10 * i).cast("int"), None).alias("symbol"))
-        for i, segment in enumerate(SEGMENTS[:4])
-    ]
-    infos.append(
-        F.struct(F.lit(SEGMENTS[0]).alias("value"), symbol((n * 7 + 5).cast("int"), None).alias("symbol"))
-    )
-    unique = F.struct(
-        F.lit("uniqueValue").alias("type"),
-        F.lit("class_value").alias("field1"),
-        F.array(*infos).alias("uniqueValueInfos"),
-        F.when(n % 2 == 0, symbol(F.lit(250), F.lit(102))).alias("defaultSymbol"),
-    )
-    simple = F.struct(F.lit("simple").alias("type"), symbol((n * 3).cast("int"), F.lit(204)).alias("symbol"))
-    renderer = F.when(n % 5 == 0, F.to_json(simple)).when(n % 5 != 1, F.to_json(unique))
-    index = F.explode(F.array(F.lit(0), F.lit(1))).alias("layer_index")
-    return (
-        table(spark, sf_dir, "nation")
-        .select(F.concat(F.lit("svc_"), _text(n)).alias("item_id"), index, renderer.alias("renderer"))
-        .filter(F.col("renderer").isNotNull())
+        return f"format_string('{text}', {red}, {red})"
+
+    def info(segment: str, red: str) -> str:
+        return f"""'{{"value":"{segment}","symbol":', {symbol(red)}, '}}'"""
+
+    infos = [info(segment, f"n_nationkey * 7 + {10 * i}") for i, segment in enumerate(SEGMENTS[:4])]
+    infos.append(info(SEGMENTS[0], "n_nationkey * 7 + 5"))
+    fallback = f"""CASE WHEN n_nationkey % 2 = 0 THEN concat(',"defaultSymbol":', {symbol("250", ",102")}) ELSE '' END"""
+    simple = f"""concat('{{"type":"simple","symbol":', {symbol("n_nationkey * 3", ",204")}, '}}')"""
+    head = '{"type":"uniqueValue","field1":"class_value","uniqueValueInfos":['
+    unique = f"""concat('{head}', {", ',', ".join(infos)}, ']', {fallback}, '}}')"""
+    return table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 1").selectExpr(
+        "concat('svc_', n_nationkey) AS item_id",
+        "explode(array(0, 1)) AS layer_index",
+        f"CASE WHEN n_nationkey % 5 = 0 THEN {simple} ELSE {unique} END AS renderer",
     )
 
 
 def watch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save and remove actions, ordered by ``seq``."""
-    kind, user = F.col("event_type"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"),
-        F.col("ts").alias("added_at"),
-        _text(user).alias("item_id"),
-        F.when(kind == "error", F.lit("remove")).otherwise(F.lit("save")).alias("action"),
-        F.concat(F.lit("https://svc.example.org/"), _text(user)).alias("item_url"),
-        F.concat(F.lit("Item "), _text(user), F.lit(" "), kind).alias("title"),
-        kind.alias("item_type"),
-        F.concat(F.lit("owner_"), _text(F.col("event_id") % 11)).alias("owner"),
-        F.when(kind == "purchase", F.col("props")).alias("notes"),
-        kind.alias("source_query"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS seq",
+        "ts AS added_at",
+        "CAST(user_id AS STRING) AS item_id",
+        "CASE WHEN event_type = 'error' THEN 'remove' ELSE 'save' END AS action",
+        "concat('https://svc.example.org/', user_id) AS item_url",
+        "concat('Item ', user_id, ' ', event_type) AS title",
+        "event_type AS item_type",
+        "concat('owner_', event_id % 11) AS owner",
+        "CASE WHEN event_type = 'purchase' THEN props END AS notes",
+        "event_type AS source_query",
     )
 
 
@@ -234,7 +197,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(d % 13 == 0, F.lit("")).when(d % 13 != 1, F.substring(body, F.lit(1), (5 + d % 130).cast("int"))).alias("title"),
             F.when(d % 9 != 0, F.lit("Feature Service")).alias("type"),
             F.when(d % 8 != 0, F.col("source")).alias("owner"),
-            F.when(d % 11 != 0, _service_url(d)).alias("url"),
+            F.when(d % 11 != 0, F.expr(_service_url("doc_id"))).alias("url"),
             F.lit("public").alias("access"),
             F.when(d % 7 != 0, F.substring(body, F.lit(1), (d % 260).cast("int"))).alias("snippet"),
             F.when(d % 6 != 0, body).alias("description"),
