@@ -53,11 +53,10 @@ class Warehouse:
 
     # --- reading ------------------------------------------------------------------------------
 
-    def _read(self, table: str, schema: T.StructType, below: str = "") -> DataFrame:
-        """The files of a table (or of one directory of it), or no rows before the first write."""
-        base = f"{self.root}/{table}"
+    def _read(self, table: str, schema: T.StructType) -> DataFrame:
+        """The files of a table, or no rows before the first write."""
         try:
-            return self.spark.read.schema(schema).option("basePath", base).parquet(base + below)
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -86,10 +85,11 @@ class Warehouse:
 
     def items_current(self) -> DataFrame:
         latest = self.latest_published("items_current")
-        schema = T.StructType([*schemas.ITEMS_CURRENT.fields, _VERSION])
         if latest is None:
             return self.spark.createDataFrame([], schemas.ITEMS_CURRENT)
-        return self._read("items_current", schema, f"/as_of_run={latest[0]}").drop("as_of_run")
+        # A published version that is gone is an error, not an empty table.
+        path = f"{self.root}/items_current/as_of_run={latest[0]}"
+        return self.spark.read.schema(schemas.ITEMS_CURRENT).parquet(path)
 
     def _history_files(self) -> DataFrame:
         return self._read("items_history", T.StructType([*schemas.ITEMS_HISTORY.fields, _VERSION]))
