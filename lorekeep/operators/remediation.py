@@ -83,20 +83,19 @@ def remediation_actions(
 ) -> DataFrame:
     """All categories in one pass: a row per item and category it falls in, urgent ones first."""
     filters = category_filters(as_of)
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    filters[c],
-                    F.struct(
-                        F.lit(c).alias("category"),
-                        priority(F.col("quality_score"), c).alias("priority"),
-                        F.lit(ACTIONS[c]).alias("recommended_action"),
-                    ),
-                )
-                for c in categories
-            ]
-        )
+    found = F.array(
+        *[
+            F.when(
+                filters[c],
+                F.struct(
+                    F.lit(c).alias("category"),
+                    priority(F.col("quality_score"), c).alias("priority"),
+                    F.lit(ACTIONS[c]).alias("recommended_action"),
+                ),
+            )
+            for c in categories
+        ]
     )
-    rows = base.withColumn("found", F.explode(found)).select("*", "found.*")
+    exploded = base.withColumn("found", F.explode(found)).filter(F.col("found").isNotNull())
+    rows = exploded.select("*", "found.*")
     return rows.select("category", *LIST_COLUMNS).orderBy("category", F.desc("priority"), "item_id")
