@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from lorekeep.registry.oracle import ORACLE
+from lorekeep.registry.queries import QUERIES
 from lorekeep.sources.driver_tables import SCHEMAS
 
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
