@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import mixing, pii, sharding
+from lorekeep.llm import fingerprint, mixing, packing, pii, sharding, token_files
+from lorekeep.llm.storage import new_folder
 from lorekeep.llm.tables import table
 
 SHARDS = 40
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_successor(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the ring with bounded loads; law: row counts at most one apart."""
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -29,6 +40,13 @@ def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded, written as fixed-length sequences, and read back from the files."""
+    folder = new_folder(spark, "sequences")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizer("word_bpe_49k.json"))
+    return token_files.read_documents(spark, folder)
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture of its source, weights by the square root of the source's rows."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -46,9 +64,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json")).drop("ids")
+
+
 QUERIES = {
+    "op1_quartile_digest": op1_quartile_digest,
     "op4_bounded_ring": op4_bounded_ring,
+    "op7_arrow_sequences": op7_arrow_sequences,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_pii": op9_pii,
+    "op10_harmonic_packing": op10_harmonic_packing,
 }
 ORACLE: dict[str, str] = {}
