@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +76,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fingerprint) of every row's text."""
 
     @F.pandas_udf("string")
-    def of(texts):
-        return texts.map(lambda t: digest(t), na_action=None)
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(digest)
 
     return docs.select(F.col(id_col), of(F.coalesce(F.col(text_col), F.lit(""))).alias("fingerprint"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, mixing, packing, pii, sharding, token_files
+from lorekeep.llm import fingerprint, mixing, packing, pii, sharding, token_files, toxicity
 from lorekeep.llm.storage import new_folder
 from lorekeep.llm.tables import table
 
@@ -22,6 +22,15 @@ def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_successor(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores; a fifth of the rows, by checksum of the id, is never learned from."""
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the ring with bounded loads; law: row counts at most one apart."""
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -70,6 +79,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quartile_digest": op1_quartile_digest,
+    "op3_noisy_channel": op3_noisy_channel,
     "op4_bounded_ring": op4_bounded_ring,
     "op7_arrow_sequences": op7_arrow_sequences,
     "op8_pfair_mix": op8_pfair_mix,
