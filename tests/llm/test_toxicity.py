@@ -52,14 +52,14 @@ def test_restores_hidden_words(log_p):
 def test_query_on_held_out_rows(spark):
     from lorekeep.llm.queries import QUERIES
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in QUERIES["op3_noisy_channel"](spark, sf).collect()}
     labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
     held = [(rows[i].score, y) for i, y in labels.items() if rows[i].held_out]
     bad, good = [s for s, y in held if y], [s for s, y in held if not y]
-    assert np.mean([[b > g for g in good] for b in bad]) > 0.9
+    assert np.mean([[b > g for g in good] for b in bad]) > 0.97
 
 
 def test_odd_tables(spark, odd_docs, no_docs):
