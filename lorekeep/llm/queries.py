@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, mixing, packing, pii, sharding, token_files, toxicity, vectors
+from lorekeep.llm import fingerprint, mixing, ngram_join, packing, pii, sharding, token_files, toxicity, vectors
 from lorekeep.llm.storage import new_folder
 from lorekeep.llm.tables import table
 
@@ -22,6 +22,10 @@ def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_successor(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores; a fifth of the rows, by checksum of the id, is never learned from."""
     docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -83,6 +87,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quartile_digest": op1_quartile_digest,
+    "op2_prefix_tree_join": op2_prefix_tree_join,
     "op3_noisy_channel": op3_noisy_channel,
     "op4_bounded_ring": op4_bounded_ring,
     "op5_spherical_cells": op5_spherical_cells,
