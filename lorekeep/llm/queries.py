@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, mixing, ngram_join, packing, pii, sharding, token_files, toxicity, vectors
+from lorekeep.llm import fingerprint, mixing, ngram_join, packing, pii, repeats, sharding, token_files, toxicity, vectors
 from lorekeep.llm.storage import new_folder
 from lorekeep.llm.tables import table
 
@@ -57,6 +57,10 @@ def op5_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find(table(spark, sf_dir, "documents"))
+
+
 def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, written as fixed-length sequences, and read back from the files."""
     folder = new_folder(spark, "sequences")
@@ -91,6 +95,7 @@ QUERIES = {
     "op3_noisy_channel": op3_noisy_channel,
     "op4_bounded_ring": op4_bounded_ring,
     "op5_spherical_cells": op5_spherical_cells,
+    "op6_interval_tree": op6_interval_tree,
     "op7_arrow_sequences": op7_arrow_sequences,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_pii": op9_pii,
