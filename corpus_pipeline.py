@@ -1,13 +1,71 @@
-"""Placeholder until all stages exist."""
+"""From raw documents to packed token sequences: reject, deduplicate, redact, mix, pack.
 
-from lorekeep.llm import mixing
+Each stage takes all rows its predecessor kept and returns the columns it was given, the last one the pieces of
+packed sequences. Between stages the rows are written to the cluster's shared folder and read back.
 
-STAGES = [("mixing", lambda spark, docs, sf_dir: mixing.in_mixed_order(mixing.mix(docs)))]
+Null and empty texts are neither toxic nor copies and pass through; a null source is one source; an empty table
+passes through all stages; extra columns are carried along up to the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.llm import mixing, ngram_join, packing, pii, toxicity
+from lorekeep.llm.ordering import order_key
+from lorekeep.llm.queries import public_tokenizer
+from lorekeep.llm.storage import staged
+from lorekeep.llm.tables import table
+
+TOXIC = 0.5
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below TOXIC; labels are learned from the same four fifths as in op3."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    name = "_toxicity_score"
+    return toxicity.score(docs, model, score_col=name).where(F.col(name) < TOXIC).drop(name)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates; rows that are equal stay once."""
+    groups = ngram_join.near_groups(docs)
+    others = staged(groups.where("NOT doc_id <=> component_id").select(order_key("doc_id").alias("_gone")).distinct(), "copies")
+    kept = docs.join(others, order_key("doc_id") == F.col("_gone"), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the name of its kind, and n_chars of the new text."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mixture: files and rows within them follow it."""
+    return mixing.in_mixed_order(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 ids, with the ids (little-endian 32-bit)."""
+    return packing.pack(docs, public_tokenizer("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("pii", redact),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Viterbi decoding and tokenizing are no SQL; the tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -83,14 +83,11 @@ def ranked(rows: DataFrame, id_col: str, source_col: str) -> DataFrame:
     )
 
 
-def mix(
-    rows: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source"
-) -> DataFrame:
-    """``rows`` with mix_block (number within the source), mix_slot (the block's place) and mix_offset (in the block).
+PLACES = ("mix_block", "mix_slot", "mix_offset")
 
-    Ordering by mix_slot, mix_offset gives the mixture. ``weights`` default to :func:`root_weights`. ``rows``
-    must not have columns of the three names.
-    """
+
+def placed(rows: DataFrame, weights: dict[str | None, float] | None, block_rows: int, id_col: str, source_col: str) -> DataFrame:
+    """(row, mix_block, mix_slot, mix_offset)."""
     spark = rows.sparkSession
     weights = root_weights(rows, source_col) if weights is None else weights
     quota = shares(weights, max(MIN_PERIOD, 4 * len(weights)))
@@ -106,14 +103,28 @@ def mix(
     known = known.withColumn("in_period", F.expr("mix_block % quota"))
     slots = table.select("p_src", "nth", "slot")
     return known.join(F.broadcast(slots), F.expr("src <=> p_src AND in_period = nth")).select(
-        "row.*",
+        "row",
         "mix_block",
         F.expr(f"(mix_block div quota) * {period} + slot").alias("mix_slot"),
         F.expr(f"rank % {block_rows}").alias("mix_offset"),
     )
 
 
-def in_mixed_order(mixed: DataFrame) -> DataFrame:
-    """Rows in the order of the mixture, across and within partitions, without the three columns."""
-    spread = mixed.repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
-    return spread.drop("mix_block", "mix_slot", "mix_offset")
+def mix(
+    rows: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source"
+) -> DataFrame:
+    """``rows`` with mix_block (number within the source), mix_slot (the block's place) and mix_offset (in the block).
+
+    Ordering by mix_slot, mix_offset gives the mixture. ``weights`` default to :func:`root_weights`. Columns of
+    these three names are replaced.
+    """
+    rows = rows.drop(*PLACES)
+    return placed(rows, weights, block_rows, id_col, source_col).select("row.*", *PLACES)
+
+
+def in_mixed_order(
+    rows: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source"
+) -> DataFrame:
+    """``rows`` as they are, in the order of the mixture across and within partitions."""
+    spread = placed(rows, weights, block_rows, id_col, source_col).repartitionByRange("mix_slot", "mix_offset")
+    return spread.sortWithinPartitions("mix_slot", "mix_offset").select("row.*")

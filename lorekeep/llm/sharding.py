@@ -119,8 +119,9 @@ def moves(loads: DataFrame) -> DataFrame:
 def shard_rows(rows: DataFrame, shards: int, id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), vnodes: int = 64) -> DataFrame:
     """``rows`` with ``shard``, ``slot`` (gapless from 0 within the shard) and ``home_shard`` (the ring owner).
 
-    ``rows`` must not have columns of these names. They are read twice: to count, and to place.
+    Columns of these names are replaced. The rows are read twice: to count, and to place.
     """
+    rows = rows.drop("shard", "slot", "home_shard")
     nodes = virtual_nodes(rows.sparkSession, shards, vnodes)
     kept = [F.col(f"`{c}`") for c in rows.columns]
     placed = rows.select(F.struct(*kept).alias("row"), ring_place(F.col(id_col).cast("string")).alias("place"))

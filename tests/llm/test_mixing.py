@@ -32,9 +32,11 @@ def test_query_keeps_rows_and_follows_the_schedule(run, texts):
 
 
 def test_odd_tables(odd_docs, no_docs):
-    mixed = mixing.in_mixed_order(mixing.mix(odd_docs))
+    mixed = mixing.in_mixed_order(odd_docs)
     assert mixed.columns == odd_docs.columns and mixed.count() == odd_docs.count()
     assert mixing.mix(no_docs).count() == 0
+    again = mixing.mix(mixing.mix(odd_docs))
+    assert again.columns == [*odd_docs.columns, *mixing.PLACES] and again.count() == odd_docs.count()
     with pytest.raises(ValueError):
         mixing.shares({"a": 0.0}, 10)
     with pytest.raises(Exception, match="no weight for source"):
