@@ -15,11 +15,16 @@ from .values import strip
 # Elements whose content is never shown as text.
 _SILENT = ("script", "style", "template")
 
-_COMMENT = r"(?s)<!--.*?-->"
-_SILENT_BODY = [rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>" for name in _SILENT]
-# A quoted attribute may hold '>'. Possessive, so a long tag neither backtracks nor recurses.
-_TAG = r"""<[/!?A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_TAG_UNBALANCED = r"<[/!?A-Za-z][^>]*>"
+# Whatever starts first is taken, up to its closing mark or the end of the text. A quoted attribute
+# may hold '>'. Possessive, so that no start is tried twice at length.
+_MARKUP = "(?is)" + "|".join(
+    (
+        r"<!--.*?(?:-->|\z)",
+        rf"<({'|'.join(_SILENT)})\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)",
+        r"""<[/!?A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""",
+        r"<[/!?A-Za-z][^>]*+(?:>|\z)",
+    )
+)
 
 # Entities met on nearly every page are tried before the full table.
 _FREQUENT = ("amp", "lt", "gt", "quot", "nbsp", "apos")
@@ -113,11 +118,8 @@ def unescape_html(text: Column) -> Column:
 
 
 def strip_markup(html: Column) -> Column:
-    """Replace comments, silent elements and tags by a space."""
-    out = F.regexp_replace(html, _COMMENT, " ")
-    for pattern in (*_SILENT_BODY, _TAG, _TAG_UNBALANCED):
-        out = F.regexp_replace(out, pattern, " ")
-    return out
+    """Replace comments, silent elements and tags by a space, in one pass over the text."""
+    return F.regexp_replace(html, _MARKUP, " ")
 
 
 def html_to_text(html: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from time import monotonic
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,12 +31,15 @@ _PROBE_COLUMNS = "status_code INT, elapsed_seconds DOUBLE, transport_error STRIN
 
 def http_fetch(method: str, url: str, timeout: float) -> tuple[int, float]:
     """One HTTP request over the network, redirects followed."""
+    if urlsplit(url).scheme.lower() not in ("http", "https"):
+        raise ValueError("only http and https are probed")
     begin = monotonic()
     try:
         with urllib.request.urlopen(urllib.request.Request(url, method=method), timeout=timeout) as reply:
             return reply.status, monotonic() - begin
     except urllib.error.HTTPError as reply:
-        return reply.code, monotonic() - begin
+        with reply:
+            return reply.code, monotonic() - begin
 
 
 def probe_url(url: str, fetch: Fetch, timeout: float = TIMEOUT_SECONDS) -> tuple:

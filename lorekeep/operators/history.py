@@ -24,9 +24,9 @@ def apply_batch(
     """History after one run saw ``batch`` (one row per item).
 
     A changed item's version is closed at the run's start and a new one opened; an unchanged one
-    is marked as seen; an unseen one stays open. One full outer join decides all four cases, and
-    each pair of old and new row turns into its result rows in place. ``history`` may hold all
-    versions or only the open ones: closed versions match nothing and pass through.
+    is marked as seen; an unseen one stays open. One full outer join of the open versions decides
+    all four cases, and each pair of old and new row turns into its result rows in place.
+    ``history`` may hold all versions or only the open ones: closed versions go round the join.
     """
     columns = ["item_id", "content_hash", "valid_from", "valid_to", "is_current", *attributes,
                "first_seen_run_id", "last_seen_run_id"]
@@ -38,10 +38,10 @@ def apply_batch(
         fields = [f"'{c}', CAST({changed.get(c, f'{source}.`{c}`')} AS {types[c]})" for c in columns]
         return f"named_struct({', '.join(fields)})"
 
-    old = history.select("item_id", "is_current", F.struct(*columns).alias("old"))
+    old = history.filter("is_current").select("item_id", F.struct(*columns).alias("old"))
+    past = history.filter("NOT is_current").select(*columns)
     seen = batch.select(
         "item_id",
-        F.lit(True).alias("is_current"),
         F.struct("item_id", "content_hash", *attributes).alias("new"),
         F.lit(run_id).alias("run"),
         ntz(started_at).alias("start"),
@@ -62,9 +62,10 @@ def apply_batch(
                  ELSE array({version("old", last_seen_run_id="run")}) END"""
     )
     return (
-        old.join(seen, ["item_id", "is_current"], "full_outer")
+        old.join(seen, "item_id", "full_outer")
         .select(F.explode(rows).alias("version"))
         .select("version.*")
+        .unionByName(past)
     )
 
 
@@ -127,10 +128,7 @@ def changes_of_run(
         others = others.join(runs, "first_seen_run_id", "left_semi")
     if limit is not None:
         opened = opened.orderBy("item_id").limit(limit)
-        wanted = opened.select("item_id").distinct()
-        if limit <= 10_000:  # rows, so the broadcast side is a few hundred kilobytes at most
-            wanted = F.broadcast(wanted)
-        others = others.join(wanted, "item_id", "left_semi")
+        others = others.join(opened.select("item_id").distinct(), "item_id", "left_semi")
     known = others.select("item_id").distinct().withColumn("known", F.lit(True))
     kind = F.when(F.col("known"), F.lit("Modified")).otherwise(F.lit("New"))
     return opened.join(known, "item_id", "left").withColumn("change_type", kind).drop("known")

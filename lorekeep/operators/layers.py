@@ -23,14 +23,9 @@ LAYER = ["item_id", "layer_kind", "layer_index"]
 BOUNDS_SAMPLE = 5
 DIAGNOSE_SAMPLE = 100
 PREVIEW_LIMIT = 300
-# Previews beyond this are exported as feature rows, not as one document per layer.
-MAX_DOCUMENT_FEATURES = 1000
-
-# Fixed value: the error of a layer whose coordinates are not longitude and latitude.
-PROJECTED = (
-    "Service ignored requests for Lat/Lon (EPSG:4326) and returned projected coordinates. "
-    "Map preview requires Lat/Lon."
-)
+# Errors of requests.
+PROJECTED = "coordinates are not longitude and latitude"
+UNKNOWN = "reference is not known"
 
 
 def with_positions(features: DataFrame) -> DataFrame:
@@ -72,7 +67,7 @@ def resolve_targets(requests: DataFrame, items: DataFrame) -> DataFrame:
     ``requests`` has ``reference`` and an optional wished ``layer_index``; ``items`` has item_id
     and url. Adds kind, target_class, resolved_id (null when unknown) and the effective
     layer_index: the wish, else the one in the URL, else what the kind of reference implies.
-    A service that is not in the catalog is resolved by its URL.
+    A service that is not in the catalog keeps its service_url, under which its layers are found.
     """
     parsed = requests.withColumn("ref", parse_layer_ref(F.col("reference")))
     if "layer_index" not in requests.columns:
@@ -93,41 +88,57 @@ def resolve_targets(requests: DataFrame, items: DataFrame) -> DataFrame:
         F.struct(F.lit("item_id").alias("kind"), F.col("item_id").alias("key")),
         F.struct(F.lit("service_url").alias("kind"), F.regexp_replace("url", "/+$", "").alias("key")),
     )
-    known = items.select(F.col("item_id").alias("resolved_id"), F.inline(names)).filter(F.col("key").isNotNull())
+    known = items.select("item_id", F.inline(names)).filter(F.col("key").isNotNull())
+    # Items may share a URL: the smallest id answers, so a request stays one row.
+    known = known.groupBy("kind", "key").agg(F.min("item_id").alias("resolved_id"))
     return keyed.join(known, ["kind", "key"], "left").select(
         *[c for c in requests.columns if c != "layer_index"],
         "kind", "target_class", "service_url", "layer_index", "resolved_id",
     )
 
 
+def target_key() -> Column:
+    """What a target's layers are found under: the item, or the URL of a service that is no item."""
+    return F.coalesce("resolved_id", F.when(F.col("kind") == "service_url", F.col("service_url")))
+
+
 def requested_counts(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per resolved request: ok, error, total_count and the number of layers counted.
+    """One row per request: ok, error, total_count and the number of layers counted.
 
-    With a layer index only that layer is counted, else all layers and tables of the item.
+    With a layer index only that layer is counted, else all layers and tables of the item. The
+    counts are summed before they are looked up, so repeated requests stay apart. ``item_id`` of
+    ``counts`` is the URL for a service that is no item.
     """
-    wanted = targets.select("reference", "resolved_id", F.col("layer_index").alias("wanted_index"))
-    hits = counts.withColumnRenamed("item_id", "resolved_id")
-    every = F.col("wanted_index").isNull()
-    this_layer = (F.col("layer_kind") == "layer") & (F.col("layer_index") == F.col("wanted_index"))
-    counted = every | this_layer
-    summed = (
-        wanted.join(hits, "resolved_id", "left")
-        .groupBy("reference", "resolved_id", "wanted_index")
-        .agg(
-            F.count_if(F.coalesce(counted & F.col("layer_kind").isNotNull(), F.lit(False))).alias("layers_counted"),
-            F.coalesce(F.sum(F.when(counted, F.col("row_count"))), F.lit(0)).cast("bigint").alias("total_count"),
-        )
-    )
-    invalid = F.when(
-        F.col("wanted_index").isNotNull(),
-        F.concat(F.lit("No layers found. (Index "), F.col("wanted_index").cast("string"), F.lit(" might be invalid)")),
-    ).otherwise(F.lit("No layers found."))
-    error = F.when(F.col("resolved_id").isNull(), F.lit("Could not resolve the reference.")).when(
-        F.col("layers_counted") == 0, invalid
-    )
-    return summed.select(
+    sums = (F.count("*").alias("layers"), F.coalesce(F.sum("row_count"), F.lit(0)).cast("bigint").alias("rows"))
+    whole = counts.groupBy(F.col("item_id").alias("target")).agg(*sums)
+    single = counts.filter(F.col("layer_kind") == "layer").groupBy(
+        F.col("item_id").alias("target"), F.col("layer_index").alias("wanted_index")
+    ).agg(*sums)
+    summed = whole.withColumn("wanted_index", F.lit(None).cast("int")).unionByName(single)
+    wanted = targets.select("reference", "resolved_id", target_key().alias("target"), F.col("layer_index").alias("wanted_index"))
+    found = wanted.alias("w").join(
+        summed.alias("s"),
+        (F.col("w.target") == F.col("s.target")) & F.col("w.wanted_index").eqNullSafe(F.col("s.wanted_index")),
+        "left",
+    ).select("reference", "resolved_id", "w.target", "w.wanted_index", "layers", "rows")
+    counted = F.coalesce("layers", F.lit(0))
+    missing = F.concat_ws(" ", F.lit("no layer"), F.col("wanted_index").cast("string"))
+    error = F.when(F.col("target").isNull(), F.lit(UNKNOWN)).when(counted == 0, missing)
+    return found.select(
         "reference", "resolved_id", F.col("wanted_index").alias("layer_index"),
-        error.isNull().alias("ok"), error.alias("error"), "layers_counted", "total_count",
+        error.isNull().alias("ok"), error.alias("error"),
+        counted.alias("layers_counted"), F.coalesce("rows", F.lit(0)).alias("total_count"),
+    )
+
+
+def requested_details(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The layers and tables behind each distinct request: index, name, rows and error of each."""
+    wanted = targets.select(
+        "reference", target_key().alias("item_id"), F.col("layer_index").alias("wanted_index")
+    ).filter(F.col("item_id").isNotNull()).distinct()
+    this_layer = (F.col("layer_kind") == "layer") & (F.col("layer_index") == F.col("wanted_index"))
+    return wanted.join(counts, "item_id").filter(F.col("wanted_index").isNull() | this_layer).select(
+        "reference", "item_id", "layer_kind", "layer_index", "layer_name", "row_count", "error"
     )
 
 
@@ -183,19 +194,15 @@ def as_geojson(features: DataFrame, properties: list[str]) -> DataFrame:
     return features.select(*LAYER, "feature_id", feature.alias("feature"))
 
 
-def feature_collections(geojson: DataFrame, limit: int = PREVIEW_LIMIT) -> DataFrame:
-    """One FeatureCollection document per layer.
+def feature_collections(geojson: DataFrame) -> DataFrame:
+    """One FeatureCollection document per layer, of all its rows.
 
-    Only for previews: ``geojson`` holds at most ``limit`` features per layer, and that is checked
-    against what one document may hold. Larger sets are written as feature rows.
+    For previews, whose limit bounds a layer's rows; whole layers are written as feature rows.
     """
-    if limit > MAX_DOCUMENT_FEATURES:
-        raise ValueError(f"a preview document holds at most {MAX_DOCUMENT_FEATURES} features")
-    head = first_rows(geojson, LAYER, limit, ["feature_id"])
     listed = F.array_sort(F.collect_list(F.struct("feature_id", "feature")))
     body = F.array_join(F.transform("listed", lambda f: f["feature"]), ",")
     return (
-        head.groupBy(*LAYER)
+        geojson.groupBy(*LAYER)
         .agg(listed.alias("listed"))
         .select(
             *LAYER,
@@ -222,7 +229,7 @@ def preview_status(
         F.count_if(F.col("layer_kind") == "layer").alias("n_layers"),
     )
     wanted = targets.select(
-        "reference", F.col("resolved_id").alias("item_id"), F.coalesce("layer_index", F.lit(0)).alias("layer_index")
+        "reference", target_key().alias("item_id"), F.coalesce("layer_index", F.lit(0)).alias("layer_index")
     )
     asked = wanted.select("item_id", "layer_index").distinct()
     chosen = features.filter(F.expr(where)).filter(F.col("layer_kind") == "layer")
@@ -259,13 +266,13 @@ def preview_status(
     )
     index = F.col("layer_index").cast("string")
     error = (
-        F.when(F.col("item_type").isNull(), F.lit("Could not resolve the reference."))
-        .when(~previewable(), F.concat(F.lit("Item type '"), F.col("item_type"), F.lit("' not supported.")))
+        F.when(F.col("item_type").isNull(), F.lit(UNKNOWN))
+        .when(~previewable(), F.concat(F.lit("no preview of item type "), F.col("item_type")))
         .when(
             F.col("layer_name").isNull(),
-            F.concat(F.lit("Layer index "), index, F.lit(" out of range (Total: "), F.col("n_layers").cast("string"), F.lit(").")),
+            F.concat(F.lit("no layer "), index, F.lit(" among "), F.col("n_layers").cast("string")),
         )
-        .when(F.col("layer_error").isNotNull(), F.concat(F.lit("Query failed: "), F.col("layer_error")))
+        .when(F.col("layer_error").isNotNull(), F.concat(F.lit("layer cannot be read: "), F.col("layer_error")))
         .when(F.col("bounds_bad"), F.lit(PROJECTED))
     )
     box = {c: F.when(F.col("ok"), F.col(c)) for c in ("xmin", "ymin", "xmax", "ymax")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import canonical_digest, epoch_ms_to_ntz, ntz, split_tags
 from ..schemas import ITEMS_CURRENT
+from .current import last_in_batch
 
 # The raw fields whose change makes a new version. Views and creation do not.
 HASHED_FIELDS = (
@@ -143,14 +145,18 @@ def scan_items(
     query: str | None = None,
     item_types: list[str] | None = None,
     max_items: int | None = None,
+    last_wins: Sequence[str] = (),
 ) -> DataFrame:
     """Items matching a predicate (public ones by default) and any of the types.
 
-    ``max_items`` keeps the first ones by id, so that a capped scan is repeatable.
+    With ``last_wins`` an item seen repeatedly is reduced to its row of the greatest order first.
+    ``max_items`` then keeps the first ones by id, so that a capped scan is repeatable.
     """
     out = items.filter(F.expr(query or "access = 'public'"))
     if item_types:
         out = out.filter(F.col("item_type").isin(*item_types))
+    if last_wins:
+        out = last_in_batch(out, *last_wins)
     return out if max_items is None else out.orderBy("item_id").limit(max_items)
 
 

@@ -50,7 +50,8 @@ def remediation_base(
     base = items.select(*_ITEM_COLUMNS)
     if one_per_item:
         return base.join(run_scores, "item_id", "left").join(run_health, "item_id", "left")
-    return left_join_fanout(left_join_fanout(base, run_scores, "item_id"), run_health, "item_id")
+    # Checks may repeat an item very often, scores do not: one fan-out join, the last.
+    return left_join_fanout(base.join(run_scores, "item_id", "left"), run_health, "item_id")
 
 
 def category_filters(as_of: datetime | str) -> dict[str, Column]:

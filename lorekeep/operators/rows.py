@@ -20,23 +20,14 @@ def latest_by(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame
     return df.groupBy(*keys).agg(row).select(*keys, "row.*").select(*df.columns)
 
 
-# Spark cuts groups before the shuffle up to this many rows (its default window group limit).
-GROUP_LIMIT = 1000
-_SALTS = 32
-
-
 def first_rows(
     df: DataFrame, keys: list[str], n: int, order: list[str], rank_column: str | None = None
 ) -> DataFrame:
     """The first ``n`` rows of every key in ascending ``order``, a total one.
 
-    A hot key reaches its task as at most ``n`` rows per input task, as Spark limits the groups
-    before the shuffle. For an ``n`` it does not do that for, the groups are first cut in parts.
-    ``rank_column`` names a column for the rank, from 1.
+    Spark limits the groups before the shuffle, so a hot key reaches its task as at most ``n`` rows
+    per input task (up to its window group limit). ``rank_column`` names a column for the rank, from 1.
     """
-    if n > GROUP_LIMIT:
-        parted = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(_SALTS)))
-        df = _ranked(parted, [*keys, "_part"], n, order, "_rank").drop("_part", "_rank")
     ranked = _ranked(df, keys, n, order, rank_column or "_rank")
     return ranked if rank_column else ranked.drop("_rank")
 

@@ -13,7 +13,7 @@ HIT_COLUMNS = ("title", "id", "type", "owner", "modified", "tags", "url", "snipp
 def search_items(
     items: DataFrame, query: str, item_type: str | None = "Feature Layer", max_items: int | None = 5
 ) -> DataFrame:
-    """Items of a type whose title, snippet or tags contain the text, the first ones by ``hit_no``.
+    """Items of a type whose title, snippet, description or tags contain the text, the first ones by ``hit_no``.
 
     No type searches all, and no limit returns all hits.
     """
@@ -21,7 +21,7 @@ def search_items(
     if item_type:
         hits = hits.filter(F.col("type") == item_type)
     if query:
-        searched = F.lower(F.concat_ws(" ", "title", "snippet", F.array_join("tags", " ")))
+        searched = F.lower(F.concat_ws(" ", "title", "snippet", "description", F.array_join("tags", " ")))
         hits = hits.filter(searched.contains(query.lower()))
     hits = hits.select("hit_no", *HIT_COLUMNS)
     return hits if max_items is None else hits.orderBy("hit_no").limit(max_items)

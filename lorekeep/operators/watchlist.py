@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import WATCHLIST_ITEMS
@@ -16,47 +15,24 @@ EXPORT_NAMES = {
 _LATEST = ("item_url", "title", "item_type", "owner", "added_at")
 
 
-# Actions of one item that are handled together; a longer log of an item is cut into such pieces.
-PIECE = 1_000_000
-
-
-def replay(log: DataFrame, piece: int = PIECE) -> DataFrame:
+def replay(log: DataFrame) -> DataFrame:
     """Saved items after all actions of ``log`` (seq, action, watchlist columns).
 
     Saving again overwrites everything but ``source_query`` (first one kept) and ``notes`` (kept
     when not given); removing forgets the item, so only the saves after its last removal count.
 
-    ``seq`` numbers the actions, so an item has at most ``piece`` of them in one range of that
-    length, however much of the log is its own. Each range is reduced to one row per item, what
-    the saves after the range's last removal amount to. Ranges before the item's last removal
-    then drop out as a whole, and the others are combined.
+    The last removal per item and the outcome of the saves behind it are both aggregates that tasks
+    reduce before the shuffle, and the join between them can be split, so an item that has a large
+    share of the log is no single task, however its ``seq`` values lie.
     """
-    in_piece = W.partitionBy("item_id", "piece")
-    removal = F.when(F.col("action") == "remove", F.col("seq"))
-    marked = log.withColumn("piece", F.floor(F.col("seq") / piece)).withColumn(
-        "removed_seq", F.max(removal).over(in_piece)
-    )
-    live = (F.col("action") == "save") & (F.col("removed_seq").isNull() | (F.col("seq") > F.col("removed_seq")))
-    live_seq = F.when(live, F.col("seq"))
-    notes_seq = F.when(live & F.col("notes").isNotNull(), F.col("seq"))
-    pieces = marked.groupBy("item_id", "piece").agg(
-        F.max("removed_seq").alias("removed_seq"),
-        F.max_by(F.struct(*_LATEST), live_seq).alias("latest"),
-        F.max(live_seq).alias("latest_seq"),
-        F.min_by("source_query", live_seq).alias("source_query"),
-        F.min(live_seq).alias("first_seq"),
+    removed = log.filter("action = 'remove'").groupBy("item_id").agg(F.max("seq").alias("removed_seq"))
+    saves = log.filter("action = 'save'").join(removed, "item_id", "left")
+    live = saves.filter("removed_seq IS NULL OR seq > removed_seq")
+    notes_seq = F.when(F.col("notes").isNotNull(), F.col("seq"))
+    whole = live.groupBy("item_id").agg(
+        F.max_by(F.struct(*_LATEST), "seq").alias("latest"),
+        F.min_by("source_query", "seq").alias("source_query"),
         F.max_by("notes", notes_seq).alias("notes"),
-        F.max(notes_seq).alias("notes_seq"),
-    )
-    last_removal = F.max("removed_seq").over(W.partitionBy("item_id"))
-    current = pieces.withColumn("last_removal", last_removal).filter(
-        F.col("first_seq").isNotNull()
-        & (F.col("last_removal").isNull() | (F.col("first_seq") > F.col("last_removal")))
-    )
-    whole = current.groupBy("item_id").agg(
-        F.max_by("latest", "latest_seq").alias("latest"),
-        F.min_by("source_query", "first_seq").alias("source_query"),
-        F.max_by("notes", "notes_seq").alias("notes"),
     )
     return whole.select("item_id", "latest.*", "source_query", "notes").select(*WATCHLIST_ITEMS.names)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from ..operators.current import last_in_batch, upsert_current
+from ..operators.current import upsert_current
 from ..operators.health import Fetch, classify_probes, http_fetch, probe_items
 from ..operators.history import apply_batch
 from ..operators.normalize import normalize_items, rejected_items, scan_items
@@ -33,13 +34,14 @@ def run_snapshot(
     raw: DataFrame,
     run_id: str,
     started_at: datetime | str,
-    finished_at: datetime | str,
+    finished_at: datetime | str | Callable[[], datetime],
     options: SnapshotOptions = SnapshotOptions(),
 ) -> bool:
     """Process ``raw`` (raw JSON text, ``seq`` giving the order within the batch) as one run.
 
     Returns False when the run was published before; doing it again changes nothing. A run that
-    failed earlier keeps the start it was opened with. Errors are raised, and leave the published
+    failed earlier keeps the start it was opened with. A ``finished_at`` that is a function is asked
+    when the work is done. Errors are raised, and leave the published
     tables as they were.
     """
     if warehouse.is_published(run_id):
@@ -53,8 +55,9 @@ def run_snapshot(
     # The batch feeds four tables. Written once, it is read back from shared storage: its lineage
     # ends there, and a lost executor costs no second pass over the raw text.
     items = normalize_items(raw, run_id, started_at, carry=("seq",))
-    chosen = scan_items(items, options.query, options.item_types, options.max_items)
-    batch = warehouse.write_version("batches", run_id, last_in_batch(chosen, "seq").drop("seq"))
+    # Equal ``seq`` values, as from two files, are told apart by the content.
+    chosen = scan_items(items, options.query, options.item_types, options.max_items, last_wins=("seq", "content_hash"))
+    batch = warehouse.write_version("batches", run_id, chosen.drop("seq"))
     warehouse.write_version("rejects", run_id, rejected_items(raw))
 
     tables: list[str] = []
@@ -72,5 +75,5 @@ def run_snapshot(
             probes = probe_items(batch, options.fetch, options.probe_partitions)
             warehouse.write_children("health_checks", run_id, classify_probes(probes, run_id, started_at))
             tables.append("health_checks")
-    warehouse.publish(run_id, started_at, finished_at, tables)
+    warehouse.publish(run_id, started_at, finished_at() if callable(finished_at) else finished_at, tables)
     return True

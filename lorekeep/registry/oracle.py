@@ -200,7 +200,7 @@ scored AS (
               + 30 * coalesce(description <> '', FALSE)::INT + 10 * (coalesce(len(tags), 0) > 0)::INT
               + 10 * (coalesce(len(tags), 0) >= 3)::INT AS INTEGER) AS quality_score
   FROM hits
-  WHERE contains(lower(concat_ws(' ', title, snippet, array_to_string(tags, ' '))), 'the'))"""
+  WHERE contains(lower(concat_ws(' ', title, snippet, description, array_to_string(tags, ' '))), 'the'))"""
 
 _MESSAGES = """
 messages AS (
@@ -232,11 +232,11 @@ FROM health h JOIN items i ON i.item_id = h.item_id WHERE h.run_id = '{RUN}' AND
 )
 
 
-def _owners(description: str) -> str:
+def _owners(description: str, cap: str = "LIMIT 20") -> str:
     return _with(
         f"""SELECT owner, count(*) AS total_items, count(*) FILTER ({_NO_TAGS}) AS missing_tags,
        count(*) FILTER ({_NO_DESCRIPTION}) AS {description}, count(*) FILTER ({_STALE}) AS stale
-FROM items GROUP BY owner ORDER BY total_items DESC, owner LIMIT 20""",
+FROM items GROUP BY owner ORDER BY total_items DESC, owner {cap}""",
         _ITEMS,
     )
 
@@ -306,13 +306,16 @@ refs AS (
          'https://maps.example.org/apps/mapviewer/index.html?' AS viewer
   FROM orders)"""
 
-# The steps a page's text takes, innermost first. The pages hold no '>' inside quotes and only the
-# entities undone here.
+# Whatever starts first is taken, up to its closing mark or the end of the text.
+_MARKUP = "(?is)" + "|".join(
+    [r"<!--.*?(?:-->|\z)"]
+    + [rf"<{name}\b[^>]*(?:>.*?(?:</{name}\s*>|\z)|\z)" for name in ("script", "style", "template")]
+    + [r"""<[/!?A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>""", r"<[/!?A-Za-z][^>]*(?:>|\z)"]
+)
+
+# The steps a page's text takes, innermost first. The pages hold only the entities undone here.
 _HTML_STEPS = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script[^>]*>.*?</script>", " "),
-    (r"(?is)<style[^>]*>.*?</style>", " "),
-    (r"(?s)<[^>]*>", " "),
+    (_MARKUP, " "),
     ("&quot;", '"'),
     ("&copy;", "©"),
     ("&middot;", "·"),
@@ -324,8 +327,8 @@ _HTML_STEPS = [
 ]
 
 
-def _html_sql() -> str:
-    sql = "html"
+def _html_sql(page: str = "html") -> str:
+    sql = page
     for pattern, to in _HTML_STEPS:
         sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
     return f"SELECT page_id, trim({sql}) AS text FROM pages"
@@ -391,6 +394,7 @@ ORACLE: dict[str, str] = {
     ),
     "owner_summary": _owners("missing_description"),
     "owner_summary_admin": _owners("missing_desc"),
+    "owner_summary_full": _owners("missing_description", ""),
     "dashboard_missing_tags": _top(_issue(_NO_TAGS, "item_id, title, owner, tags_json"), "item_id"),
     "dashboard_missing_description": _top(_issue(_NO_DESCRIPTION), "item_id"),
     "dashboard_missing_extent": _top(_issue(_NO_EXTENT), "item_id"),
@@ -519,6 +523,11 @@ FROM documents GROUP BY ALL""",
        l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC,
   l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1""",
+    "scan_capped": """SELECT item_id, l_shipdate, l_orderkey, l_linenumber FROM (
+  SELECT CAST(l_partkey AS VARCHAR) AS item_id, l_shipdate, l_orderkey, l_linenumber FROM lineitem
+  WHERE l_returnflag <> 'A' AND l_linestatus IN ('F', 'O')
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1)
+ORDER BY item_id LIMIT 200""",
     "rejected_items": "SELECT doc_id AS seq, 'no item id' AS reason FROM documents WHERE doc_id % 97 = 0",
     "upsert_current": _with(
         """SELECT item_id, run_id, content, observed_at FROM (
@@ -582,16 +591,19 @@ FROM scored WHERE type = 'Feature Layer' ORDER BY hit_no LIMIT 50""",
         "SELECT reference, kind, target_class, service_url, layer_index, resolved_id FROM targets", _REQUESTS
     ),
     "layer_count_requests": _with(
-        """, picked AS (
-  SELECT t.reference, t.resolved_id, t.layer_index, count(c.item_id) AS layers_counted,
-         CAST(coalesce(sum(c.row_count), 0) AS BIGINT) AS total_count
-  FROM targets t LEFT JOIN counts c ON c.item_id = t.resolved_id AND (
+        """SELECT t.reference, t.resolved_id, t.layer_index, count(c.item_id) > 0 AS ok,
+       CASE WHEN t.resolved_id IS NULL THEN 'reference is not known'
+            WHEN count(c.item_id) = 0 THEN 'no layer ' || t.layer_index END AS error,
+       count(c.item_id) AS layers_counted, CAST(coalesce(sum(c.row_count), 0) AS BIGINT) AS total_count
+FROM (SELECT *, row_number() OVER () AS request FROM targets) t LEFT JOIN counts c ON c.item_id = t.resolved_id AND (
     t.layer_index IS NULL OR (c.layer_kind = 'layer' AND c.layer_index = t.layer_index))
-  GROUP BY ALL)
-SELECT reference, resolved_id, layer_index, layers_counted > 0 AS ok,
-       CASE WHEN resolved_id IS NULL THEN 'Could not resolve the reference.'
-            WHEN layers_counted = 0 THEN 'No layers found. (Index ' || layer_index || ' might be invalid)' END AS error,
-       layers_counted, total_count FROM picked""",
+GROUP BY t.request, t.reference, t.resolved_id, t.layer_index""",
+        _COUNTS, _REQUESTS,
+    ),
+    "layer_count_details": _with(
+        """SELECT t.reference, c.item_id, c.layer_kind, c.layer_index, c.layer_name, c.row_count, c.error
+FROM (SELECT DISTINCT * FROM targets) t JOIN counts c ON c.item_id = t.resolved_id AND (
+    t.layer_index IS NULL OR (c.layer_kind = 'layer' AND c.layer_index = t.layer_index))""",
         _COUNTS, _REQUESTS,
     ),
     "layer_extent": _with(
@@ -643,12 +655,11 @@ shown AS (
 asked AS (SELECT reference, resolved_id AS item_id, coalesce(layer_index, 0) AS layer_index FROM targets),
 judged AS (
   SELECT a.*, l.layer_name, l.geometry_type, s.* EXCLUDE (item_id, layer_index),
-         CASE WHEN a.item_id IS NULL THEN 'Could not resolve the reference.'
-              WHEN CAST(substr(a.item_id, 5) AS INTEGER) % 5 = 4 THEN 'Item type ''Web Map'' not supported.'
-              WHEN a.layer_index > 1 THEN 'Layer index ' || a.layer_index || ' out of range (Total: 2).'
-              WHEN l.error IS NOT NULL THEN 'Query failed: ' || l.error
-              WHEN s.off THEN 'Service ignored requests for Lat/Lon (EPSG:4326) and returned projected coordinates. '
-                || 'Map preview requires Lat/Lon.' END AS error
+         CASE WHEN a.item_id IS NULL THEN 'reference is not known'
+              WHEN CAST(substr(a.item_id, 5) AS INTEGER) % 5 = 4 THEN 'no preview of item type Web Map'
+              WHEN a.layer_index > 1 THEN 'no layer ' || a.layer_index || ' among 2'
+              WHEN l.error IS NOT NULL THEN 'layer cannot be read: ' || l.error
+              WHEN s.off THEN 'coordinates are not longitude and latitude' END AS error
   FROM asked a
   LEFT JOIN (SELECT * FROM layers WHERE layer_kind = 'layer') l ON l.item_id = a.item_id AND l.layer_index = a.layer_index
   LEFT JOIN shown s ON s.item_id = a.item_id AND s.layer_index = a.layer_index)
@@ -675,6 +686,10 @@ FROM styled GROUP BY item_id, layer_index""",
         _STYLED,
     ),
     "html_to_text": _html_sql(),
+    "html_to_text_hostile": _html_sql(
+        """html || '<script>s = ''<!--''</script> seen <!-- <b> --> after <i title="a > b">x</i>' || CASE page_id % 4 WHEN 0 THEN '<script>var x = 1;'
+           WHEN 1 THEN ' tail <!-- hidden' WHEN 2 THEN ' tail <a href="x' ELSE ' tail <style' END"""
+    ),
     "layer_ref_parse": _with(
         """SELECT k AS ref_no, CASE WHEN form IN (0, 2, 3, 4, 5) THEN 'service_url' ELSE 'item_id' END AS kind,
        CASE form WHEN 0 THEN 'https://svc.example.org/rest/' || k || '/FeatureServer'
@@ -700,17 +715,4 @@ FROM refs""",
 FROM messages""",
         _MESSAGES,
     ),
-    "health_probe": _with(
-        f""", tried AS (
-  SELECT item_id, url, CAST(item_id AS BIGINT) AS n, CAST(item_id AS BIGINT) % 10 AS last FROM items WHERE url <> ''),
-answered AS (
-  SELECT *, CAST(list_extract([200, 200, 404, 302, 200, 200, 503, 200, 399, NULL], last + 1) AS INTEGER) AS status_code
-  FROM tried)
-SELECT '{RUN}' AS run_id, item_id, url AS checked_url, coalesce(status_code < 400, FALSE) AS ok, status_code,
-       CASE WHEN last <> 9 THEN CAST(n % 500 AS INTEGER) END AS latency_ms,
-       CASE WHEN last = 9 THEN 'timed out: ' || n WHEN status_code >= 400 THEN 'HTTP ' || status_code END AS error_message,
-       {_AS_OF} AS checked_at
-FROM answered""",
-        _ITEMS,
-    ),
 }

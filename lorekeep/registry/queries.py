@@ -101,6 +101,11 @@ def owner_summary(spark, d):
     return issues.owner_summary(fx.catalog_items(spark, d), AS_OF)
 
 
+@query
+def owner_summary_full(spark, d):
+    return issues.owner_summary(fx.catalog_items(spark, d), AS_OF, limit=None)
+
+
 @query
 def owner_summary_admin(spark, d):
     return issues.owner_summary(fx.catalog_items(spark, d), AS_OF, description_column="missing_desc")
@@ -284,6 +289,18 @@ def batch_last_wins(spark, d):
     return current.last_in_batch(batch, *order)
 
 
+@query
+def scan_capped(spark, d):
+    """The first 200 parts sold, each by its last sale."""
+    batch = table(spark, d, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("item_id"), F.col("l_linestatus").alias("item_type"),
+        "l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber",
+    )
+    order = ("l_shipdate", "l_orderkey", "l_linenumber")
+    chosen = normalize.scan_items(batch, "l_returnflag <> 'A'", ["F", "O"], 200, last_wins=order)
+    return chosen.select("item_id", *order)
+
+
 @query
 def upsert_current(spark, d):
     seen = fx.observations(spark, d)
@@ -443,7 +460,7 @@ def _requests(spark, d):
         F.concat(F.lit("svc_"), F.col("n_nationkey").cast("string")).alias("item_id"),
         F.concat(F.lit("https://svc.example.org/"), F.col("n_nationkey").cast("string"), F.lit("/FeatureServer")).alias("url"),
     )
-    requests = table(spark, d, "supplier").select(reference.alias("reference")).distinct()
+    requests = table(spark, d, "supplier").select(reference.alias("reference"))
     return layers.resolve_targets(requests, services)
 
 
@@ -457,6 +474,11 @@ def layer_count_requests(spark, d):
     return layers.requested_counts(_layer_counts(spark, d), _requests(spark, d))
 
 
+@query
+def layer_count_details(spark, d):
+    return layers.requested_details(_layer_counts(spark, d), _requests(spark, d))
+
+
 @query
 def layer_extent(spark, d):
     return layers.extents(fx.layer_features(spark, d))
@@ -494,7 +516,7 @@ def layer_preview_one(spark, d):
 @query
 def layer_preview_documents(spark, d):
     shown = layers.preview_features(fx.layer_features(spark, d), WHERE, limit=20)
-    return layers.feature_collections(layers.as_geojson(shown, ["feature_id"]), limit=20)
+    return layers.feature_collections(layers.as_geojson(shown, ["feature_id"]))
 
 
 @query
@@ -507,7 +529,7 @@ def layer_preview_status(spark, d):
 def _preview_layers(spark, d, limit):
     features = fx.layer_features(spark, d)
     shown = layers.preview_features(features, limit=limit)
-    documents = layers.feature_collections(layers.as_geojson(shown, ["feature_id"]), limit)
+    documents = layers.feature_collections(layers.as_geojson(shown, ["feature_id"]))
     boxes = layers.extents(shown)
     return documents.join(boxes, layers.LAYER).select(
         "item_id",
@@ -554,6 +576,17 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
+@query
+def html_to_text_hostile(spark, d):
+    """Whole pages followed by a script that holds a comment mark, and by markup that never ends."""
+    k = F.col("page_id") % 4
+    tail = F.when(k == 0, F.lit("<script>var x = 1;")).when(k == 1, F.lit(" tail <!-- hidden"))
+    tail = tail.when(k == 2, F.lit(' tail <a href="x')).otherwise(F.lit(" tail <style"))
+    middle = F.lit("<script>s = '<!--'</script> seen <!-- <b> --> after <i title=\"a > b\">x</i>")
+    page = F.concat("html", middle, tail)
+    return table(spark, d, "pages").select("page_id", X.html_to_text(page).alias("text"))
+
+
 @query
 def layer_ref_parse(spark, d):
     parsed = fx.layer_references(spark, d).select(
@@ -584,22 +617,3 @@ def message_intent(spark, d):
         X.wants_preview(F.col("text")).alias("wants_preview"),
         X.wants_count(F.col("text")).alias("wants_count"),
     )
-
-
-# --- probing -----------------------------------------------------------------------------------
-
-
-def fixture_fetch(method: str, url: str, timeout: float) -> tuple[int, float]:
-    """Outcome decided by the number a fixture URL ends in; no network."""
-    n = int(url.rsplit("/", 1)[1])
-    if n % 10 == 9:
-        raise TimeoutError(f"timed out: {n}")
-    if n % 10 == 5 and method == "HEAD":
-        return 405, 0.01
-    return (200, 200, 404, 302, 200, 200, 503, 200, 399)[n % 10], (n % 500) / 1000 + 0.0005
-
-
-@query
-def health_probe(spark, d):
-    probes = health.probe_items(fx.catalog_items(spark, d), fixture_fetch)
-    return health.classify_probes(probes, RUN, AS_OF)

@@ -49,7 +49,7 @@ def continuous_snapshot(
     checkpoint = checkpoint or default_checkpoint(warehouse, run_prefix)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        run_snapshot(warehouse, batch, f"{run_prefix}{batch_id:09d}", clock(), clock(), options)
+        run_snapshot(warehouse, batch, f"{run_prefix}{batch_id:09d}", clock(), clock, options)
 
     writer = raw.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -91,3 +91,26 @@ def test_intent(spark):
     texts = ["Please VISUALIZE it", "map this", "Count Rows", "how many records?", "hello", None]
     assert apply(spark, X.wants_preview, texts) == [True, True, False, False, False, None]
     assert apply(spark, X.wants_count, texts) == [False, False, True, True, False, None]
+
+
+def test_markup_that_hides_or_never_ends(spark):
+    pages = {
+        "<p>one</p><script>s='<!--'</script> seen <!-- x --> end": "one seen end",
+        "a<script>var x=1;": "a",
+        "a <!-- hidden b": "a",
+        'a <i title="x > y">b</i> <': "a b <",
+        "a <style": "a",
+    }
+    rows = spark.createDataFrame([(k,) for k in pages], "html STRING")
+    got = {r.html: r.text for r in rows.select("html", X.html_to_text(F.col("html")).alias("text")).collect()}
+    assert got == pages
+
+
+def test_hostile_pages_take_linear_time(spark):
+    import time
+
+    marks = [(m * (1_000_000 // len(m)),) for m in ("<!--", "<script>", "<a", "<a '", '<a "> ', "<style ")]
+    rows = spark.createDataFrame(marks, "html STRING")
+    begin = time.monotonic()
+    rows.select(F.sum(F.length(X.html_to_text(F.col("html"))))).collect()
+    assert time.monotonic() - begin < 60
