@@ -58,9 +58,9 @@ def class_styles(renderers: DataFrame) -> DataFrame:
     )
 
 
-def _attributes(features: DataFrame) -> Column:
-    """Map of the attributes a class key can be made of, as text; a null reads "None"."""
-    pairs = []
+def _attribute(features: DataFrame, field: str) -> str:
+    """SQL text of the attribute that ``field`` names, as text; a null reads "None", an unknown name empty."""
+    choices = []
     for name, kind in features.dtypes:
         if kind.startswith(("array", "map", "struct", "variant", "binary")) or name == "geometry":
             continue
@@ -68,8 +68,8 @@ def _attributes(features: DataFrame) -> Column:
         text = f"CAST({quoted} AS STRING)"
         text = f"initcap({text})" if kind == "boolean" else text
         label = name.replace("\\", "\\\\").replace("'", "\\'")
-        pairs.append(f"'{label}', coalesce({text}, 'None')")
-    return F.expr(f"map({', '.join(pairs)})")
+        choices.append(f"WHEN '{label}' THEN coalesce({text}, 'None')")
+    return f"CASE {field} {' '.join(choices)} ELSE '' END" if choices else "''"
 
 
 def style_features(
@@ -83,8 +83,8 @@ def style_features(
     """
     parsed = parse_renderers(renderers)
     layer = parsed.select(*_KEY, F.struct(*[c for c in parsed.columns if c not in _KEY]).alias("_layer"))
-    # An unknown attribute reads as empty.
-    named = lambda i: f"coalesce(try_element_at(_attributes, _layer.field{i}), '')"
+    # The up to three attributes of the key are chosen by name once the renderer is known.
+    named = lambda i: _attribute(features, f"_layer.field{i}")
     more = [
         f"CASE WHEN _layer.field{i} IS NULL THEN '' ELSE concat(_layer.delimiter, {named(i)}) END" for i in (2, 3)
     ]
@@ -93,8 +93,7 @@ def style_features(
     )
     classes = class_styles(renderers).withColumnsRenamed({"class_key": "_key", "class_style": "_class"})
     styled = (
-        features.withColumn("_attributes", _attributes(features))
-        .join(layer, _KEY, "left")
+        features.join(layer, _KEY, "left")
         .withColumn("_key", class_key)
         .join(classes, [*_KEY, "_key"], "left")
     )
