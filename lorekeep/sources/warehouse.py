@@ -53,10 +53,11 @@ class Warehouse:
 
     # --- reading ------------------------------------------------------------------------------
 
-    def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        """The files of a table, or no rows before the first write."""
+    def _read(self, table: str, schema: T.StructType, folder: str = "") -> DataFrame:
+        """The files of a table or of one ``folder`` of it (nothing else is listed), or no rows before the first write."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+            reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
+            return reader.parquet(f"{self.root}/{table}/{folder}" if folder else f"{self.root}/{table}")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -91,16 +92,16 @@ class Warehouse:
         path = f"{self.root}/items_current/as_of_run={latest[0]}"
         return self.spark.read.schema(schemas.ITEMS_CURRENT).parquet(path)
 
-    def _history_files(self) -> DataFrame:
-        return self._read("items_history", T.StructType([*schemas.ITEMS_HISTORY.fields, _VERSION]))
+    def _history_files(self, folder: str = "") -> DataFrame:
+        return self._read("items_history", T.StructType([*schemas.ITEMS_HISTORY.fields, _VERSION]), folder)
 
     def open_versions(self) -> DataFrame:
         """The current version of every item: one directory, no closed version is read."""
         latest = self.latest_published("items_history")
         if latest is None:
             return self.spark.createDataFrame([], schemas.ITEMS_HISTORY)
-        mine = (F.col("as_of_run") == latest[0]) & F.col("is_current")
-        return self._history_files().filter(mine).select(*schemas.ITEMS_HISTORY.names)
+        run = self._history_files(f"as_of_run={latest[0]}")
+        return run.filter("is_current").select(*schemas.ITEMS_HISTORY.names)
 
     def items_history(self) -> DataFrame:
         """All versions: the open ones, and what each published run closed."""
@@ -112,9 +113,8 @@ class Warehouse:
     def children(self, table: str, run_id: str | None = None) -> DataFrame:
         """Scores or health checks of the published runs, or of one run (reads its directory only)."""
         published = self.manifest().filter(F.col("table_name") == table).select("run_id")
-        rows = self._read(table, _BY_RUN[table])
+        rows = self._read(table, _BY_RUN[table], f"run_id={run_id}" if run_id is not None else "")
         if run_id is not None:
-            rows = rows.filter(F.col("run_id") == run_id)
             published = published.filter(F.col("run_id") == run_id)
         return rows.join(published, "run_id", "left_semi").select(*_BY_RUN[table].names)
 
