@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import fingerprint, mixing, ngram_join, packing, pii, repeats, sharding, token_files, toxicity, vectors
+from lorekeep.llm.oracle import ORACLE
 from lorekeep.llm.storage import new_folder
 from lorekeep.llm.tables import table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 SHARDS = 40
 
 
@@ -101,4 +104,3 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
-ORACLE: dict[str, str] = {}
