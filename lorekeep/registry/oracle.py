@@ -294,10 +294,20 @@ def _quoted(column: str) -> str:
     return f"'\"' || {column} || '\"'"
 
 
-_RAW_HASH = _digest(
-    *[_quoted(c) for c in ("id", "title", "type", "owner", "url", "'public'")], "raw_tags",
-    *[_quoted(c) for c in ("snippet", "description", "thumbnail")], "raw_extent", "modified::VARCHAR",
-)
+def _raw_hash(access: str) -> str:
+    return _digest(
+        *[_quoted(c) for c in ("id", "title", "type", "owner", "url", f"'{access}'")], "raw_tags",
+        *[_quoted(c) for c in ("snippet", "description", "thumbnail")], "raw_extent", "modified::VARCHAR",
+    )
+
+
+_RAW_HASH = _raw_hash("public")
+_FIRST, _SECOND = "TIMESTAMP '2024-05-01 00:00:00'", "TIMESTAMP '2024-06-01 00:00:00'"
+_RAW_SCORE = f"""CAST(20 * described::INT + 15 * (tags_count >= 3)::INT + 15 * has_extent::INT + 5 * (thumbnail IS NOT NULL)::INT
+            + 5 * (length(coalesce(snippet, '')) BETWEEN 20 AND 200)::INT
+            + 5 * (length(coalesce(nullif(title, ''), 'Untitled')) BETWEEN 10 AND 120)::INT
+            + 20 * (make_timestamp(modified * 1000) > {_AS_OF} - INTERVAL 181 DAY)::INT + 10 * (url IS NOT NULL)::INT
+            AS INTEGER)"""
 
 _REFERENCES = """
 refs AS (
@@ -506,11 +516,7 @@ FROM raw WHERE id IS NOT NULL AND type IS NOT NULL""",
     ),
     "normalized_scores": _with(
         f"""SELECT id AS item_id,
-       CAST(20 * described::INT + 15 * (tags_count >= 3)::INT + 15 * has_extent::INT + 5 * (thumbnail IS NOT NULL)::INT
-            + 5 * (length(coalesce(snippet, '')) BETWEEN 20 AND 200)::INT
-            + 5 * (length(coalesce(nullif(title, ''), 'Untitled')) BETWEEN 10 AND 120)::INT
-            + 20 * (make_timestamp(modified * 1000) > {_AS_OF} - INTERVAL 181 DAY)::INT + 10 * (url IS NOT NULL)::INT
-            AS INTEGER) AS score,
+       {_RAW_SCORE} AS score,
        '[' || concat_ws(',', CASE WHEN NOT described THEN '"description"' END, CASE WHEN tags_count = 0 THEN '"tags"' END,
          CASE WHEN thumbnail IS NULL THEN '"thumbnail"' END) || ']' AS missing_json
 FROM (SELECT *, coalesce(description, '') <> '' AS described FROM raw) WHERE id IS NOT NULL""",
@@ -523,6 +529,17 @@ FROM documents GROUP BY ALL""",
        l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC,
   l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1""",
+    "snapshot_chain": _with(
+        f"""SELECT id AS item_id, hash AS content_hash, coalesce(nullif(title, ''), 'Untitled') AS title,
+       CASE WHEN version = 2 THEN {_SECOND} ELSE {_FIRST} END AS valid_from,
+       CASE WHEN version = 1 AND edited THEN {_SECOND} END AS valid_to, NOT (version = 1 AND edited) AS is_current,
+       CASE WHEN version = 2 THEN 'second' ELSE 'first' END AS first_seen_run_id,
+       CASE WHEN version = 1 AND edited THEN 'first' ELSE 'second' END AS last_seen_run_id, score
+FROM (SELECT *, d % 3 = 0 AS edited, CASE version WHEN 1 THEN {_RAW_HASH} ELSE {_raw_hash("org")} END AS hash, {_RAW_SCORE} AS score
+      FROM (SELECT *, coalesce(description, '') <> '' AS described, unnest([1, 2]) AS version FROM raw))
+WHERE id IS NOT NULL AND (version = 1 OR edited)""",
+        _RAW,
+    ),
     "scan_capped": """SELECT item_id, l_shipdate, l_orderkey, l_linenumber FROM (
   SELECT CAST(l_partkey AS VARCHAR) AS item_id, l_shipdate, l_orderkey, l_linenumber FROM lineitem
   WHERE l_returnflag <> 'A' AND l_linestatus IN ('F', 'O')

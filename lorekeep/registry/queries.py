@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import predicates
 from ..functions import text as X
@@ -13,6 +14,7 @@ from ..functions import values as V
 from ..operators import current, health, history, issues, layers, normalize, remediation, scores, search
 from ..operators import symbology, watchlist
 from ..plans.dashboard import dashboard_frames
+from ..schemas import ITEMS_HISTORY
 from ..sources import fixtures as fx
 from ..sources.driver_tables import table
 from ..sources.fixtures import AS_OF, RUN
@@ -301,6 +303,25 @@ def scan_capped(spark, d):
     return chosen.select("item_id", *order)
 
 
+@query
+def snapshot_chain(spark, d):
+    """Two runs over all raw items, the second with edits of every third one behind the unedited rows."""
+    raw = fx.raw_items(spark, d)
+    edit = F.regexp_replace("raw", '"access":"public"', '"access":"org"')
+    edits = raw.filter("seq % 3 = 0").select(edit.alias("raw"), (F.col("seq") + 1_000_000_000).alias("seq"))
+    kept = ["title", "owner"]
+    names = ["item_id", "content_hash", "valid_from", "valid_to", "is_current", *kept, "first_seen_run_id", "last_seen_run_id"]
+    versions = spark.createDataFrame([], StructType([ITEMS_HISTORY[n] for n in names]))
+    items = None
+    for run, start, rows in (("first", "2024-05-01 00:00:00", raw), ("second", "2024-06-01 00:00:00", raw.unionByName(edits))):
+        seen = normalize.normalize_items(rows, run, start, carry=("seq",))
+        batch = normalize.scan_items(seen, "true", last_wins=("seq", "content_hash")).drop("seq")
+        versions = history.apply_batch(versions, batch, run, start, kept)
+        items = batch if items is None else current.upsert_current(items, batch)
+    scored = scores.score_items(items, "second", AS_OF).select("item_id", "score")
+    return versions.drop("owner").join(scored, "item_id")
+
+
 @query
 def upsert_current(spark, d):
     seen = fx.observations(spark, d)
