@@ -1,5 +1,3 @@
-import zlib
-
 import duckdb
 import pytest
 
@@ -43,7 +41,3 @@ def run(spark, sf_dir):
     from lorekeep.llm.queries import QUERIES
 
     return lambda name: QUERIES[name](spark, sf_dir).collect()
-
-
-def crc_of(ids):
-    return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import crc_of
+from checksums import crc_of
 from tokenizers import Tokenizer
 
 from lorekeep.llm import packing, token_files
