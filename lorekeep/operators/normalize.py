@@ -47,6 +47,9 @@ def _hashed(name: str) -> str:
                     WHEN NOT is_variant_null({_value(name)}) THEN to_json({_value(name)}) END"""
 
 
+_REASON = f"CASE WHEN item IS NULL THEN 'not JSON' WHEN {_text('id')} IS NULL THEN 'no item id' END"
+
+
 def _moment(name: str) -> Column:
     number = f"CASE WHEN {_kind(name)} RLIKE '{_NUMBER_TYPES}' THEN {_value(name, 'double')} END"
     return epoch_ms_to_ntz(F.expr(number))
@@ -92,6 +95,21 @@ def normalize_items(
 
     Rows without an id or that are not JSON are left to :func:`rejected_items`.
     """
+    return _typed(_accepted(raw, column, carry), run_id, as_of, carry)
+
+
+def staged_items(raw: DataFrame, run_id: str, as_of: datetime | str, column: str = "raw", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Both kinds of raw rows from one parse, to be written once and read back by ``reason``.
+
+    Accepted rows have a null ``reason``; rejected ones have no typed values but their raw text.
+    """
+    rejected = F.when(F.col("reason").isNotNull(), F.col(column)).alias(column)
+    parsed = parse_items(raw, column).withColumn("reason", F.expr(_REASON)).select(*carry, "reason", rejected, "item")
+    return _typed(parsed, run_id, as_of, (*carry, "reason", column))
+
+
+def _typed(parsed: DataFrame, run_id: str, as_of: datetime | str, carry: tuple[str, ...]) -> DataFrame:
+    """Catalog columns of ``item``, plus the ``carry`` columns."""
     texts = {
         "item_id": _text("id"),
         "title": _text("title", "Untitled"),
@@ -105,7 +123,7 @@ def normalize_items(
         # Absent views are none, a null stays unknown.
         "num_views": f"CASE WHEN {_value('numViews')} IS NULL THEN 0 ELSE {_value('numViews', 'bigint')} END",
     }
-    fields = _accepted(raw, column, carry).select(
+    fields = parsed.select(
         *carry,
         *[F.expr(f"{text} AS {name}") for name, text in texts.items()],
         _moment("created").alias("created_at"),
@@ -132,9 +150,7 @@ def normalize_items(
 
 def rejected_items(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Raw rows that cannot enter the catalog, with the reason."""
-    reason = F.expr(
-        f"CASE WHEN item IS NULL THEN 'not JSON' WHEN {_text('id')} IS NULL THEN 'no item id' END"
-    )
+    reason = F.expr(_REASON)
     return parse_items(raw, column).select(
         *raw.columns, F.explode(F.array_compact(F.array(reason))).alias("reason")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..operators.current import upsert_current
 from ..operators.health import Fetch, classify_probes, http_fetch, probe_items
 from ..operators.history import apply_batch
-from ..operators.normalize import normalize_items, rejected_items, scan_items
+from ..operators.normalize import scan_items, staged_items
 from ..operators.scores import score_items
 from ..sources.warehouse import Warehouse, as_datetime
 
@@ -52,13 +52,15 @@ def run_snapshot(
         raise ValueError(f"run {run_id} starts at {started_at}, not after run {latest[0]} at {latest[1]}")
     warehouse.open_run(run_id, started_at, **options.details)
 
+    # The raw text is read and parsed once, into a staged table that holds accepted and rejected rows.
     # The batch feeds four tables. Written once, it is read back from shared storage: its lineage
     # ends there, and a lost executor costs no second pass over the raw text.
-    items = normalize_items(raw, run_id, started_at, carry=("seq",))
+    parsed = warehouse.write_version("staged", run_id, staged_items(raw, run_id, started_at, carry=("seq",)))
+    items = parsed.filter("reason IS NULL").drop("reason", "raw")
     # Equal ``seq`` values, as from two files, are told apart by the content.
     chosen = scan_items(items, options.query, options.item_types, options.max_items, last_wins=("seq", "content_hash"))
     batch = warehouse.write_version("batches", run_id, chosen.drop("seq"))
-    warehouse.write_version("rejects", run_id, rejected_items(raw))
+    warehouse.write_version("rejects", run_id, parsed.filter("reason IS NOT NULL").select("raw", "seq", "reason"))
 
     tables: list[str] = []
     if not batch.isEmpty():

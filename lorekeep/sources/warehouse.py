@@ -5,7 +5,7 @@ A run writes every table below a directory of its own and is published last, by
 failed half-way is simply written again::
 
     runs/run_id=…                                    the opened run
-    batches, rejects/as_of_run=…                     what the run received
+    staged, batches, rejects/as_of_run=…             what the run received
     items_current/as_of_run=…                        all current items after the run
     items_history/as_of_run=…/is_current=true        all open versions after the run
     items_history/as_of_run=…/is_current=false       the versions this run closed
