@@ -20,8 +20,8 @@ of them, in any global order. So:
 Returned per row: id, n_shingles, component_id (smallest id reachable by links). Pairs are never listed.
 
 Defined cases: null texts and texts without words have 0 shingles and link with nothing, not even each other; a
-null id sorts before all others; rows of one id but different texts are separate rows whose links are shared; equal
-rows are linked; an empty table gives an empty result.
+null id sorts before all others; rows of one id but different texts keep their own n_shingles and share one
+component, found from all their shingles together; equal rows are linked; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -140,23 +140,50 @@ def settle(group: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return names, np.bincount(inverse, weights=np.concatenate([c for _, c in done])).astype(np.int64)
 
 
-def settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket."""
-    current, held = None, []
+CREDITS = "slot int, names binary, credits binary"
 
-    def result() -> pa.RecordBatch:
-        names, credit = settle(held)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(credit)], ["h1", "credit"])
 
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each value of the first column, which come one after the other."""
+    current, held = None, []
     for batch in batches:
-        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != current and held:
-                yield result()
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != current and held:
+                yield held
                 held = []
-            current = bucket
+            current = key
             held.append(row)
     if held:
-        yield result()
+        yield held
+
+
+def settle_buckets(slots: int) -> Callable:
+    """Shared shingles per class, packed by slots of the class key: a row per bucket and slot, not per class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_bucket(batches):
+            names, credit = settle(held)
+            slot = names % slots
+            order = np.argsort(slot, kind="stable")
+            cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+            rows = [
+                (int(k), names[at].astype("<i8").tobytes(), credit[at].astype("<i4").tobytes())
+                for k in np.flatnonzero(np.diff(cuts))
+                for at in (order[cuts[k] : cuts[k + 1]],)
+            ]
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["slot", "names", "credits"])
+
+    return run
+
+
+def add_credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class key, shared shingles); rows come sorted by slot."""
+    for held in by_bucket(batches):
+        names, inverse = np.unique(np.concatenate([np.frombuffer(n, dtype="<i8") for n, _ in held]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, dtype="<i4") for _, c in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total.astype(np.int64))], ["h1", "credit"])
 
 
 def sketch(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -286,7 +313,8 @@ def join_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select("text").mapInArrow(hand_out(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    credit = packed.mapInArrow(settle_buckets, "h1 bigint, credit bigint").groupBy("h1").agg(F.sum("credit").alias("credit"))
+    settled = packed.mapInArrow(settle_buckets(max(1, buckets // 4)), CREDITS).repartition("slot").sortWithinPartitions("slot")
+    credit = settled.mapInArrow(add_credits, "h1 bigint, credit bigint")
     enough = "credit >= greatest(1, ((3 * n + 3) div 4) div 8)"
     kept = staged(classes.join(credit, "h1").where(enough).select("node", "n", "h1", "h2"), "kept")
 
@@ -295,9 +323,10 @@ def join_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = slotted.mapInArrow(sets_of(np.packbits(flags), bits), "node bigint, h1 bigint, h2 bigint, tokens array<bigint>")
     sets = staged(sets.join(kept, ["node", "h1", "h2"]).select("node", "n", "tokens"), "sets")
 
-    pairs = sets.select("node", "n", F.explode("tokens").alias("token"))
+    pairs = sets.select("node", F.explode("tokens").alias("token"))
     counts = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    ordered = pairs.join(counts, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("set"))
+    ordered = pairs.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("set"))
+    ordered = ordered.join(kept.groupBy("node").agg(F.max("n").alias("n")), "node")
     # Shingles nobody shares fill the first places of the prefix.
     ordered = ordered.withColumn("lead", F.expr("n - (3 * n + 3) div 4 + 1 - (n - size(set))")).where("lead > 0")
     units = staged(ordered.select("node", "n", "lead", F.col("set.token").alias("tokens"), F.col("set.count").alias("counts")), "ordered")
