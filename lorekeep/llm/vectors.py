@@ -31,14 +31,14 @@ from lorekeep.llm.ordering import LEAST, order_key
 from lorekeep.llm.storage import staged
 
 THRESHOLD = 0.9
-DEVIATIONS = 4.0
+DEVIATIONS = 2.5
 SAMPLE_VALUES = 2_000_000
 CELL_ROWS = 1000
 MAX_CELLS = 1024
-OWN_BLOCK, ALL_BLOCK = 512, 2048
+OWN_BLOCK, ALL_BLOCK = 2048, 2048
 ROUNDS = 12
-PLACED = "node bigint, weight bigint, values array<double>, cell int, guests array<int>"
-DEALT = "cell int, i int, j int, own boolean, node bigint, weight bigint, values array<double>, home int, guests array<int>"
+PLACED = "node bigint, weight bigint, values array<{}>, cell int, guests array<int>"
+DEALT = "cell int, i int, j int, own boolean, node bigint, weight bigint, values array<{}>, home int, guests array<int>"
 FOUND = "node bigint, links bigint, root bigint"
 
 
@@ -86,7 +86,7 @@ def place(centres: np.ndarray, margin: float) -> Callable:
                 close[np.arange(len(usual)), best] = False
                 for row, flags in zip(usual, close):
                     guests[row] = np.flatnonzero(flags).tolist()
-            arrays = [nodes, weights, vectors.cast(pa.list_(pa.float64())), pa.array(cell, pa.int32()), pa.array(guests, pa.list_(pa.int32()))]
+            arrays = [nodes, weights, vectors, pa.array(cell, pa.int32()), pa.array(guests, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["node", "weight", "values", "cell", "guests"])
 
     return run
@@ -178,7 +178,9 @@ def near_duplicates(
         & F.exists(vector_col, lambda v: v != 0),
         F.lit(False),
     )
-    known = rows.select(F.col(id_col).alias("id"), order_key(id_col).alias("node"), F.col(vector_col).alias("values"), sound.alias("sound"))
+    kind = "float" if dict(rows.dtypes)[vector_col] == "array<float>" else "double"
+    values = F.col(vector_col).cast(f"array<{kind}>")
+    known = rows.select(F.col(id_col).alias("id"), order_key(id_col).alias("node"), values.alias("values"), sound.alias("sound"))
     keyed = known.where("sound").withColumns({"h1": F.xxhash64("values"), "h2": F.xxhash64(F.lit(1), "values"), "size": F.size("values")})
     classes = keyed.groupBy("h1", "h2", "size").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("values").alias("values"))
     classes = staged(classes, "classes")
@@ -190,12 +192,12 @@ def near_duplicates(
     k = min(MAX_CELLS, max(1, sizes.get(usual, 0) // CELL_ROWS))
     centres = spherical_kmeans(unit(fitted), k)
     margin = math.sqrt(2 - 2 * threshold) * min(1.0, deviations / math.sqrt(usual))
-    placed = staged(classes.select("node", "weight", "values").mapInArrow(place(centres, margin), PLACED), "placed")
+    placed = staged(classes.select("node", "weight", "values").mapInArrow(place(centres, margin), PLACED.format(kind)), "placed")
 
     count = lambda cells: {r["cell"]: r["count"] for r in placed.select(cells).groupBy("cell").count().collect()}  # noqa: E731  a row per cell
     own = count(F.col("cell"))
     every = count(F.explode(F.concat(F.array("cell"), "guests")).alias("cell"))
-    blocks = placed.mapInArrow(deal(own, every), DEALT).groupBy("cell", "i", "j")
+    blocks = placed.mapInArrow(deal(own, every), DEALT.format(kind)).groupBy("cell", "i", "j")
     found = staged(blocks.applyInArrow(compare(threshold), FOUND), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
