@@ -54,6 +54,7 @@ LOOKALIKES = str.maketrans("аеорсухіѕјԁɡοαεικντυ", "aeopcyxi
 SEPARATORS = frozenset(".-_*~'’·•,/\\:;|")
 SIGN_COST, REPEAT_COST, DROP_COST = 1.0, 0.7, 0.3
 
+PART_CHARS = 64  # longer tokens are decoded part by part
 OUTER_OPEN, OUTER_CLOSE = "([{<\"'“‘«*_~", ")]}>\"'”’»*_~.,;:?!"
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}[.,;:?!]*(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
@@ -162,9 +163,10 @@ def words_of(token: str, log_p: np.ndarray) -> tuple[str, ...]:
     if body.isalpha() and not STRETCHED.search(body):
         return (body,)
     plain = tuple(WORDS.findall(body))
-    if not plain or len(body) > 64 or "@" in body[1:-1] and "." in body.partition("@")[2]:
+    if not plain or "@" in body[1:-1] and "." in body.partition("@")[2]:
         return plain
-    return (*plain, restored) if (restored := decode(body, log_p)) not in plain else plain
+    restored = "".join(decode(body[k : k + PART_CHARS], log_p) for k in range(0, len(body), PART_CHARS))
+    return (*plain, restored) if restored not in plain else plain
 
 
 def tokens_of(text: str) -> set[str]:
