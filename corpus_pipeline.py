@@ -33,8 +33,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document of the smallest id of each group of near duplicates; rows that are equal stay once."""
     groups = ngram_join.near_groups(docs)
     others = staged(groups.where("NOT doc_id <=> component_id").select(order_key("doc_id").alias("_gone")).distinct(), "copies")
-    kept = docs.join(others, order_key("doc_id") == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    # One shuffle of the texts serves both the join and the search for equal rows.
+    keyed = docs.withColumn("_key", order_key("doc_id"))
+    kept = keyed.join(others, F.col("_key") == F.col("_gone"), "left_anti")
+    return kept.dropDuplicates(["_key", "text"]).drop("_key")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

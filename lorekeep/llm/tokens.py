@@ -20,7 +20,7 @@ from array import array
 
 import numpy as np
 
-MEMORY = 500_000
+MEMORY = 200_000
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 BEFORE_SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 UNEVEN_SPACE = re.compile(r" (?:\s|$|(?<!\S ))")
@@ -95,4 +95,5 @@ def encoder(path: str) -> PieceEncoder:
     kept = sys.modules.setdefault("_lorekeep_worker", types.ModuleType("_lorekeep_worker")).__dict__.setdefault("encoders", {})
     if path not in kept:
         kept[path] = PieceEncoder(path)
+    kept[path].older = {}  # of the tasks before, only the newer generation stays in memory
     return kept[path]

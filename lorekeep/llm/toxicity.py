@@ -36,7 +36,7 @@ MAX_FEATURES = 20_000
 MIN_DOCUMENTS = 4
 MIN_LOG_ODDS = 2.5
 DEVIATIONS = 1.25
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 # Letters the language model tells apart, after lower-casing; the rest of the letters is one class.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
