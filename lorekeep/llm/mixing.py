@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations.
 
-The rows of a source, in an order shuffled by the hash of their id, form blocks of ``block_rows``. Weights are
-rounded to whole shares of a period (largest remainders, at least one share each), so the schedule repeats
-with the period. Within it the k-th block of a source with q of P shares is released at floor((k-1) P / q) and
-due at ceil(k P / q); each time slot takes, among the released blocks, the one due first. The count of blocks
-a source has received then never differs from its weighted share by a whole block.
-
-The schedule of one period is a table of P rows, made once from the weights (sources times a constant); placing
-the data is a join with it. When a source has no blocks left, its slots stay empty and the others go on in
+The rows of a source, in an order shuffled by the hash of their id, form blocks of ``block_rows``. With w a source's
+exact share of the weights, its k-th block is released at floor((k-1) / w) and due at ceil(k / w), counted over the
+whole run. Each time slot takes, among the released blocks, the one due first; that never misses a due time. So as long
+as a source has blocks left, the count it has received never differs from its weighted share by a whole block, however
+long the run is and however small the weight.
+
+The driver makes the schedule from the weights and one count per source: a step and a row of three numbers per block,
+written to the shared storage SLOTS_AT_ONCE at a time, so its memory doesn't grow. Placing the data is a join with it.
+When a source has no blocks left, its slots stay empty or go to blocks that are released already; the others go on in
 their own proportions: no row is dropped or repeated.
 
 Defined cases: null sources are one source; null ids sort first; equal rows are interchangeable; an empty
@@ -17,23 +18,37 @@ table gives an empty result; a source without a given weight is an error, as is
 from __future__ import annotations
 
 import heapq
-import json
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.llm.storage import new_folder
+
 MIN_PERIOD = 1024
 BUCKET_BITS = 12  # rows of a source are ranked in 4096 hash ranges, so a hot source is no single group
+SLOTS_AT_ONCE = 250_000
+SLOTS = "p_src string, nth bigint, slot bigint"
 
 
-def shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
-    """Whole shares of the period, at least one each, by largest remainders."""
+def whole(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """The weights as whole numbers in exactly the same proportions."""
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    total = sum(Fraction(w) for w in weights.values())
-    spare = period - len(weights)
-    exact = {s: Fraction(w) / total * spare for s, w in weights.items()}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
+    """Whole shares of the period, at least one each, by largest remainders."""
+    parts = whole(weights)
+    total, spare = sum(parts.values()), period - len(weights)
+    exact = {s: Fraction(w, total) * spare for s, w in parts.items()}
     out = {s: 1 + int(x) for s, x in exact.items()}
     rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is not None, s or ""))
     for s in rest[: period - sum(out.values())]:
@@ -41,27 +56,56 @@ def shares(weights: dict[str | None, float], period: int) -> dict[str | None, in
     return out
 
 
-def schedule(quota: dict[str | None, int]) -> list[tuple[str | None, int]]:
-    """(source, number of the block within the period) for each slot: earliest deadline among the released."""
-    period = sum(quota.values())
-    order = {s: i for i, s in enumerate(sorted(quota, key=lambda s: (s is not None, s or "")))}
-    released: dict[int, list] = {}
-    for s, q in quota.items():
-        for k in range(q):
-            released.setdefault(k * period // q, []).append((-(-(k + 1) * period // q), order[s], k, s))
-    ready, slots = [], []
-    for t in range(period):
-        for block in released.get(t, ()):
-            heapq.heappush(ready, block)
+def slots(weights: dict[str | None, float], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int]]:
+    """(source, number of the block from 0, slot) of all blocks by slot: earliest deadline among the released."""
+    parts = whole(weights)
+    total = sum(parts.values())
+    order = {s: i for i, s in enumerate(sorted(parts, key=lambda s: (s is not None, s or "")))}
+    coming = [(0, order[s], 0, s) for s in parts if blocks.get(s)]  # the next block of each source that is not released
+    heapq.heapify(coming)
+    ready, t = [], 0
+    while coming or ready:
+        if not ready:
+            t = max(t, coming[0][0])
+        while coming and coming[0][0] <= t:
+            _, i, k, s = coming[0]
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[s]), i, k, s))
+            if k + 1 < blocks[s]:
+                heapq.heapreplace(coming, ((k + 1) * total // parts[s], i, k + 1, s))
+            else:
+                heapq.heappop(coming)
         _, _, k, s = heapq.heappop(ready)
-        slots.append((s, k))
-    return slots
+        yield s, k, t
+        t += 1
 
 
-def root_weights(rows: DataFrame, source_col: str = "source") -> dict[str | None, float]:
-    """Weights that grow with the square root of a source's rows; one number per source reaches the driver."""
+def schedule(quota: dict[str | None, int]) -> list[tuple[str | None, int]]:
+    """(source, number of the block) for each slot of one period in which each source has its quota."""
+    return [(s, k) for s, k, _ in slots(quota, quota)]
+
+
+def planned(spark: SparkSession, weights: dict[str | None, float], blocks: dict[str | None, int]) -> DataFrame:
+    """The slots as a table on the shared storage."""
+    found, folder = slots(weights, blocks), new_folder(spark, "slots")
+    kinds = {"p_src": pa.string(), "nth": pa.int64(), "slot": pa.int64()}
+    while True:
+        rows = list(islice(found, SLOTS_AT_ONCE))
+        columns = list(zip(*rows)) or [[]] * 3
+        part = pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
+        spark.createDataFrame(part, SLOTS).write.mode("append").parquet(folder, compression="zstd")
+        if len(rows) < SLOTS_AT_ONCE:
+            return spark.read.schema(SLOTS).parquet(folder)
+
+
+def source_rows(rows: DataFrame, source_col: str = "source") -> dict[str | None, int]:
+    """Rows of each source; one number per source reaches the driver."""
     counts = rows.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return {r["source"]: float(r["n"]) ** 0.5 for r in counts.collect()}
+    return {r["source"]: r["n"] for r in counts.collect()}
+
+
+def root_weights(counts: dict[str | None, int]) -> dict[str | None, float]:
+    """Weights that grow with the square root of a source's rows."""
+    return {s: float(n) ** 0.5 for s, n in counts.items()}
 
 
 def ranked(rows: DataFrame, id_col: str, source_col: str) -> DataFrame:
@@ -88,25 +132,14 @@ PLACES = ("mix_block", "mix_slot", "mix_offset")
 
 def placed(rows: DataFrame, weights: dict[str | None, float] | None, block_rows: int, id_col: str, source_col: str) -> DataFrame:
     """(row, mix_block, mix_slot, mix_offset)."""
-    spark = rows.sparkSession
-    weights = root_weights(rows, source_col) if weights is None else weights
-    quota = shares(weights, max(MIN_PERIOD, 4 * len(weights)))
-    period = sum(quota.values())
-    plan = [{"p_src": s, "nth": k, "slot": t, "quota": quota[s]} for t, (s, k) in enumerate(schedule(quota) if quota else ())]
-    table = spark.sql(
-        "SELECT inline(from_json(:plan, 'array<struct<p_src:string,nth:bigint,slot:bigint,quota:bigint>>'))", {"plan": json.dumps(plan)}
-    )
-    quotas = table.where("nth = 0").select(F.col("p_src").alias("q_src"), F.col("quota"))
+    counts = source_rows(rows, source_col)
+    weights = root_weights(counts) if weights is None else weights
+    if lost := [s for s in counts if s not in weights]:
+        raise ValueError(f"no weight for source {'null' if lost[0] is None else lost[0]}")
+    plan = planned(rows.sparkSession, weights, {s: -(-n // block_rows) for s, n in counts.items()})
     known = ranked(rows, id_col, source_col).withColumn("mix_block", F.expr(f"rank div {block_rows}"))
-    known = known.join(F.broadcast(quotas), F.expr("src <=> q_src"), "left")
-    known = known.withColumn("quota", F.coalesce("quota", F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("src", F.lit("null"))))))
-    known = known.withColumn("in_period", F.expr("mix_block % quota"))
-    slots = table.select("p_src", "nth", "slot")
-    return known.join(F.broadcast(slots), F.expr("src <=> p_src AND in_period = nth")).select(
-        "row",
-        "mix_block",
-        F.expr(f"(mix_block div quota) * {period} + slot").alias("mix_slot"),
-        F.expr(f"rank % {block_rows}").alias("mix_offset"),
+    return known.join(plan, F.expr("src <=> p_src AND mix_block = nth")).select(
+        "row", "mix_block", F.col("slot").alias("mix_slot"), F.expr(f"rank % {block_rows}").alias("mix_offset")
     )
 
 
