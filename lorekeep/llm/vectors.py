@@ -3,13 +3,16 @@
 1. Equal vectors are one class (smallest id, count). Only classes are compared.
 2. Spherical k-means is fitted on at most SAMPLE_VALUES values of classes with the smallest hash of their id; k
    is one cell per CELL_ROWS classes, at most MAX_CELLS. Every class goes to its nearest centre.
-3. A pair may be cut by the border of two cells. A class is therefore also a guest of each cell whose border is near:
-   a vector within cosine ``threshold`` differs by a chord of at most sqrt(2 - 2 threshold), of which a direction
-   that the data do not single out holds ``deviations / sqrt(dimension)``. ``deviations = inf`` makes guests of all
-   that could be linked at all, so no pair can be missed, at the price of more guests.
+3. A pair may be cut by the border of two cells. Vectors within cosine ``threshold`` of each other that lie on both
+   sides of it are within sqrt(1 - threshold ** 2) of it. All vectors that near are guests of the other cell, so no
+   pair is missed, whatever the data look like; of two cells one sends its guests to the other, so a pair meets once.
+   A finite ``deviations`` is for callers who want fewer guests and accept lost pairs.
 4. A cell is cut into blocks of own rows and of all rows. Each pair of blocks is a task's group of bounded size:
-   one matrix product in double precision, which returns per class its number of links there and the root of its
-   component there, never the pairs.
+   one matrix product in single precision, what comes near the threshold again in double precision. It returns per
+   class its number of links there and the root of its component there, never the pairs.
+
+Where the data have no clusters, as many dimensions have no narrow borders, every cell is near every other and the work
+is that of all pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; a
 vector is only compared with those of its length (lengths other than the commonest are one cell each); a null id
@@ -19,6 +22,7 @@ sorts before all others; rows of one id are one node; an empty table gives an em
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,14 +35,17 @@ from lorekeep.llm.ordering import LEAST, order_key
 from lorekeep.llm.storage import staged
 
 THRESHOLD = 0.9
-DEVIATIONS = 2.5
+DEVIATIONS = math.inf
 SAMPLE_VALUES = 2_000_000
 CELL_ROWS = 1000
 MAX_CELLS = 1024
 OWN_BLOCK, ALL_BLOCK = 2048, 2048
 ROUNDS = 12
+ROUNDING = 1e-7  # more than the distance of two centres can be off
+PACKED_VALUES = 4_000_000  # values that a task holds packed before it hands them on
 PLACED = "node bigint, weight bigint, values array<{}>, cell int, guests array<int>"
-DEALT = "cell int, i int, j int, own boolean, node bigint, weight bigint, values array<{}>, home int, guests array<int>"
+DEALT = "cell int, i int, j int, kind int, nodes binary, weights binary, vectors binary"
+OWN, HERE, GUEST = 0, 1, 2  # rows of the own block; rows compared with it, of this cell or guests
 FOUND = "node bigint, links bigint, root bigint"
 
 
@@ -70,7 +77,9 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 
 def place(centres: np.ndarray, margin: float) -> Callable:
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    size = centres.shape[1]
+    size, number = centres.shape[1], np.arange(len(centres))
+    # Of two cells one sends its guests to the other, half of the others each.
+    sends = (number[:, None] < number) == ((number[:, None] + number) % 2 == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +91,8 @@ def place(centres: np.ndarray, margin: float) -> Callable:
                 near = unit(matrix(vectors.take(pa.array(usual)), size)) @ centres.T
                 best = near.argmax(axis=1)
                 cell[usual] = best
-                close = near.max(axis=1)[:, None] - near <= margin * apart[best]
+                close = near.max(axis=1)[:, None] - near <= margin * apart[best] + ROUNDING
+                close &= sends[best]
                 close[np.arange(len(usual)), best] = False
                 for row, flags in zip(usual, close):
                     guests[row] = np.flatnonzero(flags).tolist()
@@ -92,59 +102,89 @@ def place(centres: np.ndarray, margin: float) -> Callable:
     return run
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, own rows, own rows and guests) of a task."""
+    own, every = Counter(), Counter()
+    for batch in batches:
+        cells, guests = batch.columns
+        own.update(cells.to_pylist())
+        every.update(guests.flatten().to_pylist())
+    every.update(own)
+    arrays = [pa.array(list(every), pa.int32()), *[pa.array([c[k] for k in every], pa.int64()) for c in (own, every)]]
+    yield pa.RecordBatch.from_arrays(arrays, ["cell", "own", "every"])
+
+
 def deal(own: dict[int, int], every: dict[int, int]) -> Callable:
-    """A row per block pair that needs the class: its own block against all, and the others' own blocks against it."""
+    """The classes that a pair of blocks needs, packed: its own block, and the rows of the cell and guests against it."""
     rows = {c: -(-n // OWN_BLOCK) for c, n in own.items()}
     columns = {c: -(-n // ALL_BLOCK) for c, n in every.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, weights, vectors, cells, guests = batch.columns
-            take, out = [], []
-            for k, (node, cell, others) in enumerate(zip(nodes.to_pylist(), cells.to_pylist(), guests.to_pylist())):
-                salt = (node * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33
-                out += [(cell, salt % rows[cell], j, True) for j in range(columns[cell])]
-                for c in (cell, *others):
-                    out += [(c, i, salt % columns[c], False) for i in range(rows.get(c, 0))]
-                take += [k] * (len(out) - len(take))
-                if len(out) > 20_000:
-                    yield dealt(batch, take, out)
-                    take, out = [], []
+            cell, node, weight = (c.to_numpy(zero_copy_only=False) for c in (cells, nodes, weights))
+            salt = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            values, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *[len(v) for v in vectors]])
+            counts = np.array([len(g) for g in guests], dtype=np.int64)
+            to = np.concatenate([cell, guests.flatten().to_numpy(zero_copy_only=False)])
+            who = np.concatenate([np.arange(len(cell)), np.repeat(np.arange(len(cell)), counts)])
+            order = np.argsort(to, kind="stable")  # a cell's own rows come before its guests
+            to, who = to[order], who[order]
+            first = np.flatnonzero(np.diff(to, prepend=to[:1] - 1))
+            out, held = [], 0
+            for c, members in zip(to[first].tolist(), np.split(who, first[1:])):
+                home = cell[members] == c
+                for kind, chosen in ((OWN, members[home]), (HERE, members[home]), (GUEST, members[~home])):
+                    n, copies = (rows.get(c, 0), columns[c]) if kind == OWN else (columns[c], rows.get(c, 0))
+                    if not len(chosen) or not n or not copies:
+                        continue
+                    block = salt[chosen] % n
+                    for b in np.unique(block).tolist():
+                        at = chosen[block == b]
+                        size = int(starts[at[0] + 1] - starts[at[0]])
+                        x = values[starts[at][:, None] + np.arange(size)]
+                        packed = (kind, node[at].tobytes(), weight[at].tobytes(), x.tobytes())
+                        for k in range(copies):
+                            out.append((c, b, k, *packed) if kind == OWN else (c, k, b, *packed))
+                            held += x.size
+                            if held > PACKED_VALUES:
+                                yield dealt(out)
+                                out, held = [], 0
             if out:
-                yield dealt(batch, take, out)
+                yield dealt(out)
 
     return run
 
 
-def dealt(batch: pa.RecordBatch, take: list[int], out: list[tuple]) -> pa.RecordBatch:
-    nodes, weights, vectors, cells, guests = batch.take(pa.array(take)).columns
-    cell, i, j, own = zip(*out)
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-    arrays = [*[pa.array(c, t) for c, t in zip((cell, i, j, own), kinds)], nodes, weights, vectors, cells, guests]
-    return pa.RecordBatch.from_arrays(arrays, ["cell", "i", "j", "own", "node", "weight", "values", "home", "guests"])
+def dealt(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (*[pa.int32()] * 4, *[pa.binary()] * 3)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["cell", "i", "j", "kind", "nodes", "weights", "vectors"])
 
 
-def compare(threshold: float) -> Callable:
+def compare(threshold: float, kind: str) -> Callable:
     def run(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        own = block.column("own").to_numpy()
-        left, right = (block.filter(pa.array(flags)) for flags in (own, ~own))
-        if not len(left) or not len(right):
-            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        size = len(block.column("values")[0])
-        a, b = left.column("node").to_numpy(), right.column("node").to_numpy()
-        x, y = (unit(matrix(t.column("values").combine_chunks(), size)) for t in (left, right))
-        linked = (x @ y.T >= threshold) & (a[:, None] != b[None, :])
-        n_left = linked @ right.column("weight").to_numpy()
-        # A guest's own cell counts the pair too, unless the left class is no guest there.
-        home, here = right.column("home").to_numpy(), block.column("cell")[0].as_py()
-        n_right = np.zeros(len(b), dtype=np.int64)
-        weights = left.column("weight").to_numpy()
-        visits = [set(g) for g in left.column("guests").to_pylist()]
-        for k in np.flatnonzero((home != here) & linked.any(axis=0)):
-            n_right[k] = sum(int(weights[r]) for r in np.flatnonzero(linked[:, k]) if home[k] not in visits[r])
-        root_a, root_b = roots(linked, a, b)
-        touched_a, touched_b = linked.any(axis=1), linked.any(axis=0)
+        kinds = block.column("kind").to_pylist()
+        empty = {n: pa.array([], pa.int64()) for n in ("node", "links", "root")}
+        if OWN not in kinds or set(kinds) == {OWN}:
+            return pa.table(empty)
+        packed = {n: block.column(n).to_pylist() for n in ("nodes", "weights", "vectors")}
+
+        def side(own: bool) -> tuple[np.ndarray, ...]:
+            at = [k for k, x in enumerate(kinds) if (x == OWN) == own]
+            node, weight = (np.concatenate([np.frombuffer(packed[n][k], dtype=np.int64) for k in at]) for n in ("nodes", "weights"))
+            x = np.concatenate([np.frombuffer(packed["vectors"][k], dtype=np.float32 if kind == "float" else np.float64) for k in at])
+            guest = np.concatenate([np.full(len(packed["nodes"][k]) // 8, kinds[k] == GUEST) for k in at])
+            return node, weight, unit(x.astype(np.float64).reshape(len(node), -1)), guest
+
+        (a, left, x, _), (b, right, y, guest) = side(True), side(False)
+        i, j = close_pairs(x, y, threshold)
+        other = a[i] != b[j]
+        i, j = i[other], j[other]
+        n_left = np.bincount(i, weights=right[j], minlength=len(a))
+        # Rows of this cell count their links as own rows; a guest meets the cell here alone.
+        n_right = np.where(guest, np.bincount(j, weights=left[i], minlength=len(b)), 0)
+        root_a, root_b = roots(i, j, a, b)
+        touched_a, touched_b = np.unique(i), np.unique(j)
         return pa.table(
             {
                 "node": pa.array(np.concatenate([a[touched_a], b[touched_b]])),
@@ -156,13 +196,24 @@ def compare(threshold: float) -> Callable:
     return run
 
 
-def roots(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest node of each row's and column's component in the block."""
-    most = np.iinfo(np.int64).max
+def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and y with a product of at least ``threshold`` in double precision; most are ruled out in single precision."""
+    size = x.shape[1]
+    near = x.astype(np.float32) @ y.astype(np.float32).T
+    i, j = np.nonzero(near >= np.float32(threshold - (size + 8) * 2.0**-23))
+    if len(i) * size > near.size:
+        return np.nonzero(x @ y.T >= threshold)
+    linked = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+    return i[linked], j[linked]
+
+
+def roots(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest node of each row's and column's component in the block, whose links are (i, j)."""
     root_a, root_b = a.copy(), b.copy()
     while True:
-        next_a = np.minimum(root_a, np.where(linked, root_b[None, :], most).min(axis=1))
-        next_b = np.minimum(root_b, np.where(linked, next_a[:, None], most).min(axis=0))
+        next_a, next_b = root_a.copy(), root_b.copy()
+        np.minimum.at(next_a, i, root_b[j])
+        np.minimum.at(next_b, j, next_a[i])
         if (next_a == root_a).all() and (next_b == root_b).all():
             return root_a, root_b
         root_a, root_b = next_a, next_b
@@ -191,14 +242,15 @@ def near_duplicates(
     fitted = matrix(sample.column("values").combine_chunks(), usual) if len(sample) else np.ones((1, usual))
     k = min(MAX_CELLS, max(1, sizes.get(usual, 0) // CELL_ROWS))
     centres = spherical_kmeans(unit(fitted), k)
-    margin = math.sqrt(2 - 2 * threshold) * min(1.0, deviations / math.sqrt(usual))
+    exact = math.sqrt(1 - threshold * threshold) if 0 < threshold < 1 else float(threshold <= 0)
+    margin = min(exact, math.sqrt(max(0.0, 2 - 2 * threshold)) * deviations / math.sqrt(usual)) if deviations < math.inf else exact
     placed = staged(classes.select("node", "weight", "values").mapInArrow(place(centres, margin), PLACED.format(kind)), "placed")
 
-    count = lambda cells: {r["cell"]: r["count"] for r in placed.select(cells).groupBy("cell").count().collect()}  # noqa: E731  a row per cell
-    own = count(F.col("cell"))
-    every = count(F.explode(F.concat(F.array("cell"), "guests")).alias("cell"))
-    blocks = placed.mapInArrow(deal(own, every), DEALT.format(kind)).groupBy("cell", "i", "j")
-    found = staged(blocks.applyInArrow(compare(threshold), FOUND), "found")
+    rows_of = placed.select("cell", "guests").mapInArrow(counted, "cell int, own bigint, every bigint")
+    totals = rows_of.groupBy("cell").agg(F.sum("own").alias("own"), F.sum("every").alias("every")).collect()  # a row per cell
+    own, every = ({r["cell"]: r[k] for r in totals} for k in ("own", "every"))
+    blocks = placed.mapInArrow(deal(own, every), DEALT).groupBy("cell", "i", "j")
+    found = staged(blocks.applyInArrow(compare(threshold, kind), FOUND), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -88,3 +88,21 @@ def test_components_of_chains_and_stars(spark):
     expected = {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 132)} | {601: 600}
     assert {k: c for k, c in out.items() if k != c} == expected
     assert components(df.where("false").select(F.col("node").alias("a"), F.col("component").alias("b"))).count() == 0
+
+
+def test_pairs_across_a_border_of_data_along_a_line(spark, monkeypatch):
+    """Vectors spread along one arc: the difference of a pair lies along the line between the centres."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 30)
+    rng = np.random.default_rng(5)
+    angles = np.sort(rng.uniform(0, 2.5, size=300))
+    x = np.zeros((300, 64))
+    x[:, 0], x[:, 1] = np.cos(angles), np.sin(angles)
+    rows = [(k, v.tolist()) for k, v in enumerate((x + 0.002 * rng.normal(size=x.shape)).astype(np.float32))]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)
+    assert got(vectors.near_duplicates(df)) == sorted(brute(rows))
+
+
+def test_results_are_the_same_for_any_cells(spark, crowd, monkeypatch):
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in crowd], SCHEMA)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    assert got(vectors.near_duplicates(df)) == sorted(brute(crowd))
