@@ -20,8 +20,9 @@ of them, in any global order. So:
 Returned per row: id, n_shingles, component_id (smallest id reachable by links). Pairs are never listed.
 
 Defined cases: null texts and texts without words have 0 shingles and link with nothing, not even each other; a
-null id sorts before all others; rows of one id but different texts keep their own n_shingles and share one
-component, found from all their shingles together; equal rows are linked; an empty table gives an empty result.
+null id sorts before all others and names no document, so rows with it are joined by their texts only; rows of one id
+but different texts keep their own n_shingles, are linked each by its own text, and share one component; equal rows are
+linked; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ SIZE = 5
 BLOCK, PIVOTS = 128, 8
 MANY = np.uint32(0xFFFFFFFF)
 SKETCH_BITS_MAX = 1 << 27
-SETS = "node bigint, n bigint, h1 bigint, h2 bigint"
+SEEN = 100_000  # sets a task remembers as handed on
+SETS = "doc bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint"
 PACKED = "bucket int, tokens binary, owners binary, keys binary, credits binary"
 
 
@@ -64,10 +66,10 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, texts = batch.columns
+        docs, hashes, texts = batch.columns
         rows = [(len(s), *set_key(s)) for s in map(shingles, texts.to_pylist())]
         columns = list(zip(*rows)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([nodes, *[pa.array(c, pa.int64()) for c in columns]], ["node", "n", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([docs, hashes, *[pa.array(c, pa.int64()) for c in columns]], ["doc", "text_hash", "n", "h1", "h2"])
 
 
 def hand_out(buckets: int) -> Callable:
@@ -186,10 +188,10 @@ def add_credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total.astype(np.int64))], ["h1", "credit"])
 
 
-def sketch(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
+def sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """A bit map of hashed ids, of bounded size: it only spares work, what passes it is joined exactly."""
     bits = 1 << min(SKETCH_BITS_MAX.bit_length() - 1, max(16, (16 * n).bit_length()))
-    slots = nodes.select(F.pmod(F.xxhash64("node"), F.lit(bits)).alias("slot"))
+    slots = docs.select(F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("slot"))
     found = slots.distinct().toArrow().column("slot").to_numpy() if n * 64 < bits else None
     if found is None:
         words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask")).toArrow()
@@ -203,15 +205,23 @@ def sketch(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 def sets_of(packed: np.ndarray, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(packed, count=size)
+        flags, seen = np.unpackbits(packed, count=size), set()
         for batch in batches:
-            nodes, texts, slots = batch.columns
-            rows = [(node, *set_key(s), s) for node, s in ((nodes[k].as_py(), shingles(texts[k].as_py())) for k in np.flatnonzero(flags[slots.to_numpy()]))]
+            docs, texts, slots = batch.columns
+            rows = []
+            for k in np.flatnonzero(flags[slots.to_numpy()]):
+                s = shingles(texts[k].as_py())
+                key = (docs[k].as_py(), *set_key(s))
+                if len(s) and key not in seen:
+                    rows.append((*key, s))
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
             for k in range(0, len(rows), 500):
-                node, h1, h2, sets = zip(*rows[k : k + 500])
+                doc, h1, h2, sets = zip(*rows[k : k + 500])
                 lengths = np.cumsum([0, *[len(s) for s in sets]])
                 tokens = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (node, h1, h2)], tokens], ["node", "h1", "h2", "tokens"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (doc, h1, h2)], tokens], ["doc", "h1", "h2", "tokens"])
 
     return run
 
@@ -309,24 +319,27 @@ def in_blocks(units: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def join_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of the classes that are linked with one of a smaller id."""
+    """(node, component) of the classes that are linked with one of a smaller node. A class (node, doc, n, h1, h2) is one
+    set; ``doc`` is one of the documents in ``docs`` (doc, text) that have it."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select("text").mapInArrow(hand_out(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
     settled = packed.mapInArrow(settle_buckets(max(1, buckets // 4)), CREDITS).repartition("slot").sortWithinPartitions("slot")
     credit = settled.mapInArrow(add_credits, "h1 bigint, credit bigint")
     enough = "credit >= greatest(1, ((3 * n + 3) div 4) div 8)"
-    kept = staged(classes.join(credit, "h1").where(enough).select("node", "n", "h1", "h2"), "kept")
+    kept = staged(classes.join(credit, "h1").where(enough).select("node", "doc", "n", "h1", "h2"), "kept")
 
     flags, bits = sketch(kept, kept.count())
-    slotted = docs.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("slot"))
-    sets = slotted.mapInArrow(sets_of(np.packbits(flags), bits), "node bigint, h1 bigint, h2 bigint, tokens array<bigint>")
-    sets = staged(sets.join(kept, ["node", "h1", "h2"]).select("node", "n", "tokens"), "sets")
+    slotted = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("slot"))
+    sets = slotted.mapInArrow(sets_of(np.packbits(flags), bits), "doc bigint, h1 bigint, h2 bigint, tokens array<bigint>")
+    # A row may stand several times, a set goes on once.
+    sets = sets.join(kept, ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2"])
+    sets = staged(sets.select("node", "n", "tokens"), "sets")
 
     pairs = sets.select("node", F.explode("tokens").alias("token"))
     counts = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     ordered = pairs.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("set"))
-    ordered = ordered.join(kept.groupBy("node").agg(F.max("n").alias("n")), "node")
+    ordered = ordered.join(kept.select("node", "n"), "node")
     # Shingles nobody shares fill the first places of the prefix.
     ordered = ordered.withColumn("lead", F.expr("n - (3 * n + 3) div 4 + 1 - (n - size(set))")).where("lead > 0")
     units = staged(ordered.select("node", "n", "lead", F.col("set.token").alias("tokens"), F.col("set.count").alias("counts")), "ordered")
@@ -366,14 +379,42 @@ def join_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
+def set_groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, text_hash, n, h1, h2), and classes (n, h1, h2, doc, component) with the components of their sets alone."""
+    keyed = docs.select(order_key(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    described = staged(keyed.mapInArrow(describe, SETS), "sets")
+    classes = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    linked = join_classes(classes, keyed)
+    named = classes.join(linked, "node", "left").select("h1", "h2", "n", "doc", F.coalesce("component", "node").alias("component"))
+    return described, staged(named, "named")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, text_hash) of the texts that are near copies of another: all but the one of the smallest id (and hash) of each
+    group. ``doc`` is the id's order key, ``text_hash`` the text's xxhash64. Texts without words are none."""
+    described, named = set_groups(docs, id_col, text_col)
+    rows = described.where("n > 0").join(named.drop("doc"), ["h1", "h2", "n"]).select("component", "doc", "text_hash").distinct()
+    first = rows.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("first"))
+    return rows.join(first, "component").where("struct(doc, text_hash) <> first").select("doc", "text_hash").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
-    keyed = docs.select(order_key(id_col).alias("node"), F.col(text_col).alias("text"))
-    described = staged(keyed.mapInArrow(describe, SETS), "sets")
-    classes = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("node").alias("node"))
-    linked = join_classes(classes, keyed).withColumnRenamed("component", "least")
-    named = classes.join(linked, "node", "left").select("h1", "h2", "n", F.coalesce("least", "node").alias("component"))
+    described, named = set_groups(docs, id_col, text_col)
+    rows = described.where("n > 0").join(named.drop("doc"), ["h1", "h2", "n"]).select("doc", "n", "component")
+    # An id may have texts of several groups, which then are one.
+    spread = rows.where(F.col("doc") != LEAST).groupBy("doc").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    spread = staged(spread.select("doc", "low"), "spread")
+    least = named.groupBy("component").agg(F.min("doc").alias("least"))
+    if not spread.isEmpty():
+        edges = rows.join(spread, "doc").where("component <> low").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct()
+        joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        whole = least.join(joined, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+        smallest = whole.groupBy("whole").agg(F.min("least").alias("least"))
+        least = whole.select("component", "whole").join(smallest, "whole").select("component", "least")
+    of_set = named.join(least, "component").select("h1", "h2", "n", "least")
     real = lambda c: F.nullif(F.col(c), F.lit(LEAST).cast("long"))
-    full = described.where("n > 0").join(named, ["h1", "h2", "n"]).select("node", "n", "component")
-    none = described.where("n = 0").select("node", "n", F.col("node").alias("component"))
-    return full.unionByName(none).select(real("node").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    full = described.where("n > 0").join(of_set, ["h1", "h2", "n"]).select("doc", "n", "least")
+    none = described.where("n = 0").select("doc", "n", F.col("doc").alias("least"))
+    return full.unionByName(none).select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("least").alias("component_id"))

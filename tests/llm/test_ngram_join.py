@@ -115,3 +115,41 @@ def test_trie_finds_all_links():
         has[s] = True
         expected = {j for j, o in enumerate(sets) if 7 * len(np.intersect1d(s, o)) >= 3 * (sizes[k] + sizes[j])}
         assert set(trie.links(s, has, sizes[k])) == expected
+
+
+def brute_by_id(rows):
+    """Rows by position, so that ids may repeat; rows of one id that have words share a component, null ids don't."""
+    groups = {k: c for k, _, c in brute([(k, t) for k, (_, t) in enumerate(rows)])}
+    parent = {c: c for c in groups.values()}
+
+    def find(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    sized = [len(plain_set(t)) for _, t in rows]
+    at = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None and sized[k]:
+            parent[find(groups[k])] = find(at.setdefault(i, groups[k]))
+    order, least = (lambda i: -1 if i is None else i), {}
+    for k, (i, _) in enumerate(rows):
+        least[find(groups[k])] = min(least.get(find(groups[k]), i), i, key=order)
+    return sorted(((i, sized[k], least[find(groups[k])]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(400)) for _ in range(n)]
+    joined = lambda *parts: " ".join(sum(parts, []))
+    half, long, tail = fresh(40), fresh(80), fresh(30)
+    edited = [*long[:40], "edit", *long[41:]]
+    rows = [(1, joined(half, fresh(40))), (2, joined(half, fresh(40)))]
+    rows += [rows[0]] * 4 + [rows[1]] * 3
+    rows += [(3, joined(long)), (3, joined(tail)), (4, joined(edited)), (5, joined(tail, ["more"])), (3, None), (3, "")]
+    one, two = fresh(60), fresh(200)
+    rows += [(None, joined(one)), (None, joined(two)), (None, joined(fresh(50))), (9, joined(one, ["end"])), (8, joined(two, ["end"])), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_groups(df).collect()), key=str)
+    assert found == brute_by_id(rows)
+    assert {c for i, _, c in found if i in (1, 2)} == {1, 2} and {c for i, _, c in found if i in (8, 9)} == {None}
