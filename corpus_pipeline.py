@@ -30,13 +30,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; rows that are equal stay once."""
-    groups = ngram_join.near_groups(docs)
-    others = staged(groups.where("NOT doc_id <=> component_id").select(order_key("doc_id").alias("_gone")).distinct(), "copies")
+    """The text of the smallest id of each group of near duplicates; of rows with words that are equal in all columns one
+    stays. Texts without words are in no group and all stay."""
+    others = ngram_join.near_copies(docs).select(F.col("doc").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
+    others = staged(others, "copies")
     # One shuffle of the texts serves both the join and the search for equal rows.
-    keyed = docs.withColumn("_key", order_key("doc_id"))
-    kept = keyed.join(others, F.col("_key") == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates(["_key", "text"]).drop("_key")
+    keyed = docs.withColumns({"_key": order_key("doc_id"), "_hash": F.xxhash64("text")})
+    kept = keyed.join(others, F.expr("_key = _gone AND _hash = _gone_hash"), "left_anti")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = kept.withColumn("_own", F.when(wordless, F.monotonically_increasing_id()))
+    return kept.dropDuplicates().drop("_key", "_hash", "_own")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,16 @@ def test_odd_and_empty_tables_pass(spark, sf_dir, odd_docs, no_docs):
             docs = staged(out, "test")
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
         assert Counter(r.doc_id for r in packed.select("doc_id").distinct().collect()) == Counter({r.doc_id for r in docs.collect()})
+
+
+def test_only_copies_go_from_repeated_and_null_ids(spark, sf_dir):
+    long = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(long), " ".join([*long, "end"]), "a text of its own that nobody else has"
+    given = [(1, a, "en"), (2, b, "en"), (2, c, "en"), (1, a, "de"), (1, a, "en"), (None, c + " at all times", "en"), (None, "something else again in five words", None)]
+    given += [(None, None, "en"), (None, None, "en"), (7, "", "en"), (7, "", "en"), (7, " ", None)]
+    df = spark.createDataFrame([(i, t, lang, None, 3) for i, t, lang in given], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.one_of_each_group(spark, df.repartition(3), sf_dir).select("doc_id", "text", "lang").collect()
+    expected = Counter(given)
+    del expected[(2, b, "en")]
+    expected[(1, a, "en")] = 1
+    assert Counter(map(tuple, left)) == expected
