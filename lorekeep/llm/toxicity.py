@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character language model (trigrams over letters and word ends) is counted over the words of all documents.
-2. Tokens that hide letters (digits and signs for letters, stretched repetition, signs or single spaces between
-   letters) become a lattice: per run of equal characters the letters it may stand for, each with a channel cost.
+2. Tokens that hide letters (digits and signs for letters, doubled or stretched letters, signs or white space
+   between letters) become a lattice: per run of equal characters the letters it may stand for, each with a channel cost.
    Viterbi decoding under the language model gives the likeliest word, which joins the plain parts of the token.
 3. The restored words, and their beginnings of 4 to 6 letters for inflected forms, are counted in labelled documents;
    those that stand out in toxic ones carry a lower bound of their log-odds as evidence. A logistic curve over the
@@ -56,8 +56,10 @@ SIGN_COST, REPEAT_COST, DROP_COST = 1.0, 0.7, 0.3
 
 PART_CHARS = 64  # longer tokens are decoded part by part
 OUTER_OPEN, OUTER_CLOSE = "([{<\"'“‘«*_~", ")]}>\"'”’»*_~.,;:?!"
-SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}[.,;:?!]*(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}[.,;:?!]*(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+PARTED = re.compile(r"[.\-_~'’·•,/\\:;|]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -155,25 +157,38 @@ def decode(token: str, log_p: np.ndarray) -> str:
     return max(states.items(), key=lambda kv: (kv[1][0] + float(log_p[kv[0][0], kv[0][1], END]), kv[1][1]))[1][1]
 
 
+def body_of(token: str) -> str:
+    return token.lower().translate(LOOKALIKES).lstrip(OUTER_OPEN).rstrip(OUTER_CLOSE)
+
+
+def whole(body: str, log_p: np.ndarray) -> str:
+    return "".join(decode(body[k : k + PART_CHARS], log_p) for k in range(0, len(body), PART_CHARS))
+
+
+def address(body: str) -> bool:
+    return "@" in body[1:-1] and "." in body.partition("@")[2]
+
+
 def words_of(token: str, log_p: np.ndarray) -> tuple[str, ...]:
-    """Plain words of a token and, where it hides letters, the restored word."""
-    body = token.lower().translate(LOOKALIKES).lstrip(OUTER_OPEN).rstrip(OUTER_CLOSE)
-    if not body:
-        return ()
-    if body.isalpha() and not STRETCHED.search(body):
-        return (body,)
+    """Plain words of a token and, where it may hide letters, the restored ones: its parts between separators, and all of it
+    as one word, since separators may stand between letters too."""
+    # A token of signs alone may begin or end with some that stand for letters.
+    body = body_of(token) if WORDS.search(token) else token.lower()
+    if not body or body.isalpha() and not DOUBLED.search(body):
+        return (body,) if body else ()
     plain = tuple(WORDS.findall(body))
-    if not plain or "@" in body[1:-1] and "." in body.partition("@")[2]:
+    if address(body):
         return plain
-    restored = "".join(decode(body[k : k + PART_CHARS], log_p) for k in range(0, len(body), PART_CHARS))
-    return (*plain, restored) if restored not in plain else plain
+    parts = [p for p in PARTED.split(body) if p and p != body and not (p.isalpha() and not DOUBLED.search(p))]
+    restored = [whole(p, log_p) for p in (*parts, body)]
+    return (*plain, *dict.fromkeys(w for w in restored if w and w not in plain))
 
 
 def tokens_of(text: str) -> set[str]:
     """Distinct tokens, with runs of single characters joined to one."""
     found = set(text.split())
     for m in SPACED.finditer(text):
-        joined = m[0].replace(" ", "")
+        joined = "".join(m[0].split())
         if not joined.isdigit():
             found.update((joined, joined[1:]))  # the first may be a word of one letter
     return found
@@ -185,10 +200,14 @@ def restored_text(text: str | None, log_p: np.ndarray) -> str | None:
         return text
 
     def restored(m: re.Match) -> str:
-        words = words_of(m[0], log_p)
-        return words[-1] if len(words) and words[-1] not in m[0].lower() else m[0]
-
-    joined = SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+        body = body_of(m[0])
+        words = WORDS.findall(body)
+        # Numbers and words with double letters mostly are what they seem to be; the score looks behind them too.
+        if words and not address(body) and (not body.isalpha() or STRETCHED.search(body)):
+            words = [w for w in (words[-1], whole(body, log_p)) if w not in words[:-1]] or words
+        return words[-1] if words and words[-1] not in m[0].lower() else m[0]
+
+    joined = SPACED.sub(lambda m: "".join(m[0].split()), text)
     return re.sub(r"\S+", restored, joined)
 
 

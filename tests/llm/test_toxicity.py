@@ -72,3 +72,13 @@ def test_odd_tables(spark, odd_docs, no_docs):
     only = tx.fit(odd_docs, labels.where("toxic = 1"))
     assert {r.score for r in tx.score(odd_docs, only).collect()} == {1.0}
     assert tx.restore(odd_docs, none).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("text", ["iiddiioott", "iidiot", "i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "you_are_an_1d10t", "stupid/1d10t", "1d10t"])
+def test_every_form_of_a_hidden_word_is_decoded(text, log_p):
+    assert "idiot" in {w for t in tx.tokens_of(text) for w in tx.words_of(t, log_p)}
+
+
+@pytest.mark.parametrize("token", ["455", "8!7(#"])
+def test_tokens_of_signs_alone_are_decoded(token, log_p):
+    assert tx.words_of(token, log_p) == (tx.decode(token, log_p),) and tx.decode(token, log_p).isalpha()
