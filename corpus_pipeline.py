@@ -9,6 +9,7 @@ passes through all stages; extra columns are carried along up to the last stage.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +54,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 ids, with the ids (little-endian 32-bit)."""
-    return packing.pack(docs, public_tokenizer("byte_bpe_50k.json"), with_ids=True)
+    """Pieces of sequences of at most 2048 ids, with the ids (little-endian 32-bit). Ranges of the mixture, as its files and
+    rows hold it, are the packer's workers in turn, so sequence_id follows the mixture."""
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not read from files: the order is made anew
+        ordered = mixing.in_mixed_order(docs)
+    else:
+        place = (F.length("_file"), F.col("_file"), F.col("_row"))
+        ordered = placed.repartitionByRange(*place).sortWithinPartitions(*place)
+    return packing.pack(ordered.select("doc_id", "text"), public_tokenizer("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [

@@ -88,3 +88,20 @@ def test_only_copies_go_from_repeated_and_null_ids(spark, sf_dir):
     del expected[(2, b, "en")]
     expected[(1, a, "en")] = 1
     assert Counter(map(tuple, left)) == expected
+
+
+def test_sequence_ids_follow_the_mixture(spark, sf_dir):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # so that the mixture has several files
+    try:
+        text = "repeat('word ', 150) AS text, NULL AS lang, if(id % 11 = 0, 'b', 'a') AS source, 750L AS n_chars"
+        df = spark.sql(f"SELECT id AS doc_id, {text} FROM range(2200)")
+        mixed = staged(corpus_pipeline.mix_sources(spark, df, sf_dir), "test")
+        assert len(mixed.inputFiles()) > 1
+        pieces = corpus_pipeline.pack_sequences(spark, mixed, sf_dir).select("sequence_id", "doc_id").collect()
+    finally:
+        spark.conf.unset(setting)
+    n = max(p.sequence_id for p in pieces)
+    share = lambda low, high: (lambda x: sum(x) / len(x))([p.doc_id % 11 == 0 for p in pieces if low * n <= p.sequence_id < high * n])
+    # Root weights: b has 0.24 of the mixture until its 200 rows end, after 833 of 2200.
+    assert 0.19 < share(0, 0.3) < 0.29 and share(0.5, 0.8) < 0.03
