@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 from lorekeep.llm.components import components
 from lorekeep.llm.ordering import LEAST, order_key
 from lorekeep.llm.shingles import shingles
+from lorekeep.llm.sketch import holds, sketch
 from lorekeep.llm.storage import staged
+from lorekeep.llm.worker import slices
 
 SIZE = 5
 BLOCK, PIVOTS = 128, 8
 MANY = np.uint32(0xFFFFFFFF)
-SKETCH_BITS_MAX = 1 << 27
+HANDED_BYTES = 16 << 20  # texts whose shingles a task settles at once
 SEEN = 100_000  # sets a task remembers as handed on
 SETS = "doc bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint"
 PACKED = "bucket int, tokens binary, owners binary, keys binary, credits binary"
@@ -65,7 +67,7 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2):
         docs, hashes, texts = batch.columns
         rows = [(len(s), *set_key(s)) for s in map(shingles, texts.to_pylist())]
         columns = list(zip(*rows)) or [[], [], []]
@@ -76,8 +78,7 @@ def hand_out(buckets: int) -> Callable:
     """The first shingles of each class of a batch, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for batch in batches:
+        for batch in slices(batches, 0, HANDED_BYTES):
             keys, parts = {}, []
             for text in batch.columns[0].to_pylist():
                 s = shingles(text)
@@ -96,7 +97,6 @@ def hand_out(buckets: int) -> Callable:
             keys_of = np.fromiter(keys, dtype=np.int64, count=len(keys))
             credit = np.bincount(owner[shared], minlength=len(keys))
             some = np.flatnonzero(credit)
-            turn += 1
             bucket = (token[first] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -188,28 +188,13 @@ def add_credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total.astype(np.int64))], ["h1", "credit"])
 
 
-def sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bit map of hashed ids, of bounded size: it only spares work, what passes it is joined exactly."""
-    bits = 1 << min(SKETCH_BITS_MAX.bit_length() - 1, max(16, (16 * n).bit_length()))
-    slots = docs.select(F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("slot"))
-    found = slots.distinct().toArrow().column("slot").to_numpy() if n * 64 < bits else None
-    if found is None:
-        words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask")).toArrow()
-        packed = np.zeros(bits // 64, dtype=np.int64)
-        packed[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-        return np.unpackbits(packed.view(np.uint8), bitorder="little"), bits
-    flags = np.zeros(bits, dtype=np.uint8)
-    flags[found] = 1
-    return flags, bits
-
-
-def sets_of(packed: np.ndarray, size: int) -> Callable:
+def sets_of(packed: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, seen = np.unpackbits(packed, count=size), set()
-        for batch in batches:
+        seen = set()
+        for batch in slices(batches, 1):
             docs, texts, slots = batch.columns
             rows = []
-            for k in np.flatnonzero(flags[slots.to_numpy()]):
+            for k in np.flatnonzero(holds(packed, slots.to_numpy())):
                 s = shingles(texts[k].as_py())
                 key = (docs[k].as_py(), *set_key(s))
                 if len(s) and key not in seen:
@@ -329,9 +314,9 @@ def join_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     enough = "credit >= greatest(1, ((3 * n + 3) div 4) div 8)"
     kept = staged(classes.join(credit, "h1").where(enough).select("node", "doc", "n", "h1", "h2"), "kept")
 
-    flags, bits = sketch(kept, kept.count())
+    flags, bits = sketch(kept, "doc", kept.count())
     slotted = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("slot"))
-    sets = slotted.mapInArrow(sets_of(np.packbits(flags), bits), "doc bigint, h1 bigint, h2 bigint, tokens array<bigint>")
+    sets = slotted.mapInArrow(sets_of(flags), "doc bigint, h1 bigint, h2 bigint, tokens array<bigint>")
     # A row may stand several times, a set goes on once.
     sets = sets.join(kept, ["doc", "h1", "h2"]).dropDuplicates(["doc", "h1", "h2"])
     sets = staged(sets.select("node", "n", "tokens"), "sets")

@@ -17,7 +17,6 @@ no pieces.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.storage import staged
 from lorekeep.llm.token_files import crc
 from lorekeep.llm.tokens import encoder
+from lorekeep.llm.worker import kept, slices
 
 CAPACITY = 2048
 EMPTY_SHARE = 32
@@ -37,16 +37,24 @@ NAMES = [f.split()[0] for f in PIECES.split(", ")]
 TYPES = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in PIECES.split(", ")]
 
 
-@cache
 def places(capacity: int) -> tuple[int, ...]:
     """The widths of the classes, ascending."""
-    return tuple(sorted({capacity // j for j in range(1, capacity + 1)}))
+    known = kept("places")
+    if capacity not in known:
+        known[capacity] = tuple(sorted({capacity // j for j in range(1, capacity + 1)}))
+    return known[capacity]
 
 
-@cache
 def cut(length: int, capacity: int) -> tuple[tuple[int, int], ...]:
-    """(length, class width) of the pieces of a sequence of at most ``capacity`` ids."""
-    out, widths = [], places(capacity)
+    """(length, class width) of the pieces of a sequence of at most ``capacity`` ids; a worker remembers them by length."""
+    known = kept("cuts")
+    if (length, capacity) not in known:
+        known[length, capacity] = cut_anew(length, places(capacity))
+    return known[length, capacity]
+
+
+def cut_anew(length: int, widths: tuple[int, ...]) -> tuple[tuple[int, int], ...]:
+    out = []
     while length:
         holds = next(w for w in widths if w >= length)
         if (holds - length) * EMPTY_SHARE <= holds:
@@ -102,7 +110,7 @@ def pack_texts(path: str, end_id: int, capacity: int, with_ids: bool) -> Callabl
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, bins = encoder(path), Bins(TaskContext.get().partitionId(), capacity, with_ids)
         end = np.array([end_id], dtype=np.uint32)
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 bins.add_document(doc_id, np.concatenate([ids_of.ids(text), end]))
                 if len(bins.closed) >= 10_000:

@@ -31,16 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.ngram_join import MANY, sketch
+from lorekeep.llm.ngram_join import MANY
 from lorekeep.llm.ordering import order_key
 from lorekeep.llm.shingles import BACK, BASE, LETTER, mixed, powers
+from lorekeep.llm.sketch import holds, sketch
 from lorekeep.llm.storage import staged
+from lorekeep.llm.worker import slices
 
 MINIMUM = 200
 GRAM = 64
 RUN_STARTS = 248
 KEY_LIMIT = 1000
 CHUNK_BYTES = 1_000_000
+HANDED_BYTES = 16 << 20  # texts whose keys a task settles at once
 U = np.uint64
 
 
@@ -204,7 +207,7 @@ def hand_out(buckets: int, minimum: int) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "tokens", "owners", "names", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0, HANDED_BYTES):
             names, tokens, counts, seen = [], [], [], set()
             for text in batch.columns[0].to_pylist():
                 data = text_bytes(text)
@@ -274,7 +277,7 @@ def cut_segments(minimum: int) -> Callable:
     """Runs of windows with one repeated key, with the bytes they span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for sha, text, tokens in zip(batch.columns[0].to_pylist(), batch.columns[1].to_pylist(), batch.columns[2]):
                 data = text_bytes(text)
@@ -378,7 +381,7 @@ def remove(minimum: int) -> Callable:
     """(sha, n_removed, n_spans, kept_sha256, kept) of texts from their covered stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for sha, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text_bytes(text)
@@ -412,13 +415,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", minimu
     owner = F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")
     wanted = staged(classes.withColumn("owner", owner).join(owned, "owner").select("sha", "node", "tokens"), "wanted")
 
-    flags, bits = sketch(wanted, wanted.count())
-    flagged = np.packbits(flags)
+    flags, bits = sketch(wanted, "node", wanted.count())
 
     def pass_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(flagged, count=bits)
         for batch in batches:
-            yield batch.select(["node", "sha", "text"]).filter(pa.array(known[batch.column("slot").to_numpy()].astype(bool)))
+            yield batch.select(["node", "sha", "text"]).filter(pa.array(holds(flags, batch.column("slot").to_numpy())))
 
     slotted = hashed.select("node", "sha", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("slot"))
     some = slotted.mapInArrow(pass_sketch, "node bigint, sha string, text string").join(wanted, ["sha", "node"])

@@ -7,10 +7,10 @@ hashes of all its ``size``-word windows; a text of fewer words gives one hash of
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
+from lorekeep.llm.worker import kept
+
 U = np.uint64
 BASE, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
@@ -19,8 +19,20 @@ GAP = np.zeros(256, dtype=bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@cache
+KEPT_BITS = 20  # powers up to this many are remembered by a worker, longer rows of them are made anew
+
+
 def powers(base: int, bits: int) -> np.ndarray:
+    """1, base, base ** 2, ... (2 ** bits of them, modulo 2 ** 64)."""
+    if bits <= KEPT_BITS:
+        known = kept("powers")
+        if base not in known:
+            known[base] = powers_up_to(base, KEPT_BITS)
+        return known[base][: 1 << bits]
+    return powers_up_to(base, bits)
+
+
+def powers_up_to(base: int, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumprod(np.concatenate([np.ones(1, U), np.full((1 << bits) - 1, base, U)]))
 

@@ -14,12 +14,12 @@ becomes the older one, whose pieces move up again when they are met.
 from __future__ import annotations
 
 import re
-import sys
-import types
 from array import array
 
 import numpy as np
 
+from lorekeep.llm.worker import kept
+
 MEMORY = 200_000
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 BEFORE_SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -92,8 +92,8 @@ class PieceEncoder(dict):
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and file; workers outlive tasks."""
-    kept = sys.modules.setdefault("_lorekeep_worker", types.ModuleType("_lorekeep_worker")).__dict__.setdefault("encoders", {})
-    if path not in kept:
-        kept[path] = PieceEncoder(path)
-    kept[path].older = {}  # of the tasks before, only the newer generation stays in memory
-    return kept[path]
+    encoders = kept("encoders")
+    if path not in encoders:
+        encoders[path] = PieceEncoder(path)
+    encoders[path].older = {}  # of the tasks before, only the newer generation stays in memory
+    return encoders[path]
