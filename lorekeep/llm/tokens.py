@@ -5,7 +5,8 @@ cross: before a single space between two other characters (``byte`` vocabularies
 the piece) or at spaces and line feeds (``word`` vocabularies drop white space), and before a full stop or
 comma that follows a letter or digit. Pieces of Latin letters, by far the most, go to the library's BPE model
 directly; all others go through its whole chain. Texts with other spacing are cut by a slower pattern. Ids
-equal those of encoding the text at once.
+equal those of encoding the text at once; a text that holds the string of an added token (such as the end of a text)
+is encoded at once.
 
 Remembered pieces are bounded: they live in two generations of at most MEMORY pieces; when the newer is full it
 becomes the older one, whose pieces move up again when they are met.
@@ -48,9 +49,10 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -87,6 +89,8 @@ class PieceEncoder(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
+        if self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), dtype=np.uint32)
 
 

@@ -16,7 +16,6 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 
 def plain(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -24,7 +23,7 @@ def plain(path):
 def test_pieces_give_the_ids_of_whole_texts(path, texts):
     rng = random.Random(5)
     letters = "ab 'sS.\n  \t1é́Σß,!​"
-    odd = ["", " ", "a  b", "don't I'M", "x<|endoftext|>y", "İstanbul ΣΑΣ", "日本語 テキスト", "\tfoo\r\nbar", "ª µ º"]
+    odd = ["", " ", "a  b", "don't I'M", "x<|endoftext|>y", "a <|startoftext|> b", "x <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", " <|endoftext|>. b", "a<|endoftext| >b", "İstanbul ΣΑΣ", "日本語 テキスト", "\tfoo\r\nbar", "ª µ º"]
     odd += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(500)]
     mine, whole = PieceEncoder(path), plain(path)
     for text in [*odd, *list(texts.values())[:40]]:
