@@ -145,7 +145,7 @@ counts AS (
 
 _REQUESTS = """
 requests AS (
-  SELECT DISTINCT s_suppkey % 5 AS form, s_nationkey AS n, CASE WHEN s_suppkey % 5 = 3 THEN s_suppkey % 4 END AS wish
+  SELECT s_suppkey % 5 AS form, s_nationkey AS n, CASE WHEN s_suppkey % 5 = 3 THEN s_suppkey % 4 END AS wish
   FROM supplier),
 targets AS (
   SELECT CASE form WHEN 0 THEN 'svc_' || n
@@ -617,6 +617,21 @@ FROM (SELECT *, row_number() OVER () AS request FROM targets) t LEFT JOIN counts
 GROUP BY t.request, t.reference, t.resolved_id, t.layer_index""",
         _COUNTS, _REQUESTS,
     ),
+    "layer_count_unlisted": _with(
+        """, wanted AS (
+  SELECT *, CAST(substr(coalesce(resolved_id, 'svc_-1'), 5) AS INTEGER) % 6 = 5 AS unlisted FROM targets),
+found AS (
+  SELECT reference, layer_index, row_number() OVER () AS request, CASE WHEN NOT unlisted THEN resolved_id END AS resolved_id,
+         CASE WHEN NOT unlisted OR kind = 'service_url' THEN resolved_id END AS target FROM wanted)
+SELECT t.reference, t.resolved_id, t.layer_index, count(c.item_id) > 0 AS ok,
+       CASE WHEN t.target IS NULL THEN 'reference is not known'
+            WHEN count(c.item_id) = 0 THEN 'no layer ' || t.layer_index END AS error,
+       count(c.item_id) AS layers_counted, CAST(coalesce(sum(c.row_count), 0) AS BIGINT) AS total_count
+FROM found t LEFT JOIN counts c ON c.item_id = t.target AND (
+    t.layer_index IS NULL OR (c.layer_kind = 'layer' AND c.layer_index = t.layer_index))
+GROUP BY t.request, t.reference, t.resolved_id, t.target, t.layer_index""",
+        _COUNTS, _REQUESTS,
+    ),
     "layer_count_details": _with(
         """SELECT t.reference, c.item_id, c.layer_kind, c.layer_index, c.layer_name, c.row_count, c.error
 FROM (SELECT DISTINCT * FROM targets) t JOIN counts c ON c.item_id = t.resolved_id AND (

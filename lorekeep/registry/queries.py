@@ -466,10 +466,19 @@ def layer_counts_displayed(spark, d):
     return layers.displayed_counts(_layer_counts(spark, d))
 
 
-def _requests(spark, d):
+def _service_url(n):
+    return F.concat(F.lit("https://svc.example.org/"), n, F.lit("/FeatureServer"))
+
+
+def _services(spark, d):
+    n = F.col("n_nationkey").cast("string")
+    return table(spark, d, "nation").select(F.concat(F.lit("svc_"), n).alias("item_id"), _service_url(n).alias("url"))
+
+
+def _requests(spark, d, services=None):
     """Suppliers ask for the service of their nation: by id, by link or by service URL."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
-    service = F.concat(F.lit("https://svc.example.org/"), n, F.lit("/FeatureServer"))
+    service = _service_url(n)
     reference = (
         F.when(k % 5 == 0, F.concat(F.lit("svc_"), n))
         .when(k % 5 == 1, F.concat(F.lit("https://x.example.org/item.html?id=svc_"), n, F.lit("&v=1")))
@@ -477,12 +486,8 @@ def _requests(spark, d):
         .when(k % 5 == 3, F.concat(service, F.lit("/"), (k % 4).cast("string")))
         .otherwise(F.concat(F.lit("lost_"), n))
     )
-    services = table(spark, d, "nation").select(
-        F.concat(F.lit("svc_"), F.col("n_nationkey").cast("string")).alias("item_id"),
-        F.concat(F.lit("https://svc.example.org/"), F.col("n_nationkey").cast("string"), F.lit("/FeatureServer")).alias("url"),
-    )
     requests = table(spark, d, "supplier").select(reference.alias("reference"))
-    return layers.resolve_targets(requests, services)
+    return layers.resolve_targets(requests, _services(spark, d) if services is None else services)
 
 
 @query
@@ -495,6 +500,19 @@ def layer_count_requests(spark, d):
     return layers.requested_counts(_layer_counts(spark, d), _requests(spark, d))
 
 
+@query
+def layer_count_unlisted(spark, d):
+    """Some services are no items, so their layers are known by URL alone; of others two items have the same URL."""
+    key = lambda c: F.substring(c, 5, 9).cast("int")
+    services = _services(spark, d)
+    listed = services.filter(key("item_id") % 6 != 5)
+    twins = listed.filter(key("item_id") % 4 == 0).withColumn("item_id", F.concat(F.lit("twin_"), "item_id"))
+    n = F.substring("item_id", 5, 9)
+    name = F.when(key("item_id") % 6 == 5, _service_url(n)).otherwise(F.col("item_id"))
+    counts = _layer_counts(spark, d).withColumn("item_id", name)
+    return layers.requested_counts(counts, _requests(spark, d, listed.unionByName(twins)))
+
+
 @query
 def layer_count_details(spark, d):
     return layers.requested_details(_layer_counts(spark, d), _requests(spark, d))
