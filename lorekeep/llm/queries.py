@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import fingerprint, mixing, ngram_join, packing, pii, repeats, sharding, token_files, toxicity, vectors
+from lorekeep.llm import collisions, divergence, fingerprint, mixing, ngram_join, packing, phrases, pii, repeats, sharding, token_files, toxicity, vectors
 from lorekeep.llm.oracle import ORACLE
 from lorekeep.llm.storage import new_folder
 from lorekeep.llm.tables import table
@@ -92,6 +92,18 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
+def op11_arrow_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quartile_digest": op1_quartile_digest,
     "op2_prefix_tree_join": op2_prefix_tree_join,
@@ -103,4 +115,7 @@ QUERIES = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_pii": op9_pii,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_arrow_divergence": op11_arrow_divergence,
+    "op12_collision_counting": op12_collision_counting,
+    "op13_setm_phrases": op13_setm_phrases,
 }
