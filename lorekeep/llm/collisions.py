@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from lorekeep.llm.storage import staged
 
 NEAREST, EVERY = 20, 20
-PROJECTIONS, MISSED = 64, 0.02
+PROJECTIONS, MISSED = 64, 0.05
 BLOCK, QUERIES = 16_384, 1_024
-FIRST_RADIUS, GROWTH = 0.3, 1.1
+FIRST_RADIUS, GROWTH, FARTHEST = 0.25, 1.3, 2.0
+SLACK = 1e-9
 MAX_TASKS = 10_000  # pairs of blocks beyond share tasks
 SEED = 20240612
 
@@ -91,16 +92,39 @@ def gather(table: pa.Table) -> pa.Table:
     return pa.table(columns, ["size", "part", "rows", "ids", "vectors"])
 
 
-def radii() -> Iterator[float]:
-    radius = FIRST_RADIUS
-    while radius < 2:  # the largest distance of two unit vectors
-        yield radius
-        radius *= GROWTH
+def distance(score: np.ndarray | float, length: np.ndarray | float, norm: float) -> np.ndarray:
+    """Of the lifted vectors, from their inner product."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * score / (length * norm)))
 
 
-def verified(query: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each row summed in the same order."""
-    return (vectors[rows] * query).sum(axis=1)
+class Query:
+    """One query's search in one block."""
+
+    def __init__(self, vector: np.ndarray, own: np.ndarray, n: int):
+        self.vector = vector
+        self.count = np.zeros(n, dtype=np.int64)
+        self.open = np.ones(n, dtype=bool)
+        self.open[own] = False
+        self.rows, self.scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.verified = 0
+
+    def verify(self, found: np.ndarray, vectors: np.ndarray, nearest: int) -> None:
+        if len(found):
+            self.open[found] = False
+            self.verified += len(found)
+            rows = np.concatenate([self.rows, found])
+            scores = np.concatenate([self.scores, vectors[found] @ self.vector])
+            if len(rows) > nearest:
+                # What rounding may have put behind stays until the scores are taken anew.
+                near = scores >= np.partition(scores, -nearest)[-nearest] - SLACK * np.abs(scores).max()
+                rows, scores = rows[near], scores[near]
+            self.rows, self.scores = rows, scores
+
+    def result(self, ids: np.ndarray, vectors: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores in double precision, every row summed in the same order."""
+        scores = (vectors[self.rows] * self.vector).sum(axis=1)
+        order = np.lexsort((ids[self.rows], -scores))[:nearest]
+        return self.rows[order], scores[order]
 
 
 def search_block(
@@ -108,56 +132,39 @@ def search_block(
 ) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
     """Per query the rows of its nearest vectors in this block and their scores; and how many vectors were verified."""
     projections, n = keys.shape
+    places = places.astype(np.intp)
     lengths = np.sqrt((asked**2).sum(axis=1))
     centre = (directions(vectors.shape[1], projections)[:, :-1] @ (asked / lengths[:, None]).T).astype(np.float32)
+    by_id = np.argsort(ids, kind="stable")
+    first, last = (np.searchsorted(ids[by_id], asked_ids, side=side) for side in ("left", "right"))
+    queries = [Query(v, by_id[a:b], n) for v, a, b in zip(asked, first, last)]
     low = np.stack([k.searchsorted(c) for k, c in zip(keys, centre)])
     high = low.copy()
-    counts = np.zeros((len(asked), n), dtype=np.uint8 if projections < 256 else np.uint16)
-    rows: list[list[np.ndarray]] = [[] for _ in asked]
-    scores: list[list[np.ndarray]] = [[] for _ in asked]
-    done = np.zeros((len(asked), n), dtype=bool)
-    done[ids[None] == asked_ids[:, None]] = True  # a query's own rows
-    best = np.full(len(asked), -np.inf)  # the nearest-th score so far
-    active = list(range(len(asked)))
-
-    def verify(q: int, found: np.ndarray) -> None:
-        if len(found):
-            done[q, found] = True
-            rows[q].append(found)
-            scores[q].append(verified(asked[q], vectors, found))
-            if sum(map(len, scores[q])) >= nearest:
-                every, kept = np.concatenate(rows[q]), np.concatenate(scores[q])
-                best[q] = np.partition(kept, -nearest)[-nearest]
-                near = kept >= best[q]  # ties stay
-                rows[q], scores[q] = [every[near]], [kept[near]]
-
-    for radius in radii():
-        if not active:
-            break
-        now = np.array(active)
-        to_low = np.stack([k.searchsorted(c - np.float32(radius)) for k, c in zip(keys, centre[:, now])])
-        to_high = np.stack([k.searchsorted(c + np.float32(radius), side="right") for k, c in zip(keys, centre[:, now])])
-        for j, q in enumerate(active):
-            count = counts[q]
+    active = np.arange(len(asked))
+    radius = np.full(len(asked), FIRST_RADIUS)
+    while len(active):
+        reach, middle = radius[active].astype(np.float32), centre[:, active]
+        to_low = np.stack([k.searchsorted(c - reach) for k, c in zip(keys, middle)])
+        to_high = np.stack([k.searchsorted(c + reach, side="right") for k, c in zip(keys, middle)])
+        for j, q in enumerate(active.tolist()):
+            query = queries[q]
+            fresh = []
             for place, a, b, c, d in zip(places, to_low[:, j].tolist(), low[:, q].tolist(), high[:, q].tolist(), to_high[:, j].tolist()):
-                if a < b:
-                    count[place[a:b]] += 1
-                if c < d:
-                    count[place[c:d]] += 1
-            verify(q, np.flatnonzero((count >= least) & ~done[q]))
-        low[:, now], high[:, now] = to_low, to_high
-        # The nearest-th best is within the radius: all vectors nearer had their chance.
-        apart = np.sqrt(np.maximum(0.0, 2 - 2 * best[now] / (lengths[now] * norm)))
-        active = [q for q, d in zip(active, apart) if not d <= radius]
-    for q in active:
-        verify(q, np.flatnonzero(~done[q]))
-    results = []
-    for q in range(len(asked)):
-        found = np.concatenate(rows[q]) if rows[q] else np.zeros(0, dtype=np.int64)
-        score = np.concatenate(scores[q]) if rows[q] else np.zeros(0)
-        order = np.lexsort((ids[found], -score))[:nearest]
-        results.append((found[order], score[order]))
-    return results, int(done.sum())
+                fresh += place[a:b], place[c:d]
+            query.count += np.bincount(np.concatenate(fresh), minlength=n)
+            query.verify(np.flatnonzero((query.count >= least) & query.open), vectors, nearest)
+        low[:, active], high[:, active] = to_low, to_high
+        # Done are those whose nearest-th best lies within the radius, as all vectors nearer had their chance; nobody needs
+        # a larger radius than the nearest-th best so far.
+        best = np.array([np.partition(queries[q].scores, -nearest)[-nearest] if len(queries[q].scores) >= nearest else -np.inf for q in active])
+        apart = distance(best, lengths[active], norm)
+        going = ~(apart <= radius[active])
+        active, apart = active[going], apart[going]
+        radius[active] = np.minimum(radius[active] * GROWTH, apart)
+        for q in active[radius[active] >= FARTHEST]:
+            queries[q].verify(np.flatnonzero(queries[q].open), vectors, nearest)
+        active = active[radius[active] < FARTHEST]
+    return [q.result(ids, vectors, nearest) for q in queries], sum(q.verified for q in queries)
 
 
 def search_pairs(nearest: int, least: int) -> Callable:
