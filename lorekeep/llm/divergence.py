@@ -33,14 +33,15 @@ MIN_DOCUMENTS = 30
 TOP_TERMS = 50
 SCALE, SMOOTHING = 1_000_000_000, 5
 BLOCK = 256  # sources compared at once
-SHARD_ROWS = 500_000
-HELD_ROWS = 300_000  # partial counts a task merges before it sends them
+SHARD_ROWS = 100_000
+SLICE_BYTES = 8 << 20
+HELD_ROWS = 1_000_000  # partial counts a task merges before it sends them
 MATRIX = 4_000_000  # cells of a matrix at a time
 
 # What separates terms, after A-Z became a-z.
 OUTSIDE = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
-PARTIAL = "lang string, source string, term string, n bigint, documents bigint"
+PARTIAL = "lang string, term string, sources array<string>, counts array<bigint>, documents bigint"
 FOUND = "lang string, source string, part string, item string, value bigint"
 
 
@@ -52,30 +53,45 @@ def count_slice(batch: pa.RecordBatch) -> pa.Table:
     real = pc.not_equal(term, "")
     doc, term = doc.filter(real), term.filter(real).dictionary_encode()
     per_document = pa.table({"doc": doc, "term": term.indices}).group_by(["doc", "term"]).aggregate([([], "count_all")])
-    group = pa.table({"lang": langs, "source": sources})
-    counted = group.take(per_document["doc"]).append_column("term", term.dictionary.take(per_document["term"].combine_chunks()))
-    counted = counted.append_column("n", per_document["count_all"]).append_column("documents", pa.array(np.ones(len(counted), dtype=np.int64)))
-    none = np.zeros(len(group), dtype=np.int64)
-    seen = group.append_column("term", pa.nulls(len(group), pa.string())).append_column("n", pa.array(none)).append_column("documents", pa.array(none))
-    return merged([counted, seen])
+    lang, source = langs.dictionary_encode(), sources.dictionary_encode()
+    group = pc.add(pc.multiply(lang.indices.cast(pa.int64()), len(source.dictionary)), source.indices.cast(pa.int64()))
+    # The groups themselves come in as rows without a term.
+    columns = {
+        "group": pa.chunked_array([pc.take(group, per_document["doc"]).combine_chunks(), group]),
+        "term": pa.chunked_array([*per_document["term"].chunks, pa.nulls(len(group), pa.int32())]),
+        "n": pa.chunked_array([*per_document["count_all"].chunks, pa.array(np.zeros(len(group), dtype=np.int64))]),
+    }
+    counted = pa.table(columns).group_by(["group", "term"]).aggregate([("n", "sum"), ("n", "count")])
+    of_lang, of_source = np.divmod(counted["group"].to_numpy(), max(1, len(source.dictionary)))
+    documents = pc.if_else(pc.is_null(counted["term"]), 0, counted["n_count"])
+    arrays = [lang.dictionary.take(pa.array(of_lang)), source.dictionary.take(pa.array(of_source)), term.dictionary.take(counted["term"].combine_chunks())]
+    return pa.table([*arrays, counted["n_sum"], documents], ["lang", "source", "term", "n", "documents"])
 
 
 def merged(tables: list[pa.Table]) -> pa.Table:
+    if len(tables) == 1:
+        return tables[0]
     summed = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("documents", "sum")])
     return summed.rename_columns(["lang", "source", "term", "n", "documents"])
 
 
+def by_term(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row per language and term, with the sources that have it."""
+    listed = table.group_by(["lang", "term"], use_threads=False).aggregate([("source", "list"), ("n", "list"), ("documents", "sum")])
+    yield from listed.rename_columns(["lang", "term", "sources", "counts", "documents"]).to_batches(max_chunksize=20_000)
+
+
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
-    for batch in slices(batches, 2):
+    for batch in slices(batches, 2, SLICE_BYTES):
         held.append(count_slice(batch))
         if sum(map(len, held)) > HELD_ROWS:
             held = [merged(held)]
             if len(held[0]) > HELD_ROWS // 2:
-                yield from held[0].to_batches()
+                yield from by_term(held[0])
                 held = []
     if held:
-        yield from merged(held).to_batches()
+        yield from by_term(merged(held))
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -151,15 +167,14 @@ def audit(
     and the ``top`` terms it uses more than its language does (part ``term``)."""
     plain = lambda c, name: F.coalesce(F.col(c), F.lit("")).alias(name)
     rows = docs.select(plain(lang_col, "lang"), plain(source_col, "source"), plain(text_col, "text"))
-    # One exchange by language and term serves the counts of sources and those of the language.
-    parts = rows.mapInArrow(partial_counts, PARTIAL).repartition("lang", "term")
-    counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    # One exchange by language and term serves the counts of languages, which come first, and those of sources.
     term = Window.partitionBy("lang", "term")
-    counts = counts.select(
-        "lang", "term", "source", "n", F.sum("documents").over(term).alias("in_documents"), F.sum("n").over(term).alias("n_lang"),
-        (F.row_number().over(term.orderBy("source")) == 1).alias("first"),
-    )
-    kept = staged(counts.where(f"term IS NULL OR in_documents >= {minimum}").drop("in_documents"), "terms")
+    parts = rows.mapInArrow(partial_counts, PARTIAL).repartition("lang", "term")
+    parts = parts.withColumn("in_documents", F.sum("documents").over(term)).where(f"term IS NULL OR in_documents >= {minimum}")
+    counts = parts.select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n"))))
+    counts = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    counts = counts.withColumns({"n_lang": F.sum("n").over(term), "first": F.row_number().over(term.orderBy("source")) == 1})
+    kept = staged(counts, "terms")
 
     groups = kept.groupBy("lang", "source").agg(
         F.sum("n").alias("total"), F.count("term").alias("rows"), F.sum(F.expr("cast(first and term is not null as bigint)")).alias("terms")

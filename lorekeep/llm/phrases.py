@@ -8,10 +8,11 @@ The relations are persisted in slices: a row holds the occurrences of one langua
 in one slice, their order is the slice's: place i of an array stands for the i-th position, each piece ends with an empty
 place, and a value is the slice's code of the group that begins there (0: none). So the merge join of two relations on
 (piece, position + k) is an aligned shift of two arrays. What meets in shuffles are the distinct groups of a slice with their
-counts, not occurrences: an aggregate over them finds the frequent groups and gives them ids, and a join hands these ids back to
-the slices. A group of k + 1 words is named by the id of its first k words and the id of the last word.
+counts, packed by hash bucket. A bucket's task adds them up, gives the frequent ones ids, and hands the ids back to the slices,
+which is the semi-join. Buckets number with the occurrences, so each holds a bounded share. A group of k + 1 words is named by
+the id of its first k words and the id of the last word.
 
-Counts, scores (exact decimals) and the comparison with longer phrases are plain joins of the tables of frequent groups.
+Scores (exact decimals) and the comparison with longer phrases are plain joins of the tables of frequent groups.
 
 Defined cases: a null text is empty, a null language ``und``; texts are bytes, A-Z become a-z; repeated rows count each; an
 empty table gives an empty result; other columns do not matter.
@@ -19,7 +20,8 @@ empty table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 SLICE = 8 << 20
+PER_BUCKET = 1_000_000  # occurrences, of which each bucket's groups are at most a fair share
 SCALE = 1_000_000
 
 # Bytes between pieces, and between words of a piece.
@@ -42,8 +45,11 @@ BETWEEN_PIECES[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BETWEEN_WORDS = BETWEEN_PIECES.copy()
 BETWEEN_WORDS[[0x20, 0x09]] = True
 
-WORDS = "slice bigint, lang string, places binary, words array<string>, counts array<bigint>"
-GROUPS = "slice bigint, lang string, places binary, ids array<bigint>, groups binary, prev array<bigint>, last array<bigint>, counts array<bigint>"
+WORDS = "slice bigint, lang string, n bigint, places binary, words array<string>, counts binary"
+GROUPS = "slice bigint, places binary, ids binary, groups binary, prev binary, last binary, counts binary"
+DEALT = "bucket int, slice bigint, lang string, codes binary, words array<string>, prev binary, last binary, counts binary"
+SETTLED = "slice bigint, lang string, codes binary, ids binary, words array<string>, prev binary, last binary, counts binary"
+FREQUENT = "id bigint, lang string, word string, prev bigint, last bigint, count bigint"
 
 
 def occurrences(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
@@ -74,10 +80,10 @@ def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in held.items():
             places, words = occurrences(texts)
             if len(words):
-                counts = np.bincount(places, minlength=len(words) + 1)[1:]
-                listed = lambda a: pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), a)
-                arrays = [pa.array([task << 32 | made]), pa.array([lang]), pa.array([places.tobytes()]), listed(words), listed(pa.array(counts, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["slice", "lang", "places", "words", "counts"])
+                counts = np.bincount(places, minlength=len(words) + 1)[1:].astype("<u4")
+                listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+                arrays = [pa.array([v]) for v in (task << 32 | made, lang, int(counts.sum()), places.tobytes())]
+                yield pa.RecordBatch.from_arrays([*arrays, listed, pa.array([counts.tobytes()])], ["slice", "lang", "n", "places", "words", "counts"])
                 made += 1
 
     for batch in slices(batches, 1):
@@ -90,11 +96,150 @@ def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def lookup(pairs, codes: int) -> np.ndarray:
-    """Ids by code from the (code, id) pairs that a slice got back; 0 for all others."""
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(field.split() for field in schema.split(", ")))
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    columns = list(zip(*rows)) or [[]] * len(names)
+    made = [lists_of(c) if k == "array<string>" else pa.array(c, types[k]) for c, k in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(made, list(names))
+
+
+def lists_of(column: Sequence[pa.Array | None]) -> pa.Array:
+    """Lists of words from one array per row."""
+    some = [words for words in column if words is not None]
+    if not some:
+        return pa.nulls(len(column), pa.list_(pa.string()))
+    ends = np.cumsum([0, *[0 if words is None else len(words) for words in column]])
+    empty = np.array([words is None for words in column] + [False])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=empty), pa.concat_arrays(some))
+
+
+def numbers(data: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(data, dtype=kind)
+
+
+def in_buckets(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its members) of those that have some."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, order[cuts[b] : cuts[b + 1]]
+
+
+def deal_words(buckets: int) -> Callable:
+    """The distinct words of a slice with their counts, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, lang, words, counts in zip(*(batch.column(c) for c in ("slice", "lang", "words", "counts"))):
+                words, counts = words.values, numbers(counts.as_py(), "<u4")
+                bucket = np.fromiter((crc32(w.encode()) for w in words.to_pylist()), dtype=np.int64, count=len(words)) % buckets
+                rows = [
+                    (b, number.as_py(), lang.as_py(), (at + 1).astype("<u4").tobytes(), words.take(pa.array(at)), None, None, counts[at].tobytes())
+                    for b, at in in_buckets(bucket, buckets)
+                ]
+                yield batch_of(rows, DEALT)
+
+    return run
+
+
+def deal_groups(buckets: int) -> Callable:
+    """The distinct groups of a slice with their counts, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, prev, last, counts in zip(*(batch.column(c) for c in ("slice", "prev", "last", "counts"))):
+                prev, last, counts = numbers(prev.as_py()), numbers(last.as_py()), numbers(counts.as_py(), "<u4")
+                mixed = prev.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ last.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
+                bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+                rows = [
+                    (b, number.as_py(), None, (at + 1).astype("<u4").tobytes(), None, prev[at].tobytes(), last[at].tobytes(), counts[at].tobytes())
+                    for b, at in in_buckets(bucket, buckets)
+                ]
+                yield batch_of(rows, DEALT)
+
+    return run
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows with the same bucket and language, which follow each other."""
+    key, held = None, []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k] for name in batch.schema.names}
+            now = row["bucket"].as_py(), row["lang"].as_py()
+            if held and now != key:
+                yield key, held
+                held = []
+            key = now
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def settle(minimum: int) -> Callable:
+    """Per bucket: the groups with at least ``minimum`` occurrences, numbered; and for each slice the codes of its groups
+    among them with these numbers. Rows come sorted by bucket, language and slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used = None, 0
+        for (bucket, lang), held in groups_of(batches):
+            if bucket != current:
+                current, used = bucket, 0
+            counts = np.concatenate([numbers(r["counts"].as_py(), "<u4") for r in held]).astype(np.int64)
+            if held[0]["words"].is_valid:
+                every = pa.concat_arrays([r["words"].values for r in held]).dictionary_encode()
+                group, first, columns = every.indices.to_numpy(), None, None
+            else:
+                prev, last = (np.concatenate([numbers(r[c].as_py()) for r in held]) for c in ("prev", "last"))
+                order = np.lexsort((last, prev))
+                fresh = np.concatenate([[True], (np.diff(prev[order]) != 0) | (np.diff(last[order]) != 0)])
+                group = np.empty(len(order), dtype=np.int64)
+                group[order] = np.cumsum(fresh) - 1
+                first = order[fresh]
+            total = np.zeros(int(group.max()) + 1, dtype=np.int64)
+            np.add.at(total, group, counts)
+            frequent = np.flatnonzero(total >= minimum)
+            ids = np.zeros(len(total), dtype=np.int64)
+            ids[frequent] = (bucket << 32) + used + 1 + np.arange(len(frequent))
+            used += len(frequent)
+            if not len(frequent):
+                continue
+            if first is None:
+                columns = (every.dictionary.take(pa.array(frequent)), None, None)
+            else:
+                columns = (None, prev[first[frequent]].tobytes(), last[first[frequent]].tobytes())
+            yield batch_of([(None, lang, None, ids[frequent].tobytes(), *columns, total[frequent].tobytes())], SETTLED)
+            rows, at = [], 0
+            for r in held:
+                codes = numbers(r["codes"].as_py(), "<u4")
+                own = ids[group[at : at + len(codes)]]
+                at += len(codes)
+                if own.any():
+                    rows.append((r["slice"].as_py(), None, codes[own > 0].tobytes(), own[own > 0].tobytes(), None, None, None, None))
+            yield batch_of(rows, SETTLED)
+
+    return run
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frequent groups, a row each."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k] for name in batch.schema.names}
+            ids = numbers(row["ids"].as_py())
+            pair = [pa.array(numbers(row[c].as_py())) if row[c].is_valid else pa.nulls(len(ids), pa.int64()) for c in ("prev", "last")]
+            word = row["words"].values if row["words"].is_valid else pa.nulls(len(ids), pa.string())
+            arrays = [pa.array(ids), pa.array([row["lang"].as_py()] * len(ids), pa.string()), word, *pair, pa.array(numbers(row["counts"].as_py()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "lang", "word", "prev", "last", "count"])
+
+
+def lookup(found: pa.ListScalar, codes: int) -> np.ndarray:
+    """Ids by code from what a slice got back; 0 for all others."""
     table = np.zeros(codes + 1, dtype=np.int64)
-    if pairs is not None and len(pairs):
-        table[pairs.field("code").to_numpy()] = pairs.field("id").to_numpy()
+    for part in found.values:
+        table[numbers(part["codes"].as_py(), "<u4")] = numbers(part["ids"].as_py())
     return table
 
 
@@ -106,45 +251,34 @@ def extend(words: int, persist: bool) -> Callable:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k] for name in batch.schema.names}
-                places = np.frombuffer(row["places"].as_py(), dtype="<u4")
+                places = numbers(row["places"].as_py(), "<u4")
                 if words == 1:
-                    ids = lookup(row["found"].values, int(places.max()))
-                    groups = ids[places]
-                    word = groups
+                    ids = lookup(row["found"], int(places.max()))
+                    word = groups = ids[places]
                 else:
-                    ids = row["ids"].values.to_numpy()
-                    word = ids[places]
-                    coded = np.frombuffer(row["groups"].as_py(), dtype="<u4")
-                    groups = lookup(row["found"].values, int(coded.max(initial=0)))[coded]
-                both = np.zeros(len(places), dtype=bool)
-                if len(places) > words:
-                    both[:-words] = (groups[:-words] > 0) & (word[words:] > 0)
-                at = np.flatnonzero(both)
+                    ids, coded = numbers(row["ids"].as_py()), numbers(row["groups"].as_py(), "<u4")
+                    word, groups = ids[places], lookup(row["found"], int(coded.max(initial=0)))[coded]
+                at = np.flatnonzero((groups[:-words] > 0) & (word[words:] > 0)) if len(places) > words else np.zeros(0, dtype=np.int64)
                 first, first_code = np.unique(groups[at], return_inverse=True)
                 last, last_code = np.unique(word[at + words], return_inverse=True)
                 joined, code, counts = np.unique(first_code * (len(last) + 1) + last_code, return_inverse=True, return_counts=True)
                 new = np.zeros(len(places) if persist else 0, dtype="<u4")
                 if persist:
                     new[at] = code + 1
-                lists = [ids if persist else [], None, first[joined // (len(last) + 1)], last[joined % (len(last) + 1)], counts]
-                listed = [pa.array([np.asarray(v, dtype=np.int64)], pa.list_(pa.int64())) for v in (lists[0], *lists[2:])]
-                kept = places.tobytes() if persist else b""
-                arrays = [pa.array([row["slice"].as_py()]), pa.array([row["lang"].as_py()]), pa.array([kept], pa.binary()), listed[0], pa.array([new.tobytes()], pa.binary()), *listed[1:]]
-                yield pa.RecordBatch.from_arrays(arrays, ["slice", "lang", "places", "ids", "groups", "prev", "last", "counts"])
+                prev, after = first[joined // (len(last) + 1)], last[joined % (len(last) + 1)]
+                kept = (places.tobytes(), ids.tobytes(), new.tobytes()) if persist else (None, None, None)
+                yield batch_of([(row["slice"].as_py(), *kept, prev.tobytes(), after.tobytes(), counts.astype("<u4").tobytes())], GROUPS)
 
     return run
 
 
-def handed_back(relation: DataFrame, listed: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
-    """The semi-join: each slice of ``relation`` with the codes of its groups that are ``frequent``, and their ids."""
-    pairs = listed.join(frequent.select(*on, "id"), on).groupBy("slice").agg(F.collect_list(F.struct("code", "id")).alias("found"))
-    return relation.join(pairs, "slice")
-
-
-def frequent_groups(listed: DataFrame, key: list[str], minimum: int, name: str) -> DataFrame:
-    """Groups with at least ``minimum`` occurrences, their number, and an id from 1 on."""
-    counted = listed.groupBy(*key).agg(F.sum("count").alias("count")).where(F.col("count") >= minimum)
-    return staged(counted.withColumn("id", F.monotonically_increasing_id() + 1), name)
+def settled(dealt: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent groups (id, lang, word, prev, last, count), and what each slice gets back (slice, found)."""
+    rows = dealt.repartition("bucket").sortWithinPartitions("bucket", "lang", "slice").mapInArrow(settle(minimum), SETTLED)
+    rows = staged(rows, "settled")
+    frequent = rows.where("slice IS NULL").select("lang", "ids", "words", "prev", "last", "counts").mapInArrow(unpack, FREQUENT)
+    found = rows.where("slice IS NOT NULL").groupBy("slice").agg(F.collect_list(F.struct("codes", "ids")).alias("found"))
+    return staged(frequent, "groups"), found
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -185,26 +319,23 @@ def mine(
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of 2 to ``max_words`` words of each language by score."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     relation = staged(rows.mapInArrow(read_words, WORDS), "occurrences")
-    listed = relation.select("slice", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "group"))
-    listed = listed.select("slice", "lang", (F.col("code") + 1).alias("code"), F.col("group.words").alias("word"), F.col("group.counts").alias("count"))
-    totals = listed.groupBy("lang").agg(F.sum("count").alias("n"))
-    words = frequent_groups(listed, ["lang", "word"], minimum, "words")
-    relation = handed_back(relation.drop("words", "counts"), listed, words, ["lang", "word"])
+    totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
+    buckets = 1 + (relation.agg(F.sum("n")).first()[0] or 0) // PER_BUCKET
+    words, found = settled(relation.select("slice", "lang", "words", "counts").mapInArrow(deal_words(buckets), DEALT), minimum)
+    relation = relation.select("slice", "places").join(found, "slice")
 
-    # levels[k]: frequent groups of k + 1 words as (id, lang, phrase, count, prev, last)
+    # levels[k]: frequent groups of k + 1 words
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), "count")]
     names = levels[0].select(F.col("id").alias("last"), F.col("phrase").alias("word"))
     for k in range(1, max_words):
         persist = k + 1 < max_words
         relation = staged(relation.mapInArrow(extend(k, persist), GROUPS), "occurrences")
-        listed = relation.select("slice", F.posexplode(F.arrays_zip("prev", "last", "counts")).alias("code", "group"))
-        listed = listed.select("slice", (F.col("code") + 1).alias("code"), "group.prev", "group.last", F.col("group.counts").alias("count"))
-        found = frequent_groups(listed, ["prev", "last"], minimum, "groups")
+        groups, found = settled(relation.select("slice", "prev", "last", "counts").mapInArrow(deal_groups(buckets), DEALT), minimum)
         if persist:
-            relation = handed_back(relation.drop("prev", "last", "counts"), listed, found, ["prev", "last"])
+            relation = relation.select("slice", "places", "ids", "groups").join(found, "slice")
         before = levels[-1].select(F.col("id").alias("prev"), "lang", F.col("phrase").alias("begin"))
-        named = found.join(before, "prev").join(names, "last")
-        levels.append(staged(named.select("id", "lang", F.concat_ws(" ", "begin", "word").alias("phrase"), "count", "prev", "last"), "phrases"))
+        named = groups.select("id", "prev", "last", "count").join(before, "prev").join(names, "last")
+        levels.append(staged(named.select("id", "lang", F.concat_ws(" ", "begin", "word").alias("phrase"), "count"), "phrases"))
 
     known = levels[0].select("lang", "phrase", "count")
     for level in levels[1:-1]:

@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; only a local session (tests) may do without and gets a temporary one."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")
