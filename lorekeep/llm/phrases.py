@@ -12,7 +12,8 @@ counts, packed by hash bucket. A bucket's task adds them up, gives the frequent
 which is the semi-join. Buckets number with the occurrences, so each holds a bounded share. A group of k + 1 words is named by
 the id of its first k words and the id of the last word.
 
-Scores (exact decimals) and the comparison with longer phrases are plain joins of the tables of frequent groups.
+Scores (exact decimals) and the comparison with longer phrases are joins of the tables of frequent groups by id; the words
+themselves are looked up for the phrases that may be among the top ones.
 
 Defined cases: a null text is empty, a null language ``und``; texts are bytes, A-Z become a-z; repeated rows count each; an
 empty table gives an empty result; other columns do not matter.
@@ -287,30 +288,49 @@ def score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", big(a) * big(a) * F.lit(SCALE).cast("decimal(7,0)"), big(left) * big(right))
 
 
-def part(begin: int, words: int) -> Column:
-    """Some words of a phrase."""
-    return F.array_join(F.slice(F.split("phrase", " "), begin, words), " ")
-
-
-def scored_phrases(phrases: DataFrame, known: DataFrame, words: int) -> DataFrame:
-    """(lang, phrase, a, l, r, score) by the cut with the lowest score, the first of equal ones."""
-    ways = None
+def next_level(groups: DataFrame, before: DataFrame, of_words: bool) -> DataFrame:
+    """Groups (id, prev, last, count) of one word more than those of ``before``, joined with what these know: the words, the group
+    of all words but the first (``tail``), and the counts of all beginnings (``heads``) and ends (``tails``), shortest first."""
+    head = before.select(
+        F.col("id").alias("prev"), "lang", F.col("words").alias("head_words"), F.col("tail").alias("head_tail"),
+        F.array_append("heads", F.col("count")).alias("heads"),
+    )
+    tail = before.select(
+        F.col("id").alias("tail"), F.col("prev").alias("head_tail"), F.col("last"), F.array_append("tails", F.col("count")).alias("tails")
+    )
+    joined = groups.select("id", "prev", "last", "count").join(head, "prev")
+    if of_words:  # the tail of a pair is its second word
+        joined = joined.join(tail.drop("head_tail").withColumn("last", F.col("tail")), "last")
+    else:
+        joined = joined.join(tail, ["head_tail", "last"])
+    words = F.array_append("head_words", F.col("last")).alias("words")
+    return staged(joined.select("id", "lang", words, "count", "prev", "last", "tail", "heads", "tails"), "phrases")
+
+
+def scored_phrases(phrases: DataFrame, words: int) -> DataFrame:
+    """(id, lang, words, a, l, r, score) by the cut with the lowest score, the first of equal ones."""
+    ways = []
     for cut in range(1, words):
-        cut_up = phrases.select("lang", "phrase", F.col("count").alias("a"), part(1, cut).alias("first"), part(cut + 1, words - cut).alias("rest"))
-        for name, count in (("first", "l"), ("rest", "r")):
-            cut_up = cut_up.join(known.select("lang", F.col("phrase").alias(name), F.col("count").alias(count)), ["lang", name])
-        way = F.struct(score(F.col("a"), F.col("l"), F.col("r")).alias("score"), F.lit(cut).alias("cut"), "l", "r").alias("way")
-        cut_up = cut_up.select("lang", "phrase", "a", way)
-        ways = cut_up if ways is None else ways.unionByName(cut_up)
-    return ways.groupBy("lang", "phrase", "a").agg(F.min("way").alias("way")).select("lang", "phrase", "a", "way.l", "way.r", "way.score")
+        left, right = F.col("heads")[cut - 1], F.col("tails")[words - cut - 1]
+        ways.append(F.struct(score(F.col("count"), left, right).alias("score"), F.lit(cut).alias("cut"), left.alias("l"), right.alias("r")))
+    way = F.array_min(F.array(*ways)).alias("way")
+    return phrases.select("id", "lang", "words", F.col("count").alias("a"), way).select("id", "lang", "words", "a", "way.l", "way.r", "way.score")
 
 
-def without_parts(scored: DataFrame, longer: DataFrame, words: int) -> DataFrame:
+def without_parts(scored: DataFrame, longer: DataFrame) -> DataFrame:
     """Without the phrases that stand in one of ``longer``, of one word more, for half of their occurrences or more. Phrases
     longer still are no more frequent than those between, so they need no look."""
-    either = F.explode(F.array(part(1, words - 1), part(2, words - 1))).alias("phrase")
-    most = longer.select("lang", either, "count").groupBy("lang", "phrase").agg(F.max("count").alias("most"))
-    return scored.join(most, ["lang", "phrase"], "left").where("most IS NULL OR 100 * most < 50 * a").drop("most")
+    most = longer.select(F.explode(F.array("prev", "tail")).alias("id"), "count").groupBy("id").agg(F.max("count").alias("most"))
+    return scored.join(most, "id", "left").where("most IS NULL OR 100 * most < 50 * a").drop("most")
+
+
+def named(chosen: DataFrame, words: DataFrame) -> DataFrame:
+    """``phrase`` for the ids in ``words``. Ids are unique among phrases of one length."""
+    key = ["lang", "id", "length"]
+    chosen = chosen.withColumn("length", F.size("words"))
+    parts = chosen.select(*key, F.posexplode("words").alias("place", "word_id")).join(words.select(F.col("id").alias("word_id"), "word"), "word_id")
+    parts = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("parts"))
+    return chosen.drop("words").join(parts.select(*key, F.array_join("parts.word", " ").alias("phrase")), key)
 
 
 def mine(
@@ -324,28 +344,24 @@ def mine(
     words, found = settled(relation.select("slice", "lang", "words", "counts").mapInArrow(deal_words(buckets), DEALT), minimum)
     relation = relation.select("slice", "places").join(found, "slice")
 
-    # levels[k]: frequent groups of k + 1 words
-    levels = [words.select("id", "lang", F.col("word").alias("phrase"), "count")]
-    names = levels[0].select(F.col("id").alias("last"), F.col("phrase").alias("word"))
+    none = F.array().cast("array<bigint>")
+    level = words.select("id", "lang", F.array("id").alias("words"), "count", F.lit(None).cast("bigint").alias("prev"), F.col("id").alias("last"), F.lit(None).cast("bigint").alias("tail"), none.alias("heads"), none.alias("tails"))
+    every, scored = None, None
     for k in range(1, max_words):
         persist = k + 1 < max_words
         relation = staged(relation.mapInArrow(extend(k, persist), GROUPS), "occurrences")
         groups, found = settled(relation.select("slice", "prev", "last", "counts").mapInArrow(deal_groups(buckets), DEALT), minimum)
         if persist:
             relation = relation.select("slice", "places", "ids", "groups").join(found, "slice")
-        before = levels[-1].select(F.col("id").alias("prev"), "lang", F.col("phrase").alias("begin"))
-        named = groups.select("id", "prev", "last", "count").join(before, "prev").join(names, "last")
-        levels.append(staged(named.select("id", "lang", F.concat_ws(" ", "begin", "word").alias("phrase"), "count"), "phrases"))
-
-    known = levels[0].select("lang", "phrase", "count")
-    for level in levels[1:-1]:
-        known = known.unionByName(level.select("lang", "phrase", "count"))
-    every = None
-    for k, level in enumerate(levels[1:], 1):
-        scored = scored_phrases(level, known, k + 1)
-        if k + 1 < len(levels):
-            scored = without_parts(scored, levels[k + 1], k + 2)
-        every = scored if every is None else every.unionByName(scored)
+        level = next_level(groups, level, k == 1)
+        if scored is not None:
+            scored = without_parts(scored, level)
+            every = scored if every is None else every.unionByName(scored)
+        scored = scored_phrases(level, k + 1)
+    every = scored if every is None else every.unionByName(scored)
+    # Names are needed for ties only: first all phrases that may be among the top ones, then their order.
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    chosen = staged(every.withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place"), "chosen")
     ranking = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = every.withColumn("rank", F.row_number().over(ranking).cast("long")).where(F.col("rank") <= top)
+    ranked = named(chosen, words).withColumn("rank", F.row_number().over(ranking).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

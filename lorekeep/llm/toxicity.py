@@ -234,12 +234,12 @@ class Model:
 class Remembered(dict):
     """A function's results by argument, started anew when full."""
 
-    def __init__(self, function: Callable):
+    def __init__(self, function: Callable, most: int = REMEMBERED):
         super().__init__()
-        self.function = function
+        self.function, self.most = function, most
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.function(key)
         return value
@@ -269,7 +269,7 @@ def labelled_sample(labels: DataFrame, allowed: Column, per_class: int) -> tuple
 
 def counted_features(log_p: np.ndarray) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Remembered(lambda token: tuple(f for w in words_of(token, log_p) for f in features_of(w)))
+        of = Remembered(lambda token: tuple(f for w in words_of(token, log_p) for f in features_of(w)), REMEMBERED // 5)
         for batch in batches:
             sums = (Counter(), Counter())
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
@@ -336,7 +336,7 @@ def evidence_rows(model: Model) -> Callable:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in ``score_col``."""
+    """``docs`` with a score from 0 to 1 in ``score_col``; a column of that name is replaced."""
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
