@@ -17,7 +17,7 @@ from lorekeep.llm import mixing, ngram_join, packing, pii, toxicity
 from lorekeep.llm.ordering import order_key
 from lorekeep.llm.queries import public_tokenizer
 from lorekeep.llm.storage import staged
-from lorekeep.llm.tables import table
+from lorekeep.llm.tables import free_name, table
 
 TOXIC = 0.5
 
@@ -26,21 +26,35 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with a toxicity score below TOXIC; labels are learned from the same four fifths as in op3."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
-    name = "_toxicity_score"
+    name = free_name(docs.columns, "toxicity")
     return toxicity.score(docs, model, score_col=name).where(F.col(name) < TOXIC).drop(name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The text of the smallest id of each group of near duplicates; of rows with words that are equal in all columns one
     stays. Texts without words are in no group and all stay."""
-    others = ngram_join.near_copies(docs).select(F.col("doc").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
+    key, text_hash = (free_name(docs.columns, c) for c in ("gone_id", "gone_hash"))
+    others = ngram_join.near_copies(docs).select(F.col("doc").alias(key), F.col("text_hash").alias(text_hash))
     others = staged(others, "copies")
-    # One shuffle of the texts serves both the join and the search for equal rows.
-    keyed = docs.withColumns({"_key": order_key("doc_id"), "_hash": F.xxhash64("text")})
-    kept = keyed.join(others, F.expr("_key = _gone AND _hash = _gone_hash"), "left_anti")
-    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = kept.withColumn("_own", F.when(wordless, F.monotonically_increasing_id()))
-    return kept.dropDuplicates().drop("_key", "_hash", "_own")
+    gone = (order_key("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(text_hash))
+    return without_repeats(docs.join(others, gone, "left_anti"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """One of the rows with words that are equal in all columns. They are found by 128 bits of hashes, without the texts; only
+    texts of rows that do stand several times are shuffled."""
+    h1, h2 = (free_name(docs.columns, c) for c in ("row_hash1", "row_hash2"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.array(*[c.isNull() for c in columns])
+    keyed = docs.withColumns({h: F.xxhash64(F.lit(k), nulls, *columns) for k, h in enumerate((h1, h2))})
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    repeated = keyed.where(worded).groupBy(h1, h2).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(h1, h2)
+    repeated = staged(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs
+    once = keyed.join(repeated, [h1, h2], "left_anti")
+    first = keyed.join(repeated, [h1, h2], "left_semi").dropDuplicates([h1, h2])
+    return once.unionByName(first).select(*columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
