@@ -21,25 +21,39 @@ def apply_batch(
     started_at: datetime | str,
     attributes: Sequence[str] = HISTORY_ATTRIBUTES,
 ) -> DataFrame:
-    """History after one run saw ``batch`` (one row per item).
+    """History after one run saw ``batch``: :func:`advance` of the open versions, closed ones go round it.
+
+    For one call on a stored history. Runs that follow each other keep open and closed versions apart.
+    """
+    versions = advance(history.filter("is_current"), batch, run_id, started_at, attributes)
+    return versions.unionByName(history.filter("NOT is_current").select(*versions.columns))
+
+
+def advance(
+    open_versions: DataFrame,
+    batch: DataFrame,
+    run_id: str,
+    started_at: datetime | str,
+    attributes: Sequence[str] = HISTORY_ATTRIBUTES,
+) -> DataFrame:
+    """The open versions after one run saw ``batch`` (one row per item), and those it closed.
 
     A changed item's version is closed at the run's start and a new one opened; an unchanged one
-    is marked as seen; an unseen one stays open. One full outer join of the open versions decides
-    all four cases, and each pair of old and new row turns into its result rows in place.
-    ``history`` may hold all versions or only the open ones: closed versions go round the join.
+    is marked as seen; an unseen one stays open. One full outer join decides all four cases, and each
+    pair of old and new row turns into its result rows in place. If the open versions are read in buckets,
+    only the batch is shuffled.
     """
     columns = ["item_id", "content_hash", "valid_from", "valid_to", "is_current", *attributes,
                "first_seen_run_id", "last_seen_run_id"]
     # A batch row may be nullable where a history row is not; one schema serves both.
-    types = {f.name: f.dataType.simpleString() for f in history.select(*columns).schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in open_versions.select(*columns).schema.fields}
 
     def version(source: str, **changed: str) -> str:
         """SQL of a history row made from a version (old) or a batch row (new) and some changes."""
         fields = [f"'{c}', CAST({changed.get(c, f'{source}.`{c}`')} AS {types[c]})" for c in columns]
         return f"named_struct({', '.join(fields)})"
 
-    old = history.filter("is_current").select("item_id", F.struct(*columns).alias("old"))
-    past = history.filter("NOT is_current").select(*columns)
+    old = open_versions.select("item_id", F.struct(*columns).alias("old"))
     seen = batch.select(
         "item_id",
         F.struct("item_id", "content_hash", *attributes).alias("new"),
@@ -61,12 +75,20 @@ def apply_batch(
                  WHEN old.content_hash <> new.content_hash THEN array({closed}, {opened})
                  ELSE array({version("old", last_seen_run_id="run")}) END"""
     )
-    return (
-        old.join(seen, "item_id", "full_outer")
-        .select(F.explode(rows).alias("version"))
-        .select("version.*")
-        .unionByName(past)
-    )
+    return old.join(seen, "item_id", "full_outer").select(F.explode(rows).alias("version")).select("version.*")
+
+
+def feed(written: DataFrame, run_column: str = "as_of_run") -> DataFrame:
+    """What runs changed, from the versions each of them wrote (:func:`advance`), with the run in ``run_column``.
+
+    ``change`` is "opened", "closed", or "touched" for an open version that was seen again; versions that merely lie in a bucket
+    the run wrote are left out. Rows are as the run left them.
+    """
+    run = F.col(run_column)
+    change = F.when(~F.col("is_current"), "closed").when(F.col("first_seen_run_id") == run, "opened")
+    change = change.when(F.col("last_seen_run_id") == run, "touched")
+    columns = [c for c in written.columns if c != run_column]
+    return written.select(run.alias("run_id"), change.alias("change"), *columns).filter(F.col("change").isNotNull())
 
 
 def rebuild(

@@ -101,11 +101,16 @@ def _side_by_side(*one_row: DataFrame) -> DataFrame:
 
 def snapshot_summary(items: DataFrame, scores: DataFrame, health: DataFrame, run_id: str) -> DataFrame:
     """All current items, and what the run scored and checked."""
+    return run_summary(_counts(items, total_items=F.count("*")), scores, health, run_id)
+
+
+def run_summary(totals: DataFrame, scores: DataFrame, health: DataFrame, run_id: str) -> DataFrame:
+    """:func:`snapshot_summary` where ``totals`` (at most one row) already has total_items."""
     return _side_by_side(
-        _counts(items, total_items=F.count("*")),
+        totals.select("total_items"),
         _counts(scores.filter(in_run(run_id)), scored_items=F.count("*")),
         _counts(health.filter(in_run(run_id)), checked_urls=F.count("*")),
-    )
+    ).fillna(0)
 
 
 def status_metrics(items: DataFrame, scores: DataFrame, health: DataFrame, latest: DataFrame) -> DataFrame:

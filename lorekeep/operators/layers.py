@@ -8,6 +8,8 @@ layer cannot be read (null when it can).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions import geometry as G
 from ..functions.predicates import previewable
 from ..functions.text import lookup_id, parse_layer_ref, target_class
 from ..functions.values import layer_key
+from ..functions.where import checked, refusal
 from .rows import first_rows
 
 LAYER = ["item_id", "layer_kind", "layer_index"]
@@ -34,8 +37,10 @@ def with_positions(features: DataFrame) -> DataFrame:
 
 
 def row_counts(features: DataFrame, layers: DataFrame, where: str = "1=1") -> DataFrame:
-    """Rows per layer and table that satisfy ``where``; an unreadable layer has a null count."""
-    counted = features.filter(F.expr(where)).groupBy(*LAYER).agg(F.count("*").alias("n"))
+    """Rows per layer and table that satisfy ``where``; an unreadable layer has a null count.
+
+    ``where`` is a user's text here and below, so it is checked (:mod:`..functions.where`) before it is evaluated."""
+    counted = features.filter(checked(features, where)).groupBy(*LAYER).agg(F.count("*").alias("n"))
     readable = F.col("error").isNull()
     return layers.join(counted, LAYER, "left").select(
         *LAYER,
@@ -45,6 +50,24 @@ def row_counts(features: DataFrame, layers: DataFrame, where: str = "1=1") -> Da
     )
 
 
+def predicate_counts(features: DataFrame, predicates: Sequence[str]) -> DataFrame:
+    """How many features of each item satisfy each predicate, in one pass; a refused one is a row with the reason."""
+    reasons = [refusal(features, where) for where in predicates]
+    named = lambda k: (F.lit(k).alias("where_no"), F.lit(predicates[k]).alias("predicate"))
+    accepted = [k for k, reason in enumerate(reasons) if reason is None]
+    refused = [F.struct(*named(k), F.lit(reason).alias("reason")) for k, reason in enumerate(reasons) if reason]
+    parts = []
+    if accepted:
+        sums = features.groupBy("item_id").agg(*[F.count_if(F.expr(predicates[k])).alias(f"n{k}") for k in accepted])
+        found = F.explode(F.array(*[F.struct(*named(k), F.col(f"n{k}").alias("matching")) for k in accepted])).alias("found")
+        parts.append(sums.select("item_id", found).select("item_id", "found.*", F.lit(None).cast("string").alias("reason")))
+    if refused:
+        listed = features.sparkSession.range(1).select(F.explode(F.array(*refused)).alias("found")).select("found.*")
+        parts.append(listed.withColumns({"item_id": F.lit(None).cast("string"), "matching": F.lit(None).cast("bigint")}))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.select("where_no", "predicate", F.col("reason").isNull().alias("accepted"), "reason", "item_id", "matching")
+
+
 def total_count(counts: DataFrame) -> DataFrame:
     """Per item: rows over its readable layers and tables, and how many of those there are."""
     return counts.groupBy("item_id").agg(
@@ -174,7 +197,7 @@ def preview_features(
     features: DataFrame, where: str = "1=1", limit: int = PREVIEW_LIMIT, layer: tuple[str, int] | None = None
 ) -> DataFrame:
     """The first features of every layer (not table), or of one ``(item_id, layer_index)``."""
-    chosen = features.filter(F.expr(where)).filter(F.col("layer_kind") == "layer")
+    chosen = features.filter(checked(features, where)).filter(F.col("layer_kind") == "layer")
     if layer is None:
         return first_rows(chosen, LAYER, limit, ["feature_id"])
     one = chosen.filter((F.col("item_id") == layer[0]) & (F.col("layer_index") == layer[1]))
@@ -232,7 +255,7 @@ def preview_status(
         "reference", target_key().alias("item_id"), F.coalesce("layer_index", F.lit(0)).alias("layer_index")
     )
     asked = wanted.select("item_id", "layer_index").distinct()
-    chosen = features.filter(F.expr(where)).filter(F.col("layer_kind") == "layer")
+    chosen = features.filter(checked(features, where)).filter(F.col("layer_kind") == "layer")
     shown = first_rows(
         chosen.join(asked, ["item_id", "layer_index"], "left_semi").select(*LAYER, "feature_id", "geometry"),
         LAYER,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import canonical_digest, epoch_ms_to_ntz, ntz, split_tags
+from ..functions.where import checked
 from ..schemas import ITEMS_CURRENT
 from .current import last_in_batch
 
@@ -163,12 +164,12 @@ def scan_items(
     max_items: int | None = None,
     last_wins: Sequence[str] = (),
 ) -> DataFrame:
-    """Items matching a predicate (public ones by default) and any of the types.
+    """Items matching a user's predicate (public ones by default), which is checked first, and any of the types.
 
     With ``last_wins`` an item seen repeatedly is reduced to its row of the greatest order first.
     ``max_items`` then keeps the first ones by id, so that a capped scan is repeatable.
     """
-    out = items.filter(F.expr(query or "access = 'public'"))
+    out = items.filter(checked(items, query or "access = 'public'"))
     if item_types:
         out = out.filter(F.col("item_type").isin(*item_types))
     if last_wins:

@@ -80,7 +80,7 @@ def remediation_list(base: DataFrame, category: str, as_of: datetime | str) -> D
 
 
 def remediation_actions(
-    base: DataFrame, as_of: datetime | str, categories: list[str] = list(ACTIONS)
+    base: DataFrame, as_of: datetime | str, categories: list[str] = list(ACTIONS), columns: tuple[str, ...] = LIST_COLUMNS
 ) -> DataFrame:
     """All categories in one pass: a row per item and category it falls in, urgent ones first."""
     filters = category_filters(as_of)
@@ -99,4 +99,4 @@ def remediation_actions(
     )
     exploded = base.withColumn("found", F.explode(found)).filter(F.col("found").isNotNull())
     rows = exploded.select("*", "found.*")
-    return rows.select("category", *LIST_COLUMNS).orderBy("category", F.desc("priority"), "item_id")
+    return rows.select("category", *columns).orderBy("category", F.desc("priority"), "item_id")

@@ -1,8 +1,16 @@
-"""Content search over items and ranking of the hits."""
+"""Content search over items and ranking of the hits.
+
+A search for a text looks at every item's content, or first at an index: :func:`postings` lists for each word the items that hold
+it. An item that holds a text holds words that begin, are and end as the parts of the text do, so only items with all of these
+are read and compared. The index is far smaller than the contents, as a word stands once per item and sorted words compress well.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import hit_score
@@ -10,6 +18,10 @@ from ..functions.scoring import hit_score
 HIT_COLUMNS = ("title", "id", "type", "owner", "modified", "tags", "url", "snippet", "description")
 
 
+def searched_text() -> Column:
+    return F.lower(F.concat_ws(" ", "title", "snippet", "description", F.array_join("tags", " ")))
+
+
 def search_items(
     items: DataFrame, query: str, item_type: str | None = "Feature Layer", max_items: int | None = 5
 ) -> DataFrame:
@@ -21,12 +33,49 @@ def search_items(
     if item_type:
         hits = hits.filter(F.col("type") == item_type)
     if query:
-        searched = F.lower(F.concat_ws(" ", "title", "snippet", "description", F.array_join("tags", " ")))
-        hits = hits.filter(searched.contains(query.lower()))
+        hits = hits.filter(searched_text().contains(query.lower()))
     hits = hits.select("hit_no", *HIT_COLUMNS)
     return hits if max_items is None else hits.orderBy("hit_no").limit(max_items)
 
 
+def postings(items: DataFrame) -> DataFrame:
+    """(word, id): every run of characters between blanks in an item's content, once per item."""
+    return items.select(F.explode(F.array_distinct(F.split(searched_text(), " "))).alias("word"), "id")
+
+
+def write_postings(items: DataFrame, path: str) -> DataFrame:
+    """The index of ``items``: every task writes the lists of its own items in the order of the words, without a shuffle."""
+    listed = postings(items)
+    listed.sortWithinPartitions("word", "id").write.mode("overwrite").parquet(path)
+    return items.sparkSession.read.schema(listed.schema).parquet(path)
+
+
+def candidates(index: DataFrame, query: str) -> DataFrame:
+    """Ids of the items that may hold the text.
+
+    A text without a blank lies within a word. Of one with blanks the first part ends a word, the last one begins a word, and
+    those between are words.
+    """
+    parts, word = query.lower().split(" "), F.col("word")
+    needed = [word.contains(parts[0])]
+    if len(parts) > 1:
+        needed = [word == p for p in sorted(set(parts[1:-1]))]
+        needed += [word.endswith(parts[0])] if parts[0] else []
+        needed += [word.startswith(parts[-1])] if parts[-1] else []
+    if not needed:
+        return index.select("id").distinct()
+    some = index.filter(reduce(or_, needed)).groupBy("id").agg(*[F.bool_or(c).alias(f"has_{k}") for k, c in enumerate(needed)])
+    return some.filter(reduce(and_, [F.col(f"has_{k}") for k in range(len(needed))])).select("id")
+
+
+def search_indexed(
+    items: DataFrame, index: DataFrame, query: str, item_type: str | None = "Feature Layer", max_items: int | None = 5
+) -> DataFrame:
+    """:func:`search_items` over the items that the index names for the text."""
+    chosen = items.join(candidates(index, query), "id", "left_semi") if query else items
+    return search_items(chosen, query, item_type, max_items)
+
+
 def score_hits(hits: DataFrame) -> DataFrame:
     columns = [F.col(c) for c in ("title", "snippet", "description", "tags")]
     return hits.withColumn("quality_score", hit_score(*columns))

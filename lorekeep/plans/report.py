@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import report_base_name
-from ..operators import health as H
 from ..operators import history as HI
 from ..operators import issues, scores as S
 from ..operators.normalize import run_by_id
+from ..operators.sections import LISTS, section, section_rows
 from ..sources.exports import write_csv
 from ..sources.warehouse import Warehouse
 
-CHANGES_SHOWN = 20
+CHANGES_SHOWN, OWNERS_SHOWN = 20, 20
 CSV_FRAMES = (
     "missing_tags", "missing_description", "missing_extent", "stale_items", "broken_services", "owner_summary",
 )
@@ -24,15 +24,15 @@ _CHANGE_COLUMNS = ("item_id", "title", "owner", "item_type", "change_type")
 
 
 def report_frames(
-    items: DataFrame,
+    rows: DataFrame,
     scores: DataFrame,
     health: DataFrame,
     history: DataFrame,
     runs: DataFrame,
     run_id: str,
-    as_of: datetime | str,
 ) -> dict[str, DataFrame]:
-    """Every section of the report. Totals and issue lists cover all items, scores and checks the run.
+    """Every section of the report. ``rows`` are those of :func:`section_rows`: totals and lists cover all items, scores and
+    checks the run.
 
     ``changes`` has no rows when no run started before this one.
     """
@@ -40,14 +40,11 @@ def report_frames(
     changes = HI.changes_of_run(history.filter(earlier_runs > 0), run_id, CHANGES_SHOWN)
     return {
         "run": run_by_id(runs, run_id),
-        "snapshot_summary": issues.snapshot_summary(items, scores, health, run_id),
+        "snapshot_summary": issues.run_summary(section(rows, "totals"), scores, health, run_id),
         "quality_stats": S.quality_stats(scores, run_id),
-        "missing_tags": issues.missing_tags(items),
-        "missing_description": issues.missing_description(items),
-        "missing_extent": issues.missing_extent(items),
-        "stale_items": issues.stale_items(items, as_of),
-        "broken_services": H.broken_services(items, health, run_id).select(*_BROKEN_COLUMNS),
-        "owner_summary": issues.owner_summary(items, as_of),
+        **{name: section(rows, name) for name in LISTS if name != "broken_services"},
+        "broken_services": section(rows, "broken_services").select(*_BROKEN_COLUMNS),
+        "owner_summary": section(rows, "owner_summary", OWNERS_SHOWN),
         "changes": changes.select(*_CHANGE_COLUMNS),
     }
 
@@ -62,26 +59,24 @@ def generate_report(
     """Report of a run, the latest by default.
 
     Returns ``ok`` with the written paths, or ``ok`` false and the error. ``verify_only`` computes
-    every frame and writes no file.
+    every frame and writes no file. Otherwise the items are read once: the rows of all sections are written as one table, in a
+    directory per section, and the lists are made from there.
     """
     runs = warehouse.runs()
     chosen = run_by_id(runs, run_id) if run_id else HI.latest_run(runs)
     head = chosen.select("run_id", report_base_name(F.col("started_at"), F.col("run_id")).alias("name")).first()
     if head is None:
         return {"ok": False, "error": f"Run ID {run_id} not found." if run_id else "No runs found."}
-    frames = report_frames(
-        warehouse.items_current(),
-        warehouse.quality_scores(head.run_id),
-        warehouse.health_checks(head.run_id),
-        warehouse.items_history(),
-        runs,
-        head.run_id,
-        as_of,
-    )
+    base = f"{out_dir.rstrip('/')}/{head.name}"
+    health = warehouse.health_checks(head.run_id)
+    rows = section_rows(warehouse.items_current(), health, head.run_id, as_of)
+    if not verify_only:
+        rows.write.mode("overwrite").partitionBy("section").parquet(f"{base}_sections")
+        rows = warehouse.spark.read.schema(rows.schema).parquet(f"{base}_sections")
+    frames = report_frames(rows, warehouse.quality_scores(head.run_id), health, warehouse.items_history(), runs, head.run_id)
     if verify_only:
         for frame in frames.values():
             frame.write.format("noop").mode("overwrite").save()
         return {"ok": True, "verified": True, "run_id": head.run_id}
-    base = f"{out_dir.rstrip('/')}/{head.name}"
     paths = [write_csv(frames[name], f"{base}_{name}") for name in CSV_FRAMES]
     return {"ok": True, "run_id": head.run_id, "csv_paths": paths, "frames": frames}

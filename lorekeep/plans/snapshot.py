@@ -8,9 +8,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from ..operators.current import upsert_current
+from ..operators.current import replace_rows
 from ..operators.health import Fetch, classify_probes, http_fetch, probe_items
-from ..operators.history import apply_batch
+from ..operators.history import advance
 from ..operators.normalize import scan_items, staged_items
 from ..operators.scores import score_items
 from ..sources.warehouse import Warehouse, as_datetime
@@ -44,13 +44,15 @@ def run_snapshot(
     when the work is done. Errors are raised, and leave the published
     tables as they were.
     """
-    if warehouse.is_published(run_id):
+    opened_at, published = warehouse.run_state(run_id)
+    if published:
         return False
-    started_at = warehouse.opened_at(run_id) or started_at
+    started_at = opened_at or started_at
     latest = warehouse.latest_published()
     if latest is not None and as_datetime(started_at) <= latest[1]:
         raise ValueError(f"run {run_id} starts at {started_at}, not after run {latest[0]} at {latest[1]}")
-    warehouse.open_run(run_id, started_at, **options.details)
+    if opened_at is None:
+        warehouse.open_run(run_id, started_at, **options.details)
 
     # The raw text is read and parsed once, into a staged table that holds accepted and rejected rows.
     # The batch feeds four tables. Written once, it is read back from shared storage: its lineage
@@ -63,12 +65,14 @@ def run_snapshot(
     warehouse.write_version("rejects", run_id, parsed.filter("reason IS NOT NULL").select("raw", "seq", "reason"))
 
     tables: list[str] = []
-    if not batch.isEmpty():
-        warehouse.write_version("items_current", run_id, upsert_current(warehouse.items_current(), batch))
+    touched = warehouse.touched(batch)
+    if touched:
+        # Only the buckets that hold an item of the batch are read, joined and written anew.
+        warehouse.write_bucketed("items_current", run_id, replace_rows(warehouse.items_current(touched), batch))
         tables.append("items_current")
         if options.enable_history:
-            history = apply_batch(warehouse.open_versions(), batch, run_id, started_at)
-            warehouse.write_version("items_history", run_id, history, "is_current")
+            versions = advance(warehouse.open_versions(touched), batch, run_id, started_at)
+            warehouse.write_bucketed("items_history", run_id, versions, "is_current")
             tables.append("items_history")
         if options.enable_scores:
             warehouse.write_children("quality_scores", run_id, score_items(batch, run_id, started_at))
@@ -77,5 +81,5 @@ def run_snapshot(
             probes = probe_items(batch, options.fetch, options.probe_partitions)
             warehouse.write_children("health_checks", run_id, classify_probes(probes, run_id, started_at))
             tables.append("health_checks")
-    warehouse.publish(run_id, started_at, finished_at() if callable(finished_at) else finished_at, tables)
+    warehouse.publish(run_id, started_at, finished_at() if callable(finished_at) else finished_at, tables, touched)
     return True

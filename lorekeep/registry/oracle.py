@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.fixtures import AS_OF, EARLIER_RUN, RUN
+from .queries import PART_BYTES, PREDICATES
 
 _AS_OF = f"TIMESTAMP '{AS_OF}'"
 
@@ -118,6 +119,26 @@ features AS (
          CASE WHEN c_custkey % 29 <> 0 THEN CAST((c_custkey * 53) % 180 - 90 AS DOUBLE) END AS y
   FROM customer)"""
 
+_REFUSED = (
+    "function reflect is not allowed", "function java_method is not allowed", "function from_json is not allowed",
+    "subqueries are not allowed", "subqueries are not allowed", "column secret is not known", "function exists is not allowed",
+    "function rand is not allowed", "function count is not allowed", "the predicate is not true or false",
+    "the predicate cannot be read",
+)
+
+
+def _predicate_counts() -> str:
+    parts, quoted = [], lambda text: "'" + text.replace("'", "''") + "'"
+    n = len(PREDICATES) - len(_REFUSED)
+    for k, where in enumerate(PREDICATES):
+        head = f"SELECT {k} AS where_no, {quoted(where)} AS predicate, "
+        if k < n:
+            parts.append(f"{head}TRUE AS accepted, NULL AS reason, item_id, count(*) FILTER ({where}) AS matching FROM features GROUP BY item_id")
+        else:
+            parts.append(f"{head}FALSE, {quoted(_REFUSED[k - n])}, NULL, NULL")
+    return " UNION ALL ".join(parts)
+
+
 _SHIFTED = f"""{_FEATURES},
 shifted AS (
   SELECT * REPLACE (CASE WHEN item_id IN ('svc_4', 'svc_9') AND feature_id % 2 = 0 THEN x * 1000 ELSE x END AS x)
@@ -390,6 +411,32 @@ def _kept(name: str) -> str:
     return f"CASE WHEN n.item_id LIKE '%7' OR n.item_id LIKE '%5' OR n.{name} IS NULL THEN o.{name} ELSE n.{name} END AS {name}"
 
 
+def _sections() -> str:
+    columns = ("item_id", "title", "owner", "modified_at", "checked_url", "status_code", "error_message")
+    counts = ("total_items", "missing_tags", "missing_description", "stale")
+
+    def rows(section: str, source: str, **values: str) -> str:
+        listed = ", ".join(f"{values.get(c, 'NULL')} AS {c}" for c in (*columns, *counts))
+        return f"SELECT '{section}' AS section, {listed} FROM {source}"
+
+    item = {"item_id": "i.item_id", "title": "i.title", "owner": "i.owner"}
+    sums = {
+        "total_items": "count(*)", "missing_tags": f"count(*) FILTER ({_NO_TAGS})",
+        "missing_description": f"count(*) FILTER ({_NO_DESCRIPTION})", "stale": f"count(*) FILTER ({_STALE})",
+    }
+    check = {c: f"h.{c}" for c in ("checked_url", "status_code", "error_message")}
+    return " UNION ALL ".join([
+        # The first one gives the types.
+        rows("broken_services", f"items i JOIN health h ON h.item_id = i.item_id AND h.run_id = '{RUN}' AND NOT h.ok", **item, **check),
+        rows("missing_tags", f"items i WHERE {_NO_TAGS}", **item),
+        rows("missing_description", f"items i WHERE {_NO_DESCRIPTION}", **item),
+        rows("missing_extent", f"items i WHERE {_NO_EXTENT}", **item),
+        rows("stale_items", f"items i WHERE {_STALE}", **item, modified_at="i.modified_at"),
+        rows("owner_summary", "items i GROUP BY i.owner", owner="i.owner", **sums),
+        rows("totals", "items i", **sums),
+    ])
+
+
 ORACLE: dict[str, str] = {
     "missing_tags": _issue(_NO_TAGS),
     "missing_tags_strict": _issue("tags_count = 0"),
@@ -398,6 +445,7 @@ ORACLE: dict[str, str] = {
     "missing_extent": _issue(_NO_EXTENT),
     "stale_items": _issue(_STALE, "item_id, title, owner, modified_at"),
     "broken_services": _BROKEN,
+    "report_one_pass": _with(_sections(), _ITEMS, _HEALTH),
     "health_classification": _with(
         "SELECT run_id, item_id, checked_url, ok, status_code, latency_ms, error_message, checked_at FROM health",
         _HEALTH,
@@ -554,6 +602,16 @@ ORDER BY item_id LIMIT 200""",
     ),
     "scd2_rebuild": _with("SELECT * FROM history", _HISTORY),
     "scd2_apply": _with("SELECT * FROM history", _HISTORY),
+    "change_feed": _with(
+        """, chosen AS (SELECT run_id, started_at FROM runs WHERE run_id IN ('run_200107', 'run_200108'))
+SELECT c.run_id, 'closed' AS change, h.* FROM chosen c JOIN history h ON h.valid_to = c.started_at
+UNION ALL
+SELECT c.run_id, CASE WHEN h.first_seen_run_id = c.run_id THEN 'opened' ELSE 'touched' END, h.* REPLACE (
+         CAST(NULL AS TIMESTAMP) AS valid_to, TRUE AS is_current, c.run_id AS last_seen_run_id)
+FROM chosen c JOIN seen s ON s.run_id = c.run_id JOIN history h
+  ON h.item_id = s.item_id AND h.valid_from <= c.started_at AND (h.valid_to IS NULL OR h.valid_to > c.started_at)""",
+        _HISTORY,
+    ),
     "change_report": _changes("run_199806", "o.first_seen_run_id <> 'run_199806'", "LIMIT 20"),
     "change_report_full": _changes("run_199806", "o.first_seen_run_id <> 'run_199806'"),
     "change_report_looking_back": _changes("run_199502", "o.first_seen_run_id < 'run_199502'"),
@@ -592,6 +650,8 @@ FROM scored WHERE type = 'Feature Layer' ORDER BY hit_no LIMIT 50""",
         _DOC_ITEMS,
     ),
     "search_scores": _with("SELECT id, title, quality_score FROM scored", _DOC_ITEMS),
+    "search_indexed": _with("SELECT id, title, quality_score FROM scored", _DOC_ITEMS),
+    "layer_where_checked": _with(_predicate_counts(), _FEATURES),
     "layer_row_counts": _with("SELECT * FROM counts", _COUNTS),
     "layer_row_total": _with(
         """SELECT item_id, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS total_count,
@@ -676,6 +736,17 @@ FROM (SELECT * FROM features WHERE layer_kind = 'layer' AND measure > 0
 GROUP BY item_id, layer_kind, layer_index""",
         _FEATURES,
     ),
+    "layer_preview_parts": _with(
+        f""", sized AS (
+  SELECT *, strlen(feature) + 1 AS bytes FROM (
+    SELECT item_id, layer_kind, layer_index, feature_id, {_GEOJSON} || ',"class_value":"' || class_value || '"}}}}' AS feature FROM features)),
+cut AS (
+  SELECT *, (sum(bytes) OVER (PARTITION BY item_id, layer_kind, layer_index ORDER BY feature_id) - 1) // {(PART_BYTES - 42) // 2} AS part FROM sized)
+SELECT item_id, layer_kind, layer_index, min(feature_id) AS first_feature, CAST(count(*) AS INTEGER) AS n_features,
+       '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY feature_id) || ']}}' AS geojson
+FROM cut GROUP BY item_id, layer_kind, layer_index, part""",
+        _FEATURES,
+    ),
     "layer_preview_status": _with(
         f""", head AS (
   SELECT *, row_number() OVER (PARTITION BY item_id, layer_index ORDER BY feature_id) AS rn
@@ -711,6 +782,15 @@ FROM shown_old o JOIN shown_new n ON n.item_id = o.item_id AND n.layer_index = o
         _FEATURES, _shown(10, "old"), _shown(30, "new"),
     ),
     "class_style_lookup": _with("SELECT * FROM styled", _STYLED),
+    "class_style_composite": _with(
+        """SELECT feature_id, item_id, layer_index,
+       CASE WHEN red IS NOT NULL THEN printf('#%02x1428', CAST(red AS INTEGER)) END AS fill_color,
+       CASE WHEN red IS NULL THEN 'black' ELSE '#000009' END AS color, CAST(CASE WHEN red IS NOT NULL THEN 3 END AS DOUBLE) AS weight,
+       CAST(CASE WHEN red IS NOT NULL THEN 1 END AS DOUBLE) AS fill_opacity, CAST(CASE WHEN red IS NOT NULL THEN 1 END AS DOUBLE) AS opacity
+FROM (SELECT *, CASE WHEN layer_index < 2 THEN CAST(substr(item_id, 5) AS INTEGER)
+        + 10 * (list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE'], class_value) - 1) END AS red FROM features)""",
+        _FEATURES,
+    ),
     "style_diversity": _with(
         """SELECT item_id, layer_index, count(DISTINCT fill_color) AS n_colors,
        coalesce(string_agg(DISTINCT fill_color, ',' ORDER BY fill_color), '') AS colors

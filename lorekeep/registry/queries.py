@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import predicates
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import current, health, history, issues, layers, normalize, remediation, scores, search
-from ..operators import symbology, watchlist
+from ..operators import sections, symbology, watchlist
 from ..plans.dashboard import dashboard_frames
-from ..schemas import ITEMS_HISTORY
+from ..plans.snapshot import SnapshotOptions, run_snapshot
 from ..sources import fixtures as fx
+from ..sources import exports
+from ..sources import buckets as layout
 from ..sources.driver_tables import table
 from ..sources.fixtures import AS_OF, RUN
+from ..sources.footers import row_count
+from ..sources.scratch import scratch_folder
+from ..sources.warehouse import Warehouse
+
+# The test tables are small; a catalog of billions of items has thousands of buckets.
+BUCKETS = 8
+read_buckets = partial(layout.read_buckets, buckets=BUCKETS)
+touched_buckets = partial(layout.touched_buckets, buckets=BUCKETS)
+write_buckets = partial(layout.write_buckets, buckets=BUCKETS)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,6 +136,12 @@ for _name in ("missing_tags", "missing_description", "missing_extent", "stale_it
     _dashboard(_name)
 
 
+@query
+def report_one_pass(spark, d):
+    """The rows of all sections of a report that look at items."""
+    return sections.section_rows(fx.catalog_items(spark, d), _health(spark, d), RUN, AS_OF)
+
+
 @query
 def item_scan(spark, d):
     return normalize.scan_items(
@@ -146,7 +164,9 @@ def quality_stats(spark, d):
 
 @query
 def snapshot_summary(spark, d):
-    return issues.snapshot_summary(fx.catalog_items(spark, d), _scores(spark, d), _health(spark, d), RUN)
+    """All items are counted from the footers of their files."""
+    totals = row_count(spark, f"{d}/orders.parquet", name="total_items")
+    return issues.run_summary(totals, _scores(spark, d), _health(spark, d), RUN)
 
 
 # --- remediation -------------------------------------------------------------------------------
@@ -154,7 +174,13 @@ def snapshot_summary(spark, d):
 
 @query
 def remediation_base(spark, d):
-    return _base(spark, d)
+    """Items, scores and checks in the same buckets of the item: the joins shuffle nothing."""
+    frames = {"items": fx.catalog_items(spark, d), "scores": _scores(spark, d), "health": _health(spark, d)}
+    root, stored = scratch_folder(spark, "by_item"), {}
+    for name, rows in frames.items():
+        write_buckets(rows, f"{root}/{name}")
+        stored[name] = read_buckets(spark, f"{root}/{name}", {b: "" for b in range(BUCKETS)}, rows.schema, complete=False)
+    return remediation.remediation_base(*stored.values(), RUN, one_per_item=True)
 
 
 @query
@@ -309,26 +335,30 @@ def snapshot_chain(spark, d):
     raw = fx.raw_items(spark, d)
     edit = F.regexp_replace("raw", '"access":"public"', '"access":"org"')
     edits = raw.filter("seq % 3 = 0").select(edit.alias("raw"), (F.col("seq") + 1_000_000_000).alias("seq"))
-    kept = ["title", "owner"]
-    names = ["item_id", "content_hash", "valid_from", "valid_to", "is_current", *kept, "first_seen_run_id", "last_seen_run_id"]
-    versions = spark.createDataFrame([], StructType([ITEMS_HISTORY[n] for n in names]))
-    items = None
+    warehouse = Warehouse(spark, scratch_folder(spark, "warehouse"), buckets=BUCKETS)
+    options = SnapshotOptions(query="true", enable_scores=False, enable_health=False)
     for run, start, rows in (("first", "2024-05-01 00:00:00", raw), ("second", "2024-06-01 00:00:00", raw.unionByName(edits))):
-        seen = normalize.normalize_items(rows, run, start, carry=("seq",))
-        batch = normalize.scan_items(seen, "true", last_wins=("seq", "content_hash")).drop("seq")
-        versions = history.apply_batch(versions, batch, run, start, kept)
-        items = batch if items is None else current.upsert_current(items, batch)
-    scored = scores.score_items(items, "second", AS_OF).select("item_id", "score")
-    return versions.drop("owner").join(scored, "item_id")
+        run_snapshot(warehouse, rows, run, start, start, options)
+    scored = scores.score_items(warehouse.items_current(), "second", AS_OF).select("item_id", "score")
+    names = ("item_id", "content_hash", "title", "valid_from", "valid_to", "is_current", "first_seen_run_id", "last_seen_run_id")
+    return warehouse.items_history().select(*names).join(scored, "item_id")
 
 
 @query
 def upsert_current(spark, d):
+    """One batch over a table in buckets: those the batch touches are read, joined and written anew."""
     seen = fx.observations(spark, d)
     even = F.substring("run_id", -1, 1).cast("int") % 2 == 0
     older = current.last_in_batch(seen.filter(~even), "observed_at")
     batch = current.last_in_batch(seen.filter(even), "observed_at")
-    return current.upsert_current(older, batch)
+    root = scratch_folder(spark, "items_current")
+    live = {}
+    for run, rows in (("older", older), ("batch", batch)):
+        touched = touched_buckets(rows)
+        old = read_buckets(spark, root, {b: live[b] for b in touched if b in live}, rows.schema)
+        write_buckets(current.replace_rows(old, rows), f"{root}/as_of_run={run}")
+        live |= {b: f"as_of_run={run}" for b in touched}
+    return read_buckets(spark, root, live, batch.schema)
 
 
 @query
@@ -339,20 +369,46 @@ def scd2_rebuild(spark, d):
 LAST_RUNS = ("run_200106", "run_200107", "run_200108")
 
 
-@query
-def scd2_apply(spark, d):
-    """The last three runs applied one by one to the history before them."""
+def _applied(spark, d):
+    """The last three runs applied one by one to the history before them, in buckets: the folder of all that was written, the
+    schema, and the run that holds each bucket's open versions."""
     seen, runs = _versions_input(spark, d), fx.run_log(spark, d)
     starts = {
         r.run_id: r.started_at
         for r in runs.filter(F.col("run_id").isin(*LAST_RUNS)).limit(len(LAST_RUNS)).collect()
     }
-    out = history.rebuild(seen.filter(~F.col("run_id").isin(*LAST_RUNS)), runs, ["content"])
+    before = history.rebuild(seen.filter(~F.col("run_id").isin(*LAST_RUNS)), runs, ["content"])
+    root = scratch_folder(spark, "items_history")
+    write_buckets(before, f"{root}/as_of_run=before", "is_current")
+    live = {b: "before" for b in touched_buckets(before)}
     for run in LAST_RUNS:
-        out = history.apply_batch(
-            out, seen.filter(F.col("run_id") == run), run, starts[run], ["content"]
-        )
-    return out
+        batch = seen.filter(F.col("run_id") == run)
+        touched = touched_buckets(batch)
+        opened = _open(spark, root, {b: live[b] for b in touched if b in live}, before.schema)
+        write_buckets(history.advance(opened, batch, run, starts[run], ["content"]), f"{root}/as_of_run={run}", "is_current")
+        live |= {b: run for b in touched}
+    return root, before.schema, live
+
+
+def _open(spark, root, live, schema):
+    folders = {b: f"as_of_run={run}/is_current=true" for b, run in live.items()}
+    return read_buckets(spark, root, folders, schema).withColumn("is_current", F.lit(True))
+
+
+@query
+def scd2_apply(spark, d):
+    root, schema, live = _applied(spark, d)
+    closed = spark.read.schema(schema).parquet(root).filter("NOT is_current").select(*schema.names)
+    return _open(spark, root, live, schema).unionByName(closed)
+
+
+@query
+def change_feed(spark, d):
+    """What the last two runs opened, closed and saw again, from what they wrote."""
+    root, schema, _ = _applied(spark, d)
+    reader = spark.read.schema(StructType([*schema, StructField("as_of_run", StringType())])).option("basePath", root)
+    written = reader.parquet(*[f"{root}/as_of_run={run}" for run in LAST_RUNS[1:]])
+    return history.feed(written.select("as_of_run", *schema.names))
 
 
 @query
@@ -442,6 +498,15 @@ def search_scores(spark, d):
     return search.score_hits(hits).select("id", "title", "quality_score")
 
 
+@query
+def search_indexed(spark, d):
+    """The same hits by way of an index, which is written first."""
+    items = fx.document_items(spark, d)
+    index = search.write_postings(items, scratch_folder(spark, "postings"))
+    hits = search.search_indexed(items, index, SEARCH_TERM, None, max_items=None)
+    return search.score_hits(hits).select("id", "title", "quality_score")
+
+
 # --- layers ------------------------------------------------------------------------------------
 
 WHERE = "measure > 0"
@@ -466,6 +531,33 @@ def layer_counts_displayed(spark, d):
     return layers.displayed_counts(_layer_counts(spark, d))
 
 
+PREDICATES = (
+    "measure > 0",
+    "class_value IN ('BUILDING', 'MACHINERY') AND NOT layer_index = 1",
+    "lower(class_value) LIKE 'h%' OR feature_id BETWEEN 10 AND 20",
+    "x IS NOT NULL AND abs(x) + abs(y) < 90",
+    "coalesce(y, 0) >= 45 AND length(class_value) > 8",
+    "substring(class_value, 1, 2) = 'AU' AND measure / 2 - 1 < 100 % 7",
+    "reflect('java.lang.System', 'getProperty', 'user.home') = '/root'",
+    "java_method('java.util.UUID', 'randomUUID') IS NOT NULL",
+    "from_json('1', schema_of_json(reflect('java.lang.System', 'getProperty', 'user.home'))) IS NULL",
+    "measure > (SELECT avg(c_acctbal) FROM customer)",
+    "EXISTS (SELECT 1)",
+    "secret = 1",
+    "exists(array(measure), v -> v > 0)",
+    "rand() < 0.5",
+    "count(*) > 1",
+    "measure + 1",
+    "measure >",
+)
+
+
+@query
+def layer_where_checked(spark, d):
+    """Users' predicates over all features: counts of the accepted ones, reasons of the refused ones."""
+    return layers.predicate_counts(fx.layer_features(spark, d), PREDICATES)
+
+
 def _service_url(n):
     return F.concat(F.lit("https://svc.example.org/"), n, F.lit("/FeatureServer"))
 
@@ -558,6 +650,16 @@ def layer_preview_documents(spark, d):
     return layers.feature_collections(layers.as_geojson(shown, ["feature_id"]))
 
 
+PART_BYTES = 4000
+
+
+@query
+def layer_preview_parts(spark, d):
+    """Whole layers as documents of bounded size."""
+    features = layers.as_geojson(fx.layer_features(spark, d), ["feature_id", "class_value"])
+    return exports.feature_parts(features, scratch_folder(spark, "features"), PART_BYTES)
+
+
 @query
 def layer_preview_status(spark, d):
     return layers.preview_status(
@@ -599,6 +701,13 @@ def class_style_lookup(spark, d):
     return styled.select("feature_id", "item_id", "layer_index", *symbology.STYLE)
 
 
+@query
+def class_style_composite(spark, d):
+    """Classes that two or three attributes name together."""
+    styled = symbology.style_features(fx.layer_features(spark, d), fx.composite_renderers(spark, d), {"color": "black"})
+    return styled.select("feature_id", "item_id", "layer_index", *symbology.STYLE)
+
+
 @query
 def style_diversity(spark, d):
     styled = symbology.style_features(

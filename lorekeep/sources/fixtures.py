@@ -153,6 +153,26 @@ def layer_renderers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def composite_renderers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renderers whose classes are named by two attributes with a delimiter of their own (layer 0), or by three (layer 1)."""
+    two = '"field2":"layer_index","fieldDelimiter":" / "'
+    three = '"field2":"layer_index","field3":"layer_kind"'
+
+    def info(k: int, segment: str) -> str:
+        value = f"CASE WHEN layer_index = 0 THEN '{segment} / 0' ELSE '{segment},1,layer' END"
+        symbol = f"""concat('{{"color":[', n_nationkey + {10 * k}, ',20,40],"outline":{{"color":[0,0,9],"width":3}}}}')"""
+        return f"""concat('{{"value":"', {value}, '","symbol":', {symbol}, '}}')"""
+
+    infos = ", ".join(info(k, segment) for k, segment in enumerate(SEGMENTS[:3]))
+    rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "explode(array(0, 1)) AS layer_index")
+    return rows.selectExpr(
+        "concat('svc_', n_nationkey) AS item_id",
+        "layer_index",
+        f"""concat('{{"type":"uniqueValue","field1":"class_value",', CASE WHEN layer_index = 0 THEN '{two}' ELSE '{three}' END,
+            ',"uniqueValueInfos":[', concat_ws(',', {infos}), ']}}') AS renderer""",
+    )
+
+
 def watch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save and remove actions, ordered by ``seq``."""
     return table(spark, sf_dir, "events").selectExpr(

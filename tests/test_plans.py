@@ -1,6 +1,7 @@
 """Physical plans: what reaches the scan, what is shuffled, and how hot keys are treated."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -12,6 +13,9 @@ from lorekeep.operators import normalize as N
 from lorekeep.operators import watchlist as W
 from lorekeep.operators.rows import first_rows, left_join_fanout
 from lorekeep.registry.queries import QUERIES
+from lorekeep.schemas import ITEMS_HISTORY
+from lorekeep.sources import exports
+from lorekeep.sources.footers import row_count
 from lorekeep.sources.warehouse import Warehouse
 
 
@@ -60,22 +64,60 @@ def test_run_scope_reads_one_directory(spark, tmp_path):
         )
         w.open_run(f"r{n}", at)
         w.write_children("quality_scores", f"r{n}", rows)
-        w.publish(f"r{n}", at, at, ["quality_scores"])
+        w.publish(f"r{n}", at, at, ["quality_scores"], w.touched(rows))
     one = w.quality_scores("r1")
     assert one.count() == 5 and w.quality_scores().count() == 15
-    assert re.search(r"PartitionFilters: \[[^\]]*run_id#\d+ = r1", plan(one))
+    assert {re.search(r"run_id=(\w+)", f)[1] for f in one.inputFiles()} == {"r1"}
+    assert w.quality_scores("r9").isEmpty()
 
 
 def test_open_versions_skip_closed_files(spark, tmp_path):
-    w = Warehouse(spark, str(tmp_path))
-    from lorekeep.schemas import ITEMS_HISTORY
-
-    rows = spark.createDataFrame([], ITEMS_HISTORY)
+    w = Warehouse(spark, str(tmp_path), buckets=4)
     at = dt.datetime(2024, 1, 1)
+    rows = spark.range(40).select(
+        F.col("id").cast("string").alias("item_id"), (F.col("id") % 2 == 0).alias("is_current"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in ITEMS_HISTORY if f.name not in ("item_id", "is_current")],
+    )
     w.open_run("r0", at)
-    w.write_version("items_history", "r0", rows, "is_current")
-    w.publish("r0", at, at, ["items_history"])
-    assert w.open_versions().isEmpty()
+    w.write_bucketed("items_history", "r0", rows, "is_current")
+    w.publish("r0", at, at, ["items_history"], w.touched(rows))
+    assert {f.split("is_current=")[1].split("/")[0] for f in w.open_versions().inputFiles()} == {"true"}
+    assert (w.open_versions().count(), w.closed_versions().count()) == (20, 20)
+    assert w.items_history().count() == 40
+
+
+def test_joins_of_buckets_shuffle_nothing(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["remediation_base"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("SortMergeJoin") == 2 and "Exchange" not in text
+
+
+def test_totals_are_counted_from_footers(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).write.parquet(path)
+    counted = row_count(spark, path, path)
+    assert "PushedAggregation: [COUNT(*)]" in plan(counted) and counted.first().n == 2000
+    assert row_count(spark).first().n == 0
+    assert "PushedAggregation: [COUNT(*)]" in plan(QUERIES["snapshot_summary"](spark, sf_dir))
+    assert "PushedAggregation" not in plan(spark.read.parquet(path).agg(F.count("*")))  # others read as before
+
+
+@pytest.mark.parametrize("limit", [400, 2000])
+def test_feature_parts(spark, tmp_path, limit):
+    """Every feature once, in order, no document above the limit unless of one feature; a hot layer in several parts."""
+    size = F.when(F.col("id") % 97 == 0, 1500).otherwise(F.col("id") % 50)
+    rows = spark.range(600).select(
+        F.when(F.col("id") < 500, "hot").otherwise(F.concat(F.lit("x"), F.col("id") % 3)).alias("item_id"), F.lit("layer").alias("layer_kind"),
+        F.lit(0).alias("layer_index"), F.col("id").alias("feature_id"), F.concat(F.lit('{"a":"'), F.repeat(F.lit("é"), size.cast("int")), F.lit('"}')).alias("feature"),
+    )
+    found = exports.feature_parts(rows.repartition(5), str(tmp_path / "sorted"), limit).collect()
+    features = [(r.item_id, f) for r in found for f in json.loads(r.geojson)["features"]]
+    assert sorted(map(str, features)) == sorted(str((r.item_id, json.loads(r.feature))) for r in rows.collect())
+    assert all(len(r.geojson.encode()) <= limit or r.n_features == 1 for r in found)
+    assert sum(r.item_id == "hot" for r in found) > 5 and len({(r.item_id, r.first_feature) for r in found}) == len(found)
 
 
 def test_owner_summary_is_one_partial_aggregate_and_a_top_k(spark, sf_dir):

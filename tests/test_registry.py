@@ -11,6 +11,11 @@ from lorekeep.registry.queries import QUERIES
 from lorekeep.sources.driver_tables import SCHEMAS
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    """Larger than elsewhere: the smallest tables hold too few rows for repeated requests and the like."""
+    return "/root/testdata/sf0.01"
+
 
 @pytest.fixture(scope="module")
 def database(sf_dir):

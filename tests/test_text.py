@@ -83,6 +83,12 @@ def test_reference_in_text(spark):
         " the /FeatureServer thing ": "the /FeatureServer thing",
         f" {VIEWER}url=x ": f"{VIEWER}url=x",
         "nothing": None,
+        "see (https://a.org/x/FeatureServer/12/MapServer/7x) and http://b.org/MapServer": "https://a.org/x/FeatureServer/12/MapServer/7",
+        "first/FeatureServer then\u00a0http://b.org/y/MapServer/": "http://b.org/y/MapServer",
+        "xhttps://a.org/FeatureServer/0?f=json": "https://a.org/FeatureServer/0",
+        f"id=short&id={item} x": item,
+        f"{item.upper()} id={item[:31]}": None,
+        None: None,
     }
     assert apply(spark, X.reference_in_text, list(cases)) == list(cases.values())
 
