@@ -23,5 +23,6 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set(BATCH_BYTES, min(BATCH, int(spark.conf.get(BATCH_BYTES, BATCH))))
+    if spark.conf.get(BATCH_BYTES, str(BATCH)) == str(BATCH):  # not set by the cluster
+        spark.conf.set(BATCH_BYTES, str(BATCH))
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
