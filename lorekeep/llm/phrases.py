@@ -273,9 +273,10 @@ def extend(words: int, persist: bool) -> Callable:
     return run
 
 
-def settled(dealt: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
-    """The frequent groups (id, lang, word, prev, last, count), and what each slice gets back (slice, found)."""
-    rows = dealt.repartition("bucket").sortWithinPartitions("bucket", "lang", "slice").mapInArrow(settle(minimum), SETTLED)
+def settled(dealt: DataFrame, buckets: int, minimum: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent groups (id, lang, word, prev, last, count), and what each slice gets back (slice, found). Each bucket
+    is a task."""
+    rows = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "lang", "slice").mapInArrow(settle(minimum), SETTLED)
     rows = staged(rows, "settled")
     frequent = rows.where("slice IS NULL").select("lang", "ids", "words", "prev", "last", "counts").mapInArrow(unpack, FREQUENT)
     found = rows.where("slice IS NOT NULL").groupBy("slice").agg(F.collect_list(F.struct("codes", "ids")).alias("found"))
@@ -341,7 +342,7 @@ def mine(
     relation = staged(rows.mapInArrow(read_words, WORDS), "occurrences")
     totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
     buckets = 1 + (relation.agg(F.sum("n")).first()[0] or 0) // PER_BUCKET
-    words, found = settled(relation.select("slice", "lang", "words", "counts").mapInArrow(deal_words(buckets), DEALT), minimum)
+    words, found = settled(relation.select("slice", "lang", "words", "counts").mapInArrow(deal_words(buckets), DEALT), buckets, minimum)
     relation = relation.select("slice", "places").join(found, "slice")
 
     none = F.array().cast("array<bigint>")
@@ -350,7 +351,7 @@ def mine(
     for k in range(1, max_words):
         persist = k + 1 < max_words
         relation = staged(relation.mapInArrow(extend(k, persist), GROUPS), "occurrences")
-        groups, found = settled(relation.select("slice", "prev", "last", "counts").mapInArrow(deal_groups(buckets), DEALT), minimum)
+        groups, found = settled(relation.select("slice", "prev", "last", "counts").mapInArrow(deal_groups(buckets), DEALT), buckets, minimum)
         if persist:
             relation = relation.select("slice", "places", "ids", "groups").join(found, "slice")
         level = next_level(groups, level, k == 1)
