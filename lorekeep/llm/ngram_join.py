@@ -46,6 +46,7 @@ from lorekeep.llm.worker import slices
 SIZE = 5
 BLOCK, PIVOTS = 128, 8
 MANY = np.uint32(0xFFFFFFFF)
+PER_BUCKET = 2_000_000  # shingles
 HANDED_BYTES = 16 << 20  # texts whose shingles a task settles at once
 SEEN = 100_000  # sets a task remembers as handed on
 SETS = "doc bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint"
@@ -307,8 +308,11 @@ def join_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of the classes that are linked with one of a smaller node. A class (node, doc, n, h1, h2) is one
     set; ``doc`` is one of the documents in ``docs`` (doc, text) that have it."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("text").mapInArrow(hand_out(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    # A bucket is a task, so buckets number with the shingles that are handed out.
+    shingle_count = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + shingle_count * 3 // 8 // PER_BUCKET)
+    packed = docs.select("text").mapInArrow(hand_out(buckets), PACKED)
+    packed = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     settled = packed.mapInArrow(settle_buckets(max(1, buckets // 4)), CREDITS).repartition("slot").sortWithinPartitions("slot")
     credit = settled.mapInArrow(add_credits, "h1 bigint, credit bigint")
     enough = "credit >= greatest(1, ((3 * n + 3) div 4) div 8)"
