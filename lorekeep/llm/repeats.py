@@ -43,6 +43,7 @@ GRAM = 64
 RUN_STARTS = 248
 KEY_LIMIT = 1000
 CHUNK_BYTES = 1_000_000
+PER_BUCKET = 2_000_000  # keys
 HANDED_BYTES = 16 << 20  # texts whose keys a task settles at once
 U = np.uint64
 
@@ -409,8 +410,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", minimu
     base = staged(hashed.select("id", "node", F.octet_length(F.col("text").cast("binary")).cast("long").alias("n_bytes"), "sha"), "texts")
     classes = base.groupBy("sha").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"))
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = keyed.select("text").mapInArrow(hand_out(buckets, minimum), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    # A bucket is a task, so buckets number with the keys: about two per stretch of windows with one least gram.
+    keys = 2 * (base.agg(F.sum("n_bytes")).first()[0] or 0) // max(1, minimum - min(GRAM, minimum) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + keys // PER_BUCKET)
+    packed = keyed.select("text").mapInArrow(hand_out(buckets, minimum), PACKED)
+    packed = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     owned = packed.mapInArrow(settle_buckets, "owner bigint, token bigint").groupBy("owner").agg(F.collect_set("token").alias("tokens"))
     owner = F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")
     wanted = staged(classes.withColumn("owner", owner).join(owned, "owner").select("sha", "node", "tokens"), "wanted")
