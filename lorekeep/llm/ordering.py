@@ -19,9 +19,10 @@ def order_key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST).cast("long"))
 
 
-def boundaries(rows: DataFrame, id_col: str, per_partition: int = 2) -> list[int]:
-    """Ascending cuts c1 < c2 < ...: range 0 is below c1, range k holds c_k <= id < c_(k+1)."""
-    n = per_partition * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def boundaries(rows: DataFrame, id_col: str, per_partition: int = 2, least: int = 1) -> list[int]:
+    """Ascending cuts c1 < c2 < ...: range 0 is below c1, range k holds c_k <= id < c_(k+1). There are ``per_partition`` ranges
+    for each shuffle partition, and at least ``least``."""
+    n = max(least, per_partition * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx(order_key(id_col), [k / n for k in range(1, n)], 100 * n).alias("cuts")).first()["cuts"]
     return sorted(set(cuts or ()))
 

@@ -33,6 +33,7 @@ from lorekeep.llm.tokens import encoder
 
 LENGTH = 2048
 BATCH = 64
+RANGE_BYTES = 64 << 20  # texts of a range of ids, which is a task and a file
 ENCODED = "block int, key bigint, doc_id bigint, ids binary"
 MANIFEST = "block int, documents bigint, tokens bigint, sequences bigint"
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -148,9 +149,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length:
     from tokenizers import Tokenizer
 
     kind = width(Tokenizer.from_file(tokenizer).get_vocab_size())
-    cuts = boundaries(docs, "doc_id", per_partition=1)
+    text_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cuts = boundaries(docs, "doc_id", per_partition=1, least=1 + text_bytes // RANGE_BYTES)
     encoded = docs.select("doc_id", "text").mapInArrow(encode_rows(tokenizer, end_id, cuts), ENCODED)
-    streams = encoded.repartition("block").sortWithinPartitions("block", "key", "ids")
+    streams = encoded.repartitionById(len(cuts) + 1, F.col("block")).sortWithinPartitions("block", "key", "ids")
 
     def write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, done = None, []
@@ -181,7 +183,9 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     The offsets of files are running sums over the table of files, a row per file.
     """
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    files = files_of(spark, folder).select("block", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    listed = files_of(spark, folder)
+    files = listed.select("block", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), (F.row_number().over(Window.orderBy("block")) - 1).alias("place"))
+    count = listed.count()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,4 +204,5 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.repartition("block").mapInArrow(read, DOCUMENTS)
+    # A task reads a file.
+    return files.repartitionById(max(1, count), F.col("place")).select("block", "base").mapInArrow(read, DOCUMENTS)
