@@ -2,6 +2,10 @@
 
 The bucket is Spark's own for bucketed tables, ``pmod(hash(item_id), n)``. A writer gives only the buckets it touched; readers
 get the directories that are live. They are read as a bucketed table, so a join by item_id shuffles the other side only.
+
+Spark knows buckets of catalog tables only, so a table is declared for the moment of reading or writing and dropped again (its
+files stay). Its location names all live directories; that is for Spark's own session catalog, as an external metastore may
+limit the length of a location.
 """
 
 from __future__ import annotations
@@ -60,7 +64,8 @@ def read_buckets(
     try:
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{location}'")
         rows = spark.table(name)
-        found = {path.rsplit("/", 1)[0].rsplit(f"{root.rsplit('/', 1)[-1]}/", 1)[-1] for path in rows.inputFiles()}
+        depth = folders[0].count("/") + 1
+        found = {"/".join(path.split("/")[-1 - depth : -1]) for path in rows.inputFiles()}
     finally:
         _dropped(spark, name)
     gone = set(folders) - found

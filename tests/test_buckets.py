@@ -81,6 +81,8 @@ def test_a_lost_bucket_is_an_error(spark, tmp_path):
     assert read_buckets(spark, str(tmp_path), live, rows.schema, buckets=4).count() == 100
     assert read_buckets(spark, str(tmp_path), {0: "as_of_run=a"}, rows.schema, buckets=4).count() < 100
     assert read_buckets(spark, str(tmp_path), {}, rows.schema, buckets=4).isEmpty()
+    write_buckets(rows, f"{tmp_path}/a/as_of_run=a", buckets=4)  # a folder and a run of one name
+    assert read_buckets(spark, f"{tmp_path}/a", live, rows.schema, buckets=4).count() == 100
     with pytest.raises(FileNotFoundError, match="as_of_run=b"):
         read_buckets(spark, str(tmp_path), live | {1: "as_of_run=b"}, rows.schema, buckets=4)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lorekeep_")]
