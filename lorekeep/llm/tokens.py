@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from os.path import commonprefix
 
 import numpy as np
 
@@ -51,8 +52,10 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        # What all of them begin with, as far as it has no case: most texts do not hold it.
+        self.mark = re.match(r"[^a-zA-Z]*", commonprefix(added))[0] if all(map(str.isascii, added)) else ""
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -89,7 +92,7 @@ class PieceEncoder(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
-        if self.added.search(text):
+        if self.mark in text and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), dtype=np.uint32)
 
