@@ -53,15 +53,15 @@ def random_texts(seed, n, length):
         yield "".join(w + MARKS[int(rng.integers(0, len(MARKS)))] for w in words)
 
 
-@pytest.mark.parametrize("slice_bytes, longest", [(8 << 20, 3), (300, 3), (300, 2), (1000, 4)])
-def test_equals_brute_force(spark, monkeypatch, slice_bytes, longest):
+@pytest.mark.parametrize("slice_bytes, per_bucket, longest, minimum, top", [(8 << 20, 10**6, 3, 10, 2000), (300, 200, 3, 3, 7), (1000, 500, 4, 3, 40)])
+def test_equals_brute_force(spark, monkeypatch, slice_bytes, per_bucket, longest, minimum, top):
     monkeypatch.setattr(phrases, "SLICE", slice_bytes)
+    monkeypatch.setattr(phrases, "PER_BUCKET", per_bucket)
     langs = ["en", "de", None, ""]
     rows = [(t, langs[k % 3 if k % 11 else 3]) for k, t in enumerate(random_texts(2, 150, 40))]
     rows += [rows[4]] * 12 + [(None, "en"), ("", "en"), ("...", "fr"), ("word", None), (" \t new york ", "en")]
     docs = spark.createDataFrame([(k, *r, None, "w", 1, 2) for k, r in enumerate(rows)], DOCS).repartition(3)
-    for minimum, top in ((10, 2000), (3, 7)):
-        assert got(phrases.mine(docs, minimum=minimum, max_words=longest, top=top)) == brute(rows, minimum, longest, top)
+    assert got(phrases.mine(docs, minimum=minimum, max_words=longest, top=top)) == brute(rows, minimum, longest, top)
 
 
 def test_odd_and_empty_tables(odd_docs, no_docs):
