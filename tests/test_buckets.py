@@ -98,8 +98,7 @@ def test_log_is_read_in_constant_time(spark, tmp_path):
     """After 500 runs one epoch is listed, and its directories stay few."""
     log = RunLog(spark, str(tmp_path), fold=20)
     for n in range(500):
-        row = spark.range(1).select(F.lit("runs").alias("table_name"), F.lit(f"r{n}").alias("run_id"), F.lit([n % 3]).alias("buckets"))
-        log.add(f"published-r{n}", row)
+        log.add(f"published-r{n}", spark.sql(f"SELECT 'runs' AS table_name, 'r{n}' AS run_id, array({n % 3}) AS buckets"))
         if n % 20 == 19:
             log.fold()
     assert log.entries().select("run_id").distinct().count() == 500
