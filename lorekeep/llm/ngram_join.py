@@ -41,7 +41,7 @@ from lorekeep.llm.ordering import LEAST, order_key
 from lorekeep.llm.shingles import shingles
 from lorekeep.llm.sketch import holds, sketch
 from lorekeep.llm.storage import staged
-from lorekeep.llm.worker import slices
+from lorekeep.llm.worker import forget, slices
 
 SIZE = 5
 BLOCK, PIVOTS = 128, 8
@@ -68,6 +68,7 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget("encoders")
     for batch in slices(batches, 2):
         docs, hashes, texts = batch.columns
         rows = [(len(s), *set_key(s)) for s in map(shingles, texts.to_pylist())]

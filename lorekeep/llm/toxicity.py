@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.worker import forget, trim
+
 SAMPLE_PER_CLASS = 10_000
 MAX_FEATURES = 20_000
 MIN_DOCUMENTS = 4
@@ -85,6 +87,7 @@ CHUNK_CHARS = 1_000_000
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of all trigrams of a task's texts; a row per trigram that occurs."""
     total = np.zeros(CODES**3, dtype=np.int64)
+    forget("encoders", "powers")
 
     def add(texts: list[str]) -> None:
         c = codes_of("  " + "  ".join(texts) + "  ").astype(np.int32)
@@ -325,6 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_c
 
 def evidence_rows(model: Model) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("encoders", "powers")
         of = Remembered(model.evidence_of_token)
         for batch in batches:
             found = [evidence(t, of) for t in batch.columns[0].to_pylist()]
@@ -340,9 +344,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget("encoders", "powers")
         known = Remembered(model.evidence_of_token)
         for batch in texts:
             yield batch.map(lambda t: model.score(*evidence(t, known)))
+        known.clear()
+        trim()
 
     return docs.withColumn(score_col, of(F.coalesce(F.col(text_col), F.lit(""))))
 

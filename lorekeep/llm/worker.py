@@ -6,6 +6,7 @@ pickled by reference to a module that executors need not have.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -22,6 +23,22 @@ def kept(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def trim() -> None:
+    """Give memory that nothing uses back to the system; workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call
+        pass
+
+
+def forget(*names: str) -> None:
+    """Drop what tasks of other stages kept in this process."""
+    for name in names:
+        kept(name).clear()
+    trim()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int | None = None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices whose values in ``column`` hold at most ``limit`` bytes, or one row. Memory that
     Arrow no longer uses goes back to the system at the end."""
@@ -38,4 +55,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | None = None, limit:
                 at, size = k, 0
             size += n
         yield batch.slice(at)
-    pa.default_memory_pool().release_unused()
+    trim()
