@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.storage import staged
-from lorekeep.llm.worker import slices
+from lorekeep.llm.worker import slices, trim
 
 MIN_COUNT = 10
 MAX_WORDS = 3
@@ -83,8 +83,8 @@ def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(words):
                 counts = np.bincount(places, minlength=len(words) + 1)[1:].astype("<u4")
                 listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-                arrays = [pa.array([v]) for v in (task << 32 | made, lang, int(counts.sum()), places.tobytes())]
-                yield pa.RecordBatch.from_arrays([*arrays, listed, pa.array([counts.tobytes()])], ["slice", "lang", "n", "places", "words", "counts"])
+                arrays = [pa.array([v]) for v in (task << 32 | made, lang, int(counts.sum()), packed(places))]
+                yield pa.RecordBatch.from_arrays([*arrays, listed, pa.array([packed(counts)])], ["slice", "lang", "n", "places", "words", "counts"])
                 made += 1
 
     for batch in slices(batches, 1):
@@ -94,7 +94,10 @@ def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= SLICE:
             yield from rows()
             held, size = {}, 0
+            trim()
     yield from rows()
+    held.clear()
+    trim()
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -115,8 +118,17 @@ def lists_of(column: Sequence[pa.Array | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=empty), pa.concat_arrays(some))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array as it travels and is stored: its size in bytes, then its compressed bytes. Codes, ids and counts shrink to a
+    fraction, and rows of several MB would be most of an executor's memory."""
+    data = np.ascontiguousarray(values)
+    return data.nbytes.to_bytes(8, "little") + pa.compress(pa.py_buffer(data), codec="zstd", asbytes=True)
+
+
 def numbers(data: bytes, kind: str = "<i8") -> np.ndarray:
-    return np.frombuffer(data, dtype=kind)
+    """What :func:`packed` was given."""
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(memoryview(data)[8:], size, "zstd", asbytes=True), dtype=kind)
 
 
 def in_buckets(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -136,10 +148,11 @@ def deal_words(buckets: int) -> Callable:
                 words, counts = words.values, numbers(counts.as_py(), "<u4")
                 bucket = np.fromiter((crc32(w.encode()) for w in words.to_pylist()), dtype=np.int64, count=len(words)) % buckets
                 rows = [
-                    (b, number.as_py(), lang.as_py(), (at + 1).astype("<u4").tobytes(), words.take(pa.array(at)), None, None, counts[at].tobytes())
+                    (b, number.as_py(), lang.as_py(), packed((at + 1).astype("<u4")), words.take(pa.array(at)), None, None, packed(counts[at]))
                     for b, at in in_buckets(bucket, buckets)
                 ]
                 yield batch_of(rows, DEALT)
+        trim()
 
     return run
 
@@ -155,10 +168,11 @@ def deal_groups(buckets: int) -> Callable:
                 mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
                 bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
                 rows = [
-                    (b, number.as_py(), None, (at + 1).astype("<u4").tobytes(), None, prev[at].tobytes(), last[at].tobytes(), counts[at].tobytes())
+                    (b, number.as_py(), None, packed((at + 1).astype("<u4")), None, packed(prev[at]), packed(last[at]), packed(counts[at]))
                     for b, at in in_buckets(bucket, buckets)
                 ]
                 yield batch_of(rows, DEALT)
+        trim()
 
     return run
 
@@ -210,16 +224,17 @@ def settle(minimum: int) -> Callable:
             if first is None:
                 columns = (every.dictionary.take(pa.array(frequent)), None, None)
             else:
-                columns = (None, prev[first[frequent]].tobytes(), last[first[frequent]].tobytes())
-            yield batch_of([(None, lang, None, ids[frequent].tobytes(), *columns, total[frequent].tobytes())], SETTLED)
+                columns = (None, packed(prev[first[frequent]]), packed(last[first[frequent]]))
+            yield batch_of([(None, lang, None, packed(ids[frequent]), *columns, packed(total[frequent]))], SETTLED)
             rows, at = [], 0
             for r in held:
                 codes = numbers(r["codes"].as_py(), "<u4")
                 own = ids[group[at : at + len(codes)]]
                 at += len(codes)
                 if own.any():
-                    rows.append((r["slice"].as_py(), None, codes[own > 0].tobytes(), own[own > 0].tobytes(), None, None, None, None))
+                    rows.append((r["slice"].as_py(), None, packed(codes[own > 0]), packed(own[own > 0]), None, None, None, None))
             yield batch_of(rows, SETTLED)
+        trim()
 
     return run
 
@@ -267,8 +282,9 @@ def extend(words: int, persist: bool) -> Callable:
                 if persist:
                     new[at] = code + 1
                 prev, after = first[joined // (len(last) + 1)], last[joined % (len(last) + 1)]
-                kept = (places.tobytes(), ids.tobytes(), new.tobytes()) if persist else (None, None, None)
-                yield batch_of([(row["slice"].as_py(), *kept, prev.tobytes(), after.tobytes(), counts.astype("<u4").tobytes())], GROUPS)
+                kept = (packed(places), packed(ids), packed(new)) if persist else (None, None, None)
+                yield batch_of([(row["slice"].as_py(), *kept, packed(prev), packed(after), packed(counts.astype("<u4")))], GROUPS)
+                trim()
 
     return run
 

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorekeep.llm import phrases
@@ -81,3 +82,28 @@ def test_scores_beyond_64_bits(spark):
     a, l, r = 3 * 10**14 + 7, 9 * 10**14 + 1, 10**15 + 3
     df = spark.createDataFrame([(a, l, r)], "a bigint, l bigint, r bigint")
     assert df.select(phrases.score(df.a, df.l, df.r)).first()[0] == 10**6 * a * a // (l * r)
+
+
+@pytest.mark.parametrize("kind", ["<u4", "<i8"])
+@pytest.mark.parametrize("size", [0, 1, 100_000])
+def test_packed_arrays_come_back(kind, size):
+    values = np.random.default_rng(size).integers(0, 1 << 31, size).astype(kind)
+    assert np.array_equal(phrases.numbers(phrases.packed(values), kind), values)
+
+
+def test_relations_are_small(monkeypatch):
+    """Rows with the occurrences of a slice and its groups hold far less than the arrays they stand for."""
+    monkeypatch.setattr(phrases.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    words = [f"word{k}" for k in range(3000)]
+    picked = np.random.default_rng(1).zipf(1.3, 300_000) % 3000
+    texts = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(words[k] for k in picked)]})
+    row = next(phrases.read_words(iter([texts])))
+    size = lambda batch, *names: sum(len(batch.column(c)[0].as_py()) for c in names)
+    assert size(row, "places") < 0.5 * 4 * len(picked)
+    codes = np.arange(1, len(row.column("words")[0].as_py()) + 1, dtype="<u4")
+    found = [{"codes": phrases.packed(codes), "ids": phrases.packed(codes.astype("<i8"))}]
+    slices = pa.RecordBatch.from_arrays([row.column("slice"), row.column("places"), pa.array([found])], ["slice", "places", "found"])
+    pairs = next(phrases.extend(1, True)(iter([slices])))
+    groups = len(phrases.numbers(pairs.column("prev")[0].as_py()))
+    assert size(pairs, "places", "groups") < 0.6 * 8 * len(picked)
+    assert size(pairs, "prev", "last", "counts") < 0.3 * 20 * groups
