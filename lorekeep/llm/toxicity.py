@@ -24,6 +24,8 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,7 @@ REMEMBERED = 150_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 END, OTHER = 0, len(ALPHABET) + 1
 CODES = len(ALPHABET) + 2
+STATES = CODES**2
 CODE = {c: k for k, c in enumerate(ALPHABET, 1)}
 
 # What a sign may stand for.
@@ -60,7 +63,6 @@ PART_CHARS = 64  # longer tokens are decoded part by part
 OUTER_OPEN, OUTER_CLOSE = "([{<\"'“‘«*_~", ")]}>\"'”’»*_~.,;:?!"
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}[.,;:?!]*(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
-DOUBLED = re.compile(r"(.)\1")
 PARTED = re.compile(r"[.\-_~'’·•,/\\:;|]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -138,33 +140,77 @@ def options(char: str, times: int) -> list[tuple[str, float]]:
     return found or [("", 4.0)]
 
 
-def decode(token: str, log_p: np.ndarray) -> str:
-    """The likeliest word behind a token: Viterbi over its lattice, states are the last two letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(END, END): (0.0, "")}
-    at = 0
-    while at < len(token):
-        end = at + 1
-        while end < len(token) and token[end] == token[at]:
+class Channel:
+    """A language model as plain numbers, which are read faster one by one, and the options of runs with their codes."""
+
+    def __init__(self, log_p: np.ndarray):
+        self.log_p = log_p.ravel().tolist()
+        self.options = Remembered(coded_options, 10_000)
+
+
+def coded_options(run: str) -> list[tuple[str, list[int], float]]:
+    """(letters, their codes, cost) of a run; longer ones than three characters have the options of three."""
+    return [(letters, [CODE.get(c, OTHER) for c in letters], cost) for letters, cost in options(run[0], len(run))]
+
+
+def channel_of(log_p: np.ndarray | Channel) -> Channel:
+    return log_p if isinstance(log_p, Channel) else Channel(log_p)
+
+
+def decode(token: str, log_p: np.ndarray | Channel) -> str:
+    """The likeliest word behind a token: Viterbi over its lattice, states are the last two letters (as one number)."""
+    channel = channel_of(log_p)
+    log_p, runs = channel.log_p, channel.options
+    states: dict[int, tuple[float, str]] = {}
+    one, total, at, size = END * CODES + END, 0.0, 0, len(token)
+    path: list[str] = []
+    while at < size:
+        char, end = token[at], at + 1
+        while end < size and token[end] == char:
             end += 1
-        onward: dict[tuple[int, int], tuple[float, str]] = {}
-        for letters, cost in options(token[at], end - at):
-            for (a, b), (score, word) in states.items():
+        found = runs[token[at : min(end, at + 3)]]
+        if not states:
+            if len(found) == 1:  # one path up to the first choice
+                letters, codes, cost = found[0]
+                total -= cost
+                for k in codes:
+                    step = one * CODES + k
+                    total += log_p[step]
+                    one = step % STATES
+                path.append(letters)
+                at = end
+                continue
+            states = {one: (total, "".join(path))}
+        onward: dict[int, tuple[float, str]] = {}
+        for letters, codes, cost in found:
+            for state, (score, word) in states.items():
                 s = score - cost
-                for c in letters:
-                    k = CODE.get(c, OTHER)
-                    s += float(log_p[a, b, k])
-                    a, b = b, k
-                if (a, b) not in onward or s > onward[a, b][0]:
-                    onward[a, b] = (s, word + letters)
+                for k in codes:
+                    step = state * CODES + k
+                    s += log_p[step]
+                    state = step % STATES
+                best = onward.get(state)
+                if best is None or s > best[0]:
+                    onward[state] = (s, word + letters)
         states, at = onward, end
-    return max(states.items(), key=lambda kv: (kv[1][0] + float(log_p[kv[0][0], kv[0][1], END]), kv[1][1]))[1][1]
+    return max((score + log_p[state * CODES + END], word) for state, (score, word) in states.items())[1] if states else "".join(path)
+
+
+def lowered(token: str) -> str:
+    low = token.lower()
+    return low if low.isascii() else low.translate(LOOKALIKES)
 
 
 def body_of(token: str) -> str:
-    return token.lower().translate(LOOKALIKES).lstrip(OUTER_OPEN).rstrip(OUTER_CLOSE)
+    return lowered(token).lstrip(OUTER_OPEN).rstrip(OUTER_CLOSE)
 
 
-def whole(body: str, log_p: np.ndarray) -> str:
+def doubled(body: str) -> bool:
+    """Do two equal characters follow each other."""
+    return True in map(eq, body, body[1:])
+
+
+def whole(body: str, log_p: np.ndarray | Channel) -> str:
     return "".join(decode(body[k : k + PART_CHARS], log_p) for k in range(0, len(body), PART_CHARS))
 
 
@@ -172,24 +218,31 @@ def address(body: str) -> bool:
     return "@" in body[1:-1] and "." in body.partition("@")[2]
 
 
-def words_of(token: str, log_p: np.ndarray) -> tuple[str, ...]:
+def words_of(token: str, log_p: np.ndarray | Channel) -> tuple[str, ...]:
     """Plain words of a token and, where it may hide letters, the restored ones: its parts between separators, and all of it
     as one word, since separators may stand between letters too."""
     # A token of signs alone may begin or end with some that stand for letters.
-    body = body_of(token) if WORDS.search(token) else token.lower()
-    if not body or body.isalpha() and not DOUBLED.search(body):
+    if token.isalpha():
+        body = lowered(token)
+    else:
+        body = body_of(token) if WORDS.search(token) else token.lower()
+    if not body or body.isalpha() and not doubled(body):
         return (body,) if body else ()
     plain = tuple(WORDS.findall(body))
     if address(body):
         return plain
-    parts = [p for p in PARTED.split(body) if p and p != body and not (p.isalpha() and not DOUBLED.search(p))]
+    parts = [p for p in PARTED.split(body) if p and p != body and not (p.isalpha() and not doubled(p))]
+    log_p = channel_of(log_p)
     restored = [whole(p, log_p) for p in (*parts, body)]
     return (*plain, *dict.fromkeys(w for w in restored if w and w not in plain))
 
 
 def tokens_of(text: str) -> set[str]:
     """Distinct tokens, with runs of single characters joined to one."""
-    found = set(text.split())
+    words = text.split()
+    found = set(words)
+    if b"\1\1" not in bytes(map((1).__eq__, map(len, words))):  # SPACED begins with two words of one character
+        return found
     for m in SPACED.finditer(text):
         joined = "".join(m[0].split())
         if not joined.isdigit():
@@ -197,11 +250,13 @@ def tokens_of(text: str) -> set[str]:
     return found
 
 
-def restored_text(text: str | None, log_p: np.ndarray) -> str | None:
+def restored_text(text: str | None, log_p: np.ndarray | Channel) -> str | None:
     """The text with every token that hides letters replaced by its restored word."""
     if not text:
         return text
 
+    log_p = channel_of(log_p)
+
     def restored(m: re.Match) -> str:
         body = body_of(m[0])
         words = WORDS.findall(body)
@@ -224,8 +279,21 @@ class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, float, float] = (-math.inf, 0.0, 0.0)
 
+    @cached_property
+    def channel(self) -> Channel:
+        return Channel(self.log_p)
+
+    @cached_property
+    def heads(self) -> set[str]:
+        """How the features of ``lexicon`` begin; all features of a word begin like the word."""
+        return {f[:4] for f in self.lexicon}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("channel", "heads")}
+
     def evidence_of_token(self, token: str) -> float:
-        odds = [self.lexicon[f] for w in words_of(token, self.log_p) for f in features_of(w) if f in self.lexicon]
+        heads = self.heads
+        odds = [self.lexicon[f] for w in words_of(token, self.channel) if w[:4] in heads for f in features_of(w) if f in self.lexicon]
         return max(odds, default=0.0)
 
     def score(self, evidence: float, tokens: int) -> float:
@@ -272,7 +340,8 @@ def labelled_sample(labels: DataFrame, allowed: Column, per_class: int) -> tuple
 
 def counted_features(log_p: np.ndarray) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Remembered(lambda token: tuple(f for w in words_of(token, log_p) for f in features_of(w)), REMEMBERED // 5)
+        channel = Channel(log_p)
+        of = Remembered(lambda token: tuple(f for w in words_of(token, channel) for f in features_of(w)), REMEMBERED // 5)
         for batch in batches:
             sums = (Counter(), Counter())
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
@@ -356,10 +425,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 def restore(docs: DataFrame, model: Model, text_col: str = "text", restored_col: str = "restored") -> DataFrame:
     """``docs`` with the deobfuscated text in ``restored_col``."""
-    log_p = model.log_p
-
     @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: restored_text(t, log_p), na_action="ignore")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: restored_text(t, model.channel), na_action="ignore")
 
     return docs.withColumn(restored_col, of(F.col(text_col)))

@@ -1,3 +1,4 @@
+import pickle
 import zlib
 
 import duckdb
@@ -82,3 +83,21 @@ def test_every_form_of_a_hidden_word_is_decoded(text, log_p):
 @pytest.mark.parametrize("token", ["455", "8!7(#"])
 def test_tokens_of_signs_alone_are_decoded(token, log_p):
     assert tx.words_of(token, log_p) == (tx.decode(token, log_p),) and tx.decode(token, log_p).isalpha()
+
+
+def test_options_of_a_run_are_made_once(log_p, monkeypatch):
+    """Scoring looks up what a run may stand for; it does not make it anew for every token."""
+    made, options = [], tx.options
+    monkeypatch.setattr(tx, "options", lambda char, times: made.append((char, times)) or options(char, times))
+    model = tx.Model(log_p, {"idiot": 3.0, "tras*": 2.5}, (0.0, 1.0, 0.0))
+    tokens = [f"{a}1d10{b}" for a in ("", "x", "..", "ttttt") for b in ("t", "ttt", "t###", "tttttt")] + ["trrrash,", "plain"]
+    found = [model.evidence_of_token(t) for t in tokens]
+    assert found[0] == 3.0 and found[-2] == 2.5 and found[-1] == 0.0
+    assert made and len(made) == len(set(made))
+    assert len(pickle.dumps(model)) < 2 * log_p.nbytes  # tasks make the tables themselves
+
+
+@pytest.mark.parametrize("text", ["a b", "a  b", "x y z.", "one a b", "a b c", "é\tü\nö!", "ab c d", ""])
+def test_spaced_words_are_joined(text):
+    joined = ["".join(m[0].split()) for m in tx.SPACED.finditer(text)]
+    assert tx.tokens_of(text) == set(text.split()) | {w for j in joined if not j.isdigit() for w in (j, j[1:])}
