@@ -7,9 +7,13 @@ are read and compared. The index is far smaller than the contents, as a word sta
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +42,63 @@ def search_items(
     return hits if max_items is None else hits.orderBy("hit_no").limit(max_items)
 
 
+RUN_WORDS = 1_000_000  # postings that are sorted at once
+PART = 100_000
+
+
+def words_held() -> Column:
+    return F.array_distinct(F.split(searched_text(), " "))
+
+
 def postings(items: DataFrame) -> DataFrame:
     """(word, id): every run of characters between blanks in an item's content, once per item."""
-    return items.select(F.explode(F.array_distinct(F.split(searched_text(), " "))).alias("word"), "id")
+    return items.select(F.explode(words_held()).alias("word"), "id")
+
+
+def sorted_runs(run_words: int, part: int) -> Callable:
+    """:func:`postings` of rows (words, id), sorted in runs of about ``run_words`` of them, or of one item."""
+
+    def rank(values: pa.Array) -> np.ndarray:
+        place = np.empty(len(values), dtype=np.int64)
+        place[pc.array_sort_indices(values).to_numpy()] = np.arange(len(values))
+        return place
+
+    def run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.concat_arrays([b.column(0) for b in held])
+        ids = pa.concat_arrays([b.column(1) for b in held])
+        words = lists.flatten().dictionary_encode()
+        item = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        code = words.indices.to_numpy()
+        order = np.lexsort((rank(ids)[item], rank(words.dictionary)[code]))
+        for at in range(0, len(order), part):
+            chosen = order[at : at + part]
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[chosen])), ids.take(pa.array(item[chosen]))], ["word", "id"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ends = batch.column(0).offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + run_words - size, "right")) - 1)
+                held.append(batch.slice(at, end - at))
+                size += int(ends[end] - ends[at])
+                at = end
+                if size >= run_words or at < batch.num_rows:
+                    yield from run(held)
+                    held, size = [], 0
+        if held:
+            yield from run(held)
+
+    return find
 
 
 def write_postings(items: DataFrame, path: str) -> DataFrame:
-    """The index of ``items``: every task writes the lists of its own items in the order of the words, without a shuffle."""
-    listed = postings(items)
-    listed.sortWithinPartitions("word", "id").write.mode("overwrite").parquet(path)
+    """The index of ``items``: every task writes the lists of its own items, without a shuffle, in runs in the order of the words.
+    A run is sorted in memory whatever a task reads, and the pages of a run know the words they hold."""
+    types = dict(postings(items).dtypes)
+    listed = items.select(words_held().alias("words"), "id").mapInArrow(sorted_runs(RUN_WORDS, PART), f"word string, id {types['id']}")
+    listed.write.mode("overwrite").parquet(path)
     return items.sparkSession.read.schema(listed.schema).parquet(path)
 
 

@@ -55,6 +55,20 @@ def test_empty_index(spark, items, tmp_path):
     assert X.search_indexed(items, none, "river").isEmpty()
 
 
+def test_postings_are_sorted_in_bounded_runs(items, index):
+    """Rows of any number are sorted run by run in memory; nothing of a task's size is sorted by Spark, which would spill."""
+    listed = items.select(X.words_held().alias("words"), "id").toArrow().combine_chunks().to_batches()
+    expected = sorted((r.word, r.id) for r in X.postings(items).collect())
+    assert sorted((r.word, r.id) for r in index.collect()) == expected
+    for run_words in (1, 4, 7, 1000):
+        found = [(w, i) for b in X.sorted_runs(run_words, 3)(iter([*listed, *listed])) for w, i in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(found) == sorted(expected * 2)
+        falls = sum(a > b for a, b in zip(found, found[1:]))
+        assert falls <= 2 * len(expected) // run_words + 2 * (run_words < 1000)
+    assert all(b.num_rows <= 3 for b in X.sorted_runs(1000, 3)(iter(listed)))
+    assert list(X.sorted_runs(5, 3)(iter([]))) == [] and list(X.sorted_runs(5, 3)(iter([listed[0].slice(0, 0)]))) == []
+
+
 def test_sections_equal_the_single_lists(spark, sf_dir):
     items = fx.catalog_items(spark, sf_dir)
     health = H.classify_probes(fx.probe_results(spark, sf_dir), None, None)
