@@ -10,6 +10,7 @@ limit the length of a location.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Mapping
 
@@ -18,12 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKETS = 64
+BUCKET_BYTES = 32 << 20
 
 
 def bucket_of(key: str = "item_id", buckets: int = BUCKETS) -> Column:
     return F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")
 
 
+def buckets_for(rows: DataFrame, size: Column, least: int = BUCKETS) -> int:
+    """How many buckets a table of these rows needs so that one holds about BUCKET_BYTES of their ``size``."""
+    return max(least, math.ceil((rows.agg(F.sum(size)).first()[0] or 0) / BUCKET_BYTES))
+
+
 def touched_buckets(rows: DataFrame, key: str = "item_id", buckets: int = BUCKETS) -> list[int]:
     """The buckets of some rows, at most ``buckets`` numbers."""
     return sorted(r["bucket"] for r in rows.select(bucket_of(key, buckets)).distinct().collect())

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lorekeep.operators import history as HI
 from lorekeep.operators.current import replace_rows
 from lorekeep.plans.snapshot import SnapshotOptions, run_snapshot
+from lorekeep.registry import queries
+from lorekeep.sources import buckets as layout
 from lorekeep.sources.buckets import read_buckets, touched_buckets, write_buckets
 from lorekeep.sources.run_log import RunLog
 from lorekeep.sources.warehouse import Warehouse
@@ -140,3 +142,20 @@ def test_change_feed(spark, warehouse):
     assert warehouse.change_feed("r2").isEmpty()
     folders = {re.search(r"as_of_run=(\w+)", p)[1] for p in warehouse.change_feed("r1", "r2").inputFiles()}
     assert folders == {"r2"}
+
+
+def test_buckets_number_with_the_bytes(spark, monkeypatch):
+    """A bucket is read by one task, so it may not grow with the table."""
+    rows = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("raw"))
+    size = F.octet_length("raw")
+    assert layout.buckets_for(rows, size, 8) == 8
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 2000)
+    assert layout.buckets_for(rows, size, 8) == 50 and layout.buckets_for(rows.limit(0), size, 8) == 8
+
+
+def test_queries_on_larger_tables_have_more_buckets(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 10_000)
+    given = []
+    monkeypatch.setattr(queries.layout, "buckets_for", lambda *a, made=layout.buckets_for: given.append(made(*a)) or given[-1])
+    assert queries.QUERIES["upsert_current"](spark, sf_dir).count() > 0
+    assert queries.item_buckets(spark, sf_dir) > queries.BUCKETS and all(n > queries.BUCKETS for n in given)
