@@ -106,3 +106,65 @@ def test_results_are_the_same_for_any_cells(spark, crowd, monkeypatch):
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in crowd], SCHEMA)
     monkeypatch.setattr(vectors, "CELL_ROWS", 20)
     assert got(vectors.near_duplicates(df)) == sorted(brute(crowd))
+
+
+def shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_disk_grows_with_the_vectors_alone(spark, monkeypatch, tmp_path):
+    """No clusters: every cell is near every other, and no vector is copied for them."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 50)
+    monkeypatch.setattr(vectors, "new_folder", lambda session, name: f"file://{tmp_path}/{name}", raising=False)
+    x = np.random.default_rng(11).normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 0, 0) for k, v in enumerate(x)], SCHEMA)
+    before = shuffled(spark)
+    out = vectors.near_duplicates(df)
+    assert out.count() == 4000 and out.where("n_links > 0 OR NOT kept").count() == 0
+    assert shuffled(spark) - before < 4 * x.nbytes
+    assert sum(f.stat().st_size for f in tmp_path.glob("blocks/*.parquet")) < 2 * x.nbytes
+
+
+@pytest.mark.parametrize(("kind", "threshold"), [("float", -0.2), ("double", 0.3), ("float", 0.9), ("double", 0.99)])
+def test_blocks_of_several_lengths(spark, monkeypatch, kind, threshold):
+    """Many files, cells over several of them, and lengths of their own; groups of near copies and of equal ids."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    monkeypatch.setattr(vectors, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(vectors, "BLOCK_VALUES", 1200)
+    monkeypatch.setattr(vectors, "OWN_BLOCK", 8)
+    monkeypatch.setattr(vectors, "ALL_BLOCK", 16)
+    rng = np.random.default_rng(13)
+    near = lambda n, size, spread: rng.normal(size=(1, size)) + spread * rng.normal(size=(n, size))
+    groups = [rng.normal(size=(200, 40)), near(90, 40, 0.1), near(60, 40, 0.4), near(30, 7, 0.2), rng.normal(size=(25, 7)), near(20, 3, 0.1)]
+    x = [v.astype(np.float32).tolist() for g in groups for v in g]
+    rows = [(k, v) for k, v in enumerate(x)]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA.replace("float", kind))
+    assert got(vectors.near_duplicates(df, threshold=threshold)) == sorted(brute(rows, threshold))
+
+
+def test_heads_are_no_less_than_products():
+    rng = np.random.default_rng(17)
+    x = vectors.unit32(rng.normal(size=(300, 48)) * 0.9 ** np.arange(48))
+    for n in (1, 8, 24, 47):
+        h = vectors.heads(x, n)
+        assert h.shape == (300, n + 1) and (h @ h.T >= x @ x.T).all()
+
+
+def test_links_keep_components_when_labels_change():
+    """Three nodes in a row, the smallest found last: what is returned connects all of them."""
+
+    class Nodes:
+        node, weight = np.array([5, 9, 2]), np.array([1, 2, 3])
+
+    block = Nodes()
+    links = vectors.Links(block, block)
+    links.add(np.array([0]), np.array([1]))
+    links.add(np.array([1]), np.array([2]))
+    node, count, root = (c.to_pylist() for c in links.found().columns)
+    assert sorted(zip(node[:3], count[:3])) == [(2, 2), (5, 2), (9, 4)]
+    reached = {2}
+    for _ in range(3):
+        reached |= {n for pair in zip(node, root) if reached & set(pair) for n in pair}
+    assert reached == {2, 5, 9}
