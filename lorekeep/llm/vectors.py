@@ -10,10 +10,10 @@
    All vectors of one block that near are guests of the cells of the other, so no pair is missed, whatever the data look
    like; of two blocks the second sends its guests to the first, so a pair meets once.
    A finite ``deviations`` is for callers who want fewer guests and accept lost pairs.
-5. A cell meets its guests in tiles of bounded size. A product of the leading principal axes and of the lengths of what
-   is left, in single precision, is the most that the whole product can be; what comes near the threshold is compared
-   whole, and what does so again in double precision. A pair of blocks returns per class its number of links there and
-   the root of its component there, never the pairs.
+5. A cell meets its guests in tiles of bounded size, its rows by their angle to the centre, as the outer ones reach further.
+   A product of the leading principal axes and of the lengths of what is left, in single precision, is the most that the
+   whole product can be; what comes near the threshold is compared whole, and what does so again in double precision. A
+   pair of blocks returns per class its number of links there and the root of its component there, never the pairs.
 
 Where the data have no clusters, as many dimensions have no narrow borders, every cell is near every other and the work
 is that of all pairs.
@@ -49,10 +49,10 @@ OWN_BLOCK, ALL_BLOCK = 256, 512  # rows of a cell and guests that are one produc
 ROUNDS = 12
 BLOCK_VALUES = 8_000_000  # values of a file; a task holds two of them
 BLOCKS, LEAST_BLOCK = 24, 1024  # files of a table that needs no more for its size, and rows that are worth one
-TASK_PAIRS, LEAST_TASKS, MOST_TASKS = 1 << 30, 24, 2000
+TASK_PAIRS, LEAST_TASKS, MOST_TASKS = 1 << 32, 24, 2000
 HEAD_STEP, HEAD_SAMPLE, HEAD_PASSED = 8, 1024, 1e-5  # axes are added until no more than this share of pairs needs the others
 MAX_AXES = 1024  # longer vectors are compared on their components as they are
-PLACED = "node bigint, weight bigint, cell int, part int, vector binary"
+PLACED = "node bigint, weight bigint, cell int, part int, near float, vector binary"
 FOUND = "node bigint, links bigint, root bigint"
 
 
@@ -151,17 +151,18 @@ def place(centres: np.ndarray, parts: dict[int, tuple[int, int]]) -> Callable:
             nodes, weights, vectors = batch.columns
             lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
             usual = np.flatnonzero(lengths == size)
-            values, cell = vectors.flatten().to_numpy(zero_copy_only=False), -lengths
+            values, cell, near = vectors.flatten().to_numpy(zero_copy_only=False), -lengths, np.zeros(len(lengths), dtype=np.float32)
             ends = np.cumsum([0, *lengths]) * values.itemsize
             if len(usual):
                 x = values if len(usual) == len(lengths) else values[np.repeat(lengths == size, lengths)]
-                cell[usual] = nearest(unit32(x.reshape(-1, size)), centres)[0]
+                cell[usual], near[usual] = nearest(unit32(x.reshape(-1, size)), centres)
             salt = nodes.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             at = np.searchsorted(cells, cell)
             part = first[at] + salt.astype(np.int64) % number[at]
-            vector = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-            arrays = [nodes, weights, pa.array(cell, pa.int32()), pa.array(part, pa.int32()), vector]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "weight", "cell", "part", "vector"])
+            buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+            vector = pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
+            arrays = [nodes, weights, pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(near), vector]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "weight", "cell", "part", "near", "vector"])
 
     return run
 
@@ -183,15 +184,15 @@ def tasks_of(blocks: list[tuple[str, int, int, int]]) -> list[tuple[str, list[st
 
 
 class Block:
-    """The classes of a file, by cell, and what their products need."""
+    """The classes of a file, by cell and the nearest to its centre first, and what their products need."""
 
     def __init__(self, files, path: str, kind: str, centres: np.ndarray, axes: np.ndarray, head: int):
         import pyarrow.parquet as pq
 
         with files.open_input_file(path) as source:
-            table = pq.read_table(source, columns=["node", "weight", "cell", "vector"])
+            table = pq.read_table(source, columns=["node", "weight", "cell", "near", "vector"])
         cell = table.column("cell").to_numpy()
-        order = np.argsort(cell, kind="stable")
+        order = np.lexsort((-table.column("near").to_numpy(), cell))
         self.node, self.weight, self.cell = table.column("node").to_numpy()[order], table.column("weight").to_numpy()[order], cell[order]
         starts = np.flatnonzero(np.diff(self.cell, prepend=self.cell[:1] - 1))
         self.runs = [(int(self.cell[a]), int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(order)])]
@@ -283,17 +284,17 @@ def tile(a: Group, b: Group, i: np.ndarray, j: np.ndarray, near: np.ndarray, thr
     return p[linked], q[linked]
 
 
-def compare_rows(a: Group, b: Group, rows: np.ndarray, guests: np.ndarray, threshold: float, links: Links) -> None:
-    """Tiles of ``rows`` of a and ``guests`` of b, both ascending; in one block a row meets those behind it."""
+def compare_rows(a: Group, b: Group, rows: np.ndarray, guests: np.ndarray, h: np.ndarray, threshold: float, links: Links) -> None:
+    """Tiles of ``rows`` of a, which follow each other, and ``guests`` of b, whose heads are ``h``; in one block, where both
+    ascend, a row meets those behind it."""
     space = np.empty(OWN_BLOCK * ALL_BLOCK, dtype=np.float32)
     for at in range(0, len(guests), ALL_BLOCK):
         j = guests[at : at + ALL_BLOCK]
-        h = b.h[j[0] : j[-1] + 1] if j[-1] - j[0] == len(j) - 1 else b.h.take(j, axis=0)
         for k in range(0, len(rows), OWN_BLOCK):
             i = rows[k : k + OWN_BLOCK]
             if a is b and i[0] >= j[-1]:
                 break
-            near = np.matmul(a.h[i[0] : i[-1] + 1], h.T, out=space[: len(i) * len(j)].reshape(len(i), len(j)))
+            near = np.matmul(a.h[i[0] : i[-1] + 1], h[at : at + ALL_BLOCK].T, out=space[: len(i) * len(j)].reshape(len(i), len(j)))
             p, q = tile(a, b, i, j, near, threshold)
             if a is b:
                 p, q = p[i[p] < j[q]], q[i[p] < j[q]]
@@ -304,24 +305,34 @@ def compare_rows(a: Group, b: Group, rows: np.ndarray, guests: np.ndarray, thres
 def compare_cells(left: Block, right: Block, centres: np.ndarray, threshold: float, margin: float, links: Links) -> None:
     """The cells of one block and their guests from another, or the same."""
     a, b = left.groups[0], right.groups[0]
-    t = min(1.0, max(-1.0, threshold))
-    off = slack(a.x.shape[1])
-    least = np.array([left.own[lo - a.start : hi - a.start].min() for _, lo, hi in left.runs]).clip(-1, 1) - off
-    # The least product with a centre that a vector within the threshold of the cell's outermost one can have.
-    reach = np.where(least > -t, least * t - np.sqrt(np.maximum(1 - least * least, 0) * (1 - t * t)) - off, -np.inf)
+    off, t = slack(a.x.shape[1]), min(1.0, max(-1.0, threshold))
     others, counts = centres[[c for c, _, _ in right.runs]], [hi - lo for _, lo, hi in right.runs]
-    for n, (c, lo, hi) in enumerate(left.runs):
+    for c, lo, hi in left.runs:
         lo, hi = lo - a.start, hi - a.start
+        starts = np.arange(lo, hi, OWN_BLOCK)
+        least = np.minimum.reduceat(left.own[:hi], starts).clip(-1, 1) - off
+        # The least product with the centre that a vector can have which is within the threshold of the outermost of these rows.
+        reach = np.where(least > -t, least * t - np.sqrt(np.maximum(1 - least * least, 0) * (1 - t * t)) - off, -np.inf)
         products, apart = b.x @ centres[c], np.sqrt(((others - centres[c]) ** 2).sum(axis=1))
-        guest = (products >= reach[n]) & (right.own - products <= np.repeat(margin * apart + off, counts))
+        guest = (products >= reach.min()) & (right.own - products <= np.repeat(margin * apart + off, counts))
         if a is b:
             guest[:lo] = False
         guests = np.flatnonzero(guest)
-        if len(guests):
-            compare_rows(a, b, np.arange(lo, hi), guests, threshold, links)
-
-
-def compare(folder: str, tasks: list[tuple[str, list[str]]], kind: str, centres: np.ndarray, axes: np.ndarray, head: int, threshold: float, margin: float) -> Callable:
+        if not len(guests):
+            continue
+        if a is b:
+            compare_rows(a, b, np.arange(lo, hi), guests, b.h.take(guests, axis=0), threshold, links)
+            continue
+        guests = guests[np.argsort(-products[guests])]
+        far, h = -products[guests], b.h.take(guests, axis=0)
+        for start, n in zip(starts, np.searchsorted(far, -reach, side="right")):
+            if n:
+                compare_rows(a, b, np.arange(start, min(start + OWN_BLOCK, hi)), guests[:n], h[:n], threshold, links)
+
+
+def compare(
+    folder: str, tasks: list[tuple[str, list[str]]], kind: str, centres: np.ndarray, axes: np.ndarray, head: int, threshold: float, margin: float
+) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = location(folder)
         turned = (centres @ axes).astype(np.float32)
@@ -335,7 +346,7 @@ def compare(folder: str, tasks: list[tuple[str, list[str]]], kind: str, centres:
                     for size in sorted(left.groups.keys() & right.groups.keys()):
                         a, b = left.groups[size], right.groups[size]
                         if size:
-                            compare_rows(a, b, np.arange(len(a.x)), np.arange(len(b.x)), threshold, links)
+                            compare_rows(a, b, np.arange(len(a.x)), np.arange(len(b.x)), b.h, threshold, links)
                         else:
                             compare_cells(left, right, turned, threshold, margin, links)
                     yield links.found()
@@ -352,8 +363,8 @@ def blocks_of(classes: DataFrame, centres: np.ndarray, rows: dict[int, float], b
     dealt = placed.repartitionById(max(1, number), F.col("part")).drop("part")
     dealt.write.option("maxRecordsPerFile", 2 * block).parquet(folder, compression="zstd")
     written = classes.sparkSession.read.schema(dealt.schema).parquet(folder).select(F.input_file_name().alias("file"), "cell")
-    totals = written.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("low"), F.max("cell").alias("high")).collect()  # a row per file
-    return folder, sorted((r["file"].rsplit("/", 1)[1], r["n"], r["low"], r["high"]) for r in totals)
+    totals = written.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("low"), F.max("cell").alias("high"))
+    return folder, sorted((r["file"].rsplit("/", 1)[1], r["n"], r["low"], r["high"]) for r in totals.collect())  # a row per file
 
 
 def near_duplicates(
